@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import pii
+from keyweave.llm import fingerprint, langid, pii, urlfilter
 from keyweave.llm.common import table
 
 
@@ -14,5 +14,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii}
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints_query(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_fingerprints": op2_fingerprints,
+    "op4_url_filter": op4_url_filter,
+    "op5_language": op5_language,
+}
 ORACLES: dict[str, str] = {}
