@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import fingerprint, langid, pii, urlfilter
+from keyweave.llm import fingerprint, langid, pii, topk, urlfilter, warczip
 from keyweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints_query(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top10_query(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -26,10 +30,16 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_query(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.archives_query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
+    "op3_topk": op3_topk,
     "op4_url_filter": op4_url_filter,
     "op5_language": op5_language,
+    "op6_warc": op6_warc,
 }
 ORACLES: dict[str, str] = {}
