@@ -109,7 +109,8 @@ def fit(docs: DataFrame, limit: int = DOCS_PER_LANGUAGE) -> dict[str, np.ndarray
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 if (v := enc.bundle(text)) is not None:
                     sums[lang] = sums.get(lang, 0) + v
-        yield pd.DataFrame({"lang": list(sums), "sum": [v.tobytes() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sum": [v.tobytes() for v in sums.values()]})
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "sum": [sum(np.frombuffer(x) for x in part["sum"]).tobytes()]})

@@ -107,7 +107,8 @@ def document_frequencies(tokens: DataFrame, vocabulary: int, kind: np.dtype) ->
             for ids in b["ids"]:
                 df[np.unique(np.frombuffer(ids, kind))] += 1
         got = np.flatnonzero(df)
-        yield pd.DataFrame({"term": got, "df": df[got]})
+        if len(got):
+            yield pd.DataFrame({"term": got, "df": df[got]})
 
     out = np.zeros(vocabulary, dtype=np.int64)
     for r in tokens.select("ids").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():

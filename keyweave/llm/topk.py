@@ -115,7 +115,8 @@ def _scan(by_size: dict[int, tuple[list[int], np.ndarray]], k: int):
                     for j, q in enumerate(ids[i : i + _ROWS]):
                         best[q] = chunk.search(q, queries[i + j], upper[j], lower[j], best.get(q, []), k)
         rows = [(q, v, -s) for q, found in best.items() for s, v in found]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
+        if rows:
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     return run
 
