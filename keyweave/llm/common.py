@@ -58,8 +58,9 @@ def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = groups.where(F.col(size) >= floor).select(F.col(key), F.struct(*values).alias("_hot"))
     cold = groups.where(F.col(size) < floor).select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
     out = rows.join(F.broadcast(hot), key, "left")
-    kind = dict(rows.dtypes)[key]
-    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(F.col(key), *spread).cast(kind)))
+    kind, dealt = dict(rows.dtypes)[key], F.xxhash64(F.col(key), *spread)
+    dealt = {"bigint": dealt, "binary": F.unhex(F.hex(dealt))}.get(kind, dealt.cast("string"))
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(dealt))
     out = out.join(cold, (F.col("_at") == F.col("_cold_key")) & F.col("_hot").isNull(), "left")
     out = out.withColumn("_got", F.coalesce("_hot", "_cold"))
     return out.select(*rows.columns, *[F.col(f"_got.{v}").alias(v) for v in values])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import fingerprint, langid, linededup, packing, pii, topk, urlfilter, warczip
+from keyweave.llm import fingerprint, langid, linededup, neardup, packing, pii, topk, urlfilter, warczip
 from keyweave.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_query(table(spark, sf_dir, "documents"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_fingerprints": op2_fingerprints,
@@ -51,5 +55,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op8_lines": op8_lines,
     "op9_packing": op9_packing,
+    "op10_neardup": op10_neardup,
 }
 ORACLES: dict[str, str] = {}
