@@ -9,7 +9,10 @@ shard's last window is not full. That one is cut into sequences with powers of t
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +30,10 @@ SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
 _WORDS = 600_000
-#: Separators that str.split takes for white space and the tokenizer does not.
-_ODD = "\x1c\x1d\x1e\x1f"
+#: Characters of texts that are split and looked up together.
+_CHARS = 4 << 20
+#: Texts with rare white space, or with letters whose lower case depends on their neighbours or is longer, are left to the tokenizer.
+_ODD = "[\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 
 
 def tokenizer_path() -> str:
@@ -45,12 +50,102 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Merges:
+    """The merges of a word-end BPE, run for many words at once: rows of equally long words lose one symbol a step."""
+
+    _NONE = np.iinfo(np.int32).max
+    _BITS = 18
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        code = np.array([vocabulary[x] << 20 | vocabulary[y] for x, y in pairs], dtype=np.int64)
+        self.code = np.append(code, -1)  # by rank; the last stands for no merge
+        self.rank = np.append(np.arange(len(code), dtype=np.int32), self._NONE)
+        self.tables, rest = [], np.arange(len(code))
+        while len(rest):  # of the merges with one slot the last stays, the others go to the next table
+            table = np.full(1 << self._BITS, len(code), dtype=np.int32)
+            table[self._slot(code[rest], len(self.tables))] = rest
+            self.tables.append(table)
+            rest = rest[table[self._slot(code[rest], len(self.tables) - 1)] != rest]
+        self.merged = np.array([vocabulary[x + y] for x, y in pairs], dtype=np.int64)
+        # the printable stand-ins that byte-level vocabularies use for bytes
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        odd = [b for b in range(256) if b not in set(plain)]
+        char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
+        self.inner = np.array([vocabulary[char[b]] for b in range(256)], dtype=np.int64)
+        self.last = np.array([vocabulary[char[b] + suffix] for b in range(256)], dtype=np.int64)
+
+    def _slot(self, code: np.ndarray, table: int) -> np.ndarray:
+        mixed = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * table * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        return (mixed >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        code = (x << 20 | y).ravel()
+        out = np.full(len(code), self._NONE, dtype=np.int32)
+        left = None
+        for k, table in enumerate(self.tables):
+            some = code if left is None else code[left]
+            at = table[self._slot(some, k)]
+            hit = self.code[at] == some
+            rank = np.where(hit, self.rank[at], self._NONE)
+            if left is None:
+                out = rank
+            else:
+                out[left] = np.minimum(out[left], rank)
+            full = np.flatnonzero(~hit & (at != len(self.code) - 1))
+            left = full if left is None else left[full]
+            if not len(left):
+                break
+        return out.reshape(x.shape)
+
+    def __call__(self, words: list[str], kind: np.dtype) -> Iterator[tuple[str, bytes]]:
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words:
+            raw = w.encode()
+            by_length.setdefault(len(raw), []).append((w, raw))
+        for n, group in by_length.items():
+            own = np.arange(len(group))
+            raw = np.frombuffer(b"".join(r for _, r in group), dtype=np.uint8).reshape(-1, n)
+            ids = np.concatenate([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]], axis=1)
+            rank = self._ranks(ids[:, :-1], ids[:, 1:])
+            while len(own):
+                at = np.argmin(rank, axis=1) if n > 1 else np.zeros(len(own), dtype=np.int64)
+                best = rank[np.arange(len(own)), at] if n > 1 else np.full(len(own), self._NONE)
+                done = best == self._NONE
+                if done.any():
+                    out, size = ids[done].astype(kind).tobytes(), n * kind.itemsize
+                    for i, k in enumerate(own[done].tolist()):
+                        yield group[k][0], out[i * size : (i + 1) * size]
+                    go = ~done
+                    own, ids, rank, at, best = own[go], ids[go], rank[go], at[go], best[go]
+                if not len(own):
+                    break
+                row, n = np.arange(len(own)), n - 1
+                ids[row, at] = self.merged[best]
+                column = np.arange(n)[None, :]
+                ids = np.take_along_axis(ids, column + (column > at[:, None]), axis=1)
+                column = column[:, : n - 1]
+                rank = np.take_along_axis(rank, column + (column >= at[:, None]), axis=1)
+                for j in (at - 1, at):
+                    ok = (j >= 0) & (j < n - 1)
+                    r, c = row[ok], j[ok]
+                    rank[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
+
+
 class WordIds:
-    """Token ids of texts under a tokenizer that drops white space, joined from remembered ids of their words."""
+    """Token ids of texts under a lower-casing word-end BPE that drops white space, joined from remembered ids of their words.
 
-    def __init__(self, path: str, mark: str = "<|endoftext|>") -> None:
-        self.tokenizer, self.mark = _tokenizer(path), mark
-        self.mark_id = self.tokenizer.token_to_id(mark)
+    Arrow lower-cases, splits and numbers the words of many texts at once, with the marks after a word cut off; words of letters go through Merges, all others
+    through the tokenizer itself, and so do whole texts with characters whose handling could differ.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.merges = _tokenizer(path), Merges(path)
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = re.compile(f"{_ODD}|{special}")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
@@ -58,24 +153,38 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes words many at a time, with the mark between them."""
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, dtype=self.kind)
-            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            if len(cuts) == len(part) + 1:
-                self.known.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-            else:
-                self.known.update((w, self._encode(w)) for w in part)
+        plain = [w for w in words if w.isalpha() and len(w) <= 64]
+        self.known.update(self.merges(plain, self.kind))
+        self.known.update((w, self._encode(w)) for w in words if w not in self.known)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(c in t for c in (*_ODD, self.mark)) for t in texts]
-        words = [t.split() if p else None for t, p in zip(texts, plain, strict=True)]
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.string())), r"(\pL)([^\s\pL\pN]+)(\s|$)", r"\1 \2\3")
+        split = pc.utf8_split_whitespace(low)
+        words = split.flatten().dictionary_encode()
         if len(self.known) > _WORDS:
             self.known = {}
-        self._learn(list(set().union(*(w for w in words if w)) - self.known.keys()))
-        get = self.known.__getitem__
-        return [self._encode(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        distinct = words.dictionary.to_pylist()
+        known = self.known
+        self._learn([w for w in distinct if w not in known])
+        ids = [known[w] for w in distinct]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
+        code = words.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        shift = ((np.cumsum(size) - size)[code] - (ends - n)).astype(np.int32)
+        out = flat[np.repeat(shift, n) + np.arange(total, dtype=np.int32)].tobytes()
+        at = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.kind.itemsize
+        return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        odd = [not t.isascii() and not unicodedata.is_normalized("NFC", t) or bool(self.odd.search(t)) for t in texts]
+        plain = iter(self._plain([t for t, o in zip(texts, odd, strict=True) if not o]))
+        return [self._encode(t) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -85,8 +194,10 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
         encode, seen = WordIds(path), {}
         end = np.array([END], dtype=encode.kind).tobytes()
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
+            start = 0
+            for stop in _cuts(b["text"].map(len).tolist()):
+                part = b.iloc[start:stop]
+                start = stop
                 ids = [x + end for x in encode(part["text"].tolist())]
                 nth = []
                 for d in part["doc_id"]:
@@ -98,14 +209,29 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
     return src.mapInPandas(run, "doc_id string, nth long, ids binary, n long")
 
 
+def _cuts(sizes: list[int]) -> Iterator[int]:
+    """Ends of runs of texts of about _CHARS characters together."""
+    held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= _CHARS:
+            yield i + 1
+            held = 0
+    if held or sizes and not sizes[-1]:
+        yield len(sizes)
+
+
 def document_frequencies(tokens: DataFrame, vocabulary: int, kind: np.dtype) -> np.ndarray:
     """In how many of all documents each token id occurs; one row per token id and task goes through the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(vocabulary, dtype=np.int64)
+        df, place = np.zeros(vocabulary, dtype=np.int64), np.zeros(vocabulary, dtype=np.int64)
         for b in batches:
-            for ids in b["ids"]:
-                df[np.unique(np.frombuffer(ids, kind))] += 1
+            for x in b["ids"]:
+                ids = np.frombuffer(x, kind)
+                here = np.arange(len(ids))
+                place[ids] = here
+                df[ids[place[ids] == here]] += 1  # one of the places of each id is kept
         got = np.flatnonzero(df)
         if len(got):
             yield pd.DataFrame({"term": got, "df": df[got]})
