@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import lookup_join
+from keyweave.llm.common import lookup_join, materialize
 
 LEADING = 3
 #: Lines with fewer tokens than SHORT have no wildcards, and their template recurs only from SHORT_LINES lines on.
@@ -45,6 +45,7 @@ def recurring(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame
     lines = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("_doc"), _row_id(text).alias("_rid"), F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "_line"))
     lines = lines.select("_doc", "_rid", "_pos", tokens(F.col("_line")).alias("_toks"))
     lines = lines.select("_doc", "_rid", "_pos", (F.size("_toks") < SHORT).alias("_short"), F.explode(templates(F.col("_toks"))).alias("_key"))
+    lines = materialize(lines, "lines")  # read twice; parsing costs more than both reads
     seen = lines.groupBy("_key").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.count("*").alias("_n"), F.bool_or("_short").alias("_brief"))
     seen = seen.where((F.col("_first") < F.col("_last")) & (~F.col("_brief") | (F.col("_n") >= SHORT_LINES)))
     return lines, seen.select("_key", "_first", "_n")
