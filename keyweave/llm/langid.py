@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,11 +129,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     names = list(prototypes)
     unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(names), DIMENSIONS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder()
         for b in batches:
             langs, scores = [], []
-            for t in b["_text"]:
+            for t in b.column(0).to_pylist():
                 v = enc.bundle(t) if names else None
                 if v is None:
                     langs.append(UNKNOWN)
@@ -142,11 +143,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                     k = int(np.argmax(cos))
                     langs.append(names[k])
                     scores.append(min(1.0, max(0.0, float(cos[k]))))
-            yield b.drop(columns="_text").assign(lang_pred=langs, score=scores)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    src = docs.select(*keep, F.col(text).alias("_text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "_text")
-    return src.mapInPandas(run, f"{types}, lang_pred string, score double")
+    src = docs.select(F.col(text).alias("_text"), *keep)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
+    return src.mapInArrow(run, f"{types}, lang_pred string, score double")
 
 
 def languages_query(docs: DataFrame) -> DataFrame:
@@ -156,6 +157,5 @@ def languages_query(docs: DataFrame) -> DataFrame:
 
 def reject_unknown(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without those that have no letter or whose best cosine is below ``least``; the columns stay as they are."""
-    row = docs.withColumn("_row", F.col("text"))
-    kept = predict(row, fit(docs), [*docs.columns], text="_row")
+    kept = predict(docs, fit(docs), docs.columns)
     return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
