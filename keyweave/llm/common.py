@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -64,3 +66,15 @@ def lookup_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     out = out.join(cold, (F.col("_at") == F.col("_cold_key")) & F.col("_hot").isNull(), "left")
     out = out.withColumn("_got", F.coalesce("_hot", "_cold"))
     return out.select(*rows.columns, *[F.col(f"_got.{v}").alias(v) for v in values])
+
+
+def trim_memory() -> None:
+    """Hands what a Python worker no longer uses back to the system, since workers live on after their task."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import materialize
+from keyweave.llm.common import materialize, trim_memory
 
 WINDOW = 4096
 END = 2
@@ -29,9 +29,9 @@ END = 2
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-_WORDS = 600_000
+_WORDS = 400_000
 #: Characters of texts that are split and looked up together.
-_CHARS = 4 << 20
+_CHARS = 2 << 20
 #: Texts with rare white space, or with letters whose lower case depends on their neighbours or is longer, are left to the tokenizer.
 _ODD = "[\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 
@@ -204,6 +204,8 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
                     nth.append(seen.get(d, 0))
                     seen[d] = nth[-1] + 1
                 yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "nth": nth, "ids": ids, "n": [len(x) // encode.kind.itemsize for x in ids]})
+        del encode, seen
+        trim_memory()
 
     src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return src.mapInPandas(run, "doc_id string, nth long, ids binary, n long")
