@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
-HOT_LEAST = 2_000
+HOT_LEAST = 500
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyweave.llm import fingerprint, langid, linededup, neardup, packing, pii, topk, urlfilter, warczip
+from keyweave.llm import fingerprint, langid, linededup, neardup, packing, pii, segment, topk, urlfilter, warczip
 from keyweave.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.archives_query(table(spark, sf_dir, "pages"))
 
 
+def op7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segments_query(table(spark, sf_dir, "documents"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.lines_query(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_language": op5_language,
     "op6_warc": op6_warc,
+    "op7_segments": op7_segments,
     "op8_lines": op8_lines,
     "op9_packing": op9_packing,
     "op10_neardup": op10_neardup,
