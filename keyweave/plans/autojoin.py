@@ -1,0 +1,137 @@
+"""The whole join: find matching rows, learn a program, join on the key it derives, recover the rest."""
+
+from __future__ import annotations
+
+import time
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from keyweave.operators.composite import split_keys
+from keyweave.operators.discovery import joinable_pairs
+from keyweave.operators.equijoin import transformed_equijoin
+from keyweave.operators.fuzzy import recover
+from keyweave.operators.sampling import draw, sample_size
+from keyweave.plans.learn import Learned, learn, ranked_groups
+from keyweave.sources.table import JoinTable
+
+#: Tables with more rows are not joined again with their keys split.
+SPLIT_ROWS = 1000
+
+
+@dataclass
+class JoinResult:
+    """pairs: (src_rid, tgt_rid), source first whichever direction won."""
+
+    pairs: DataFrame
+    program: str = ""
+    forward_won: bool = True
+    score: int = 0
+    key_columns: int = 0
+    trace: dict = field(default_factory=dict)
+
+    def count(self) -> int:
+        return self.trace.get("pairs", 0)
+
+
+def _empty(t: JoinTable) -> DataFrame:
+    return t.df.sparkSession.createDataFrame([], "src_rid long, tgt_rid long")
+
+
+def _cell_values(t: JoinTable, column: int) -> DataFrame:
+    return t.df.select("_rid", t.cell(column).alias("value"))
+
+
+def one_direction(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
+    """Samples, finds pairs and learns on the samples, then joins and recovers on the full tables."""
+    trace: dict = {}
+    began = time.perf_counter()
+    n, m = source.count(), target.count()
+    take = lambda t, own, other: t if (k := sample_size(own, other)) >= own else t.with_df(draw(t.df, k))
+    s, t = take(source, n, m), take(target, m, n)
+    pairs = joinable_pairs(s, t).persist()
+    try:
+        ranked = ranked_groups(pairs)
+        trace["discovery"] = [g.asDict() | {"top": [r.asDict() for r in pairs.where((F.col("scol") == g["scol"]) & (F.col("tcol") == g["tcol"]) & (F.col("place") <= 5)).orderBy("place").collect()]} for g in ranked[:5]]
+        trace["discovery_ms"] = 1000 * (time.perf_counter() - began)
+        if not ranked:
+            return JoinResult(_empty(source), trace=trace)
+        began = time.perf_counter()
+        learned = learn(pairs, s, t)
+    finally:
+        pairs.unpersist()
+    trace["learning_ms"] = 1000 * (time.perf_counter() - began)
+    if learned is None:
+        return _fuzzy_only(source, target, ranked[0], n, trace) if fuzzy else JoinResult(_empty(source), trace=trace)
+    return _apply(source, target, learned, fuzzy, trace)
+
+
+def _apply(source: JoinTable, target: JoinTable, learned: Learned, fuzzy: bool, trace: dict) -> JoinResult:
+    began = time.perf_counter()
+    p = learned.program
+    values = _cell_values(target, learned.target_column)
+    equi = transformed_equijoin(source.df, p.to_column(), values)
+    joined = equi.count()
+    trace["learning"] = {"program": str(p), "json": p.to_json(), "source_column": learned.source_column, "target_column": learned.target_column, "score": learned.score, "examples": learned.examples[:6], "steps": _steps(learned)}
+    trace["application"] = {"matched": joined, "unmatched": source.count() - equi.select("src_rid").distinct().count()}
+    trace["join_ms"] = 1000 * (time.perf_counter() - began)
+    if not joined:
+        return JoinResult(_empty(source), str(p), score=learned.score, key_columns=len(p.columns), trace=trace | {"pairs": 0})
+    pairs, total = equi, joined
+    if fuzzy:
+        began = time.perf_counter()
+        own = source.df.select("_rid", p.to_column().alias("value")).where(F.col("value").isNotNull())
+        more, threshold, skipped = recover(own, values.where(F.col("value").isNotNull()), equi.select(F.col("src_rid").alias("_rid")).distinct(), equi.select(F.col("tgt_rid").alias("_rid")).distinct())
+        n = more.count()
+        left = trace["application"]["unmatched"]
+        trace["fuzzy"] = {"recovered": n, "threshold": threshold, "skipped": skipped, "unmatched_before": left, "unmatched_after": left - n, "samples": [r.asDict() for r in more.limit(5).collect()]}
+        trace["fuzzy_ms"] = 1000 * (time.perf_counter() - began)
+        pairs, total = equi.unionByName(more.select("src_rid", "tgt_rid")), joined + n
+    return JoinResult(pairs, str(p), score=learned.score, key_columns=len(p.columns), trace=trace | {"pairs": total})
+
+
+def _steps(learned: Learned) -> list[dict]:
+    """What each operator adds to the first example's key."""
+    row, out, steps = learned.examples[0][0], "", []
+    for op in learned.program.ops:
+        out += op.apply(row) or ""
+        steps.append({"op": str(op), "so_far": out})
+    return steps
+
+
+def _fuzzy_only(source: JoinTable, target: JoinTable, group, rows: int, trace: dict) -> JoinResult:
+    """No program: recovery on the raw values of the best column pair."""
+    nobody = source.df.select("_rid").limit(0)
+    own, other = _cell_values(source, group["scol"]), _cell_values(target, group["tcol"])
+    pairs, threshold, skipped = recover(own.where(F.col("value").isNotNull()), other.where(F.col("value").isNotNull()), nobody, nobody)
+    n = pairs.count()
+    trace |= {"fuzzy": {"recovered": n, "threshold": threshold, "skipped": skipped}, "pairs": n}
+    return JoinResult(pairs.select("src_rid", "tgt_rid"), "", score=-rows, key_columns=1, trace=trace)
+
+
+def swapped(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("tgt_rid").alias("src_rid"), F.col("src_rid").alias("tgt_rid"))
+
+
+def auto_join(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
+    """Both directions; once more with split keys if neither derives a key, on small tables. The best by score, key columns and size wins."""
+    tried = [(one_direction(source, target, fuzzy), True), (one_direction(target, source, fuzzy), False)]
+    if max(r.score for r, _ in tried) < 1 and max(source.count(), target.count()) <= SPLIT_ROWS:
+        s, t = split_keys(source), split_keys(target)
+        if s is not source or t is not target:
+            again = [(one_direction(s, t, fuzzy), True), (one_direction(t, s, fuzzy), False)]
+            tried += [(r, f) for r, f in again if r.score >= 1]
+    full = [x for x in tried if x[0].count()]
+    if not full:
+        return JoinResult(_empty(source), trace=tried[0][0].trace | {"inputs": _inputs(source, target), "pairs": 0})
+    result, forward = max(full, key=lambda x: (x[0].score, x[0].key_columns, x[0].count()))
+    result.forward_won = forward
+    result.pairs = result.pairs if forward else swapped(result.pairs)
+    result.trace["inputs"] = _inputs(source, target)
+    return result
+
+
+def _inputs(*tables: JoinTable) -> list[dict]:
+    """What the trace says of the original tables."""
+    return [{"name": t.name, "rows": t.count(), "columns": t.width, "names": t.names, "keys": [t.names[k] for k in t.keys], "first": [r["_cells"] for r in t.df.orderBy("_rid").limit(5).collect()]} for t in tables]
