@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyweave.llm.common import trim_memory
+
 DIMENSIONS = 1024
 GRAM = 3
 #: Bound on the labelled documents that a language's prototype is made of.
@@ -144,6 +146,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                     langs.append(names[k])
                     scores.append(min(1.0, max(0.0, float(cos[k]))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        del enc
+        trim_memory()
 
     src = docs.select(F.col(text).alias("_text"), *keep)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])

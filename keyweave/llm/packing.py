@@ -29,9 +29,9 @@ END = 2
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-_WORDS = 400_000
+_WORDS = 800_000
 #: Characters of texts that are split and looked up together.
-_CHARS = 2 << 20
+_CHARS = 8 << 20
 #: Texts with rare white space, or with letters whose lower case depends on their neighbours or is longer, are left to the tokenizer.
 _ODD = "[\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 
