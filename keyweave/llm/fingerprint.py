@@ -20,7 +20,7 @@ SHARD, LARGER = 10, 12
 TRIES, ROUNDS = 40, 64
 _CELL = "struct<c:bigint,k:bigint,h:bigint>"
 #: Ids that buckets are cut by are chosen among about so many per bucket.
-_SAMPLE = 64
+_SAMPLE = 16
 
 
 def digests(text: Column) -> Column:
@@ -123,7 +123,7 @@ def next_document(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     every = max(1, total // (buckets * _SAMPLE))
     got = sorted({r[0] for r in ids.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).distinct().limit(8 * buckets * _SAMPLE).collect()}, reverse=True)
     cuts = [first if first is not None else 0] + [x for x in got[_SAMPLE // 2 :: max(1, len(got) // buckets)] if x != first]
-    bounds = F.array(*[F.lit(x).cast("bigint") for x in cuts])  # the first ids of the ranges, falling
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # the first ids of the ranges, falling; folded to a literal
     key = F.coalesce("doc_id", F.lit(low))
     halve = lambda a, _: F.when(F.get(bounds, F.floor((a["lo"] + a["hi"]) / 2).cast("int")) >= key, F.struct(F.floor((a["lo"] + a["hi"]) / 2).cast("int").alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), F.floor((a["lo"] + a["hi"]) / 2).cast("int").alias("hi")))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda a: a["lo"])

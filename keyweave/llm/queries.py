@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators and the DuckDB SQL of those that SQL can express."""
+"""The registered queries of the corpus operators."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.llm import fingerprint, langid, linededup, neardup, packing, pii, segment, topk, urlfilter, warczip
 from keyweave.llm.common import table
+from keyweave.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +65,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_neardup": op10_neardup,
 }
-ORACLES: dict[str, str] = {}
