@@ -271,8 +271,8 @@ def _sql_tokens(name: str, v: str) -> str:
 
 
 def _tokeniser(name: str) -> Query:
-    value = F.concat_ws(" ", "p_name", "p_brand")
-    return lambda spark, sf: _read(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(T.tokenise(value, name)), "~").alias("tokens"))
+    value = lambda: F.concat_ws(" ", "p_name", "p_brand")  # noqa: E731  columns need a session
+    return lambda spark, sf: _read(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(T.tokenise(value(), name)), "~").alias("tokens"))
 
 
 for _label, _name in {"tok_q2": "q2", "tok_q3": "q3", "tok_word": "word", "tok_exact": "EXACT", "tok_lower": "LOWER", "tok_split": "SPLIT", "tok_wordalnum": "WORD", "tok_qpad": "Q3", "tok_qpad10": "Q10"}.items():
