@@ -97,7 +97,9 @@ class Service:
             text = [r["line"] for r in lines.collect()]
             pairs.unpersist()
         except Exception as e:
-            raise RunTimeout(f"{method} took more than {self.timeout} s") from e if late.is_set() else e
+            if late.is_set():
+                raise RunTimeout(f"{method} took more than {self.timeout} s") from e
+            raise
         finally:
             timer.cancel()
             self.spark.removeTag(tag)
