@@ -114,7 +114,7 @@ def swapped(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("tgt_rid").alias("src_rid"), F.col("src_rid").alias("tgt_rid"))
 
 
-def auto_join(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
+def derived_join(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
     """Both directions; once more with split keys if neither derives a key, on small tables. The best by score, key columns and size wins."""
     tried = [(one_direction(source, target, fuzzy), True), (one_direction(target, source, fuzzy), False)]
     if max(r.score for r, _ in tried) < 1 and max(source.count(), target.count()) <= SPLIT_ROWS:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from keyweave.functions.strings import whole_row
 from keyweave.operators import discovery, fuzzy, oracle, substring_match
-from keyweave.plans.autojoin import auto_join
+from keyweave.plans.derived import derived_join
 from keyweave.sources.table import JoinTable
 
 Method = Callable[[JoinTable, JoinTable], DataFrame]
@@ -29,8 +29,8 @@ def fuzzy_at(source: JoinTable, target: JoinTable, tokeniser: str = "WORD", dist
 
 
 METHODS: dict[str, Method] = {
-    "AJ": lambda s, t: auto_join(s, t).pairs,
-    "AJ-E": lambda s, t: auto_join(s, t, fuzzy=False).pairs,
+    "AJ": lambda s, t: derived_join(s, t).pairs,
+    "AJ-E": lambda s, t: derived_join(s, t, fuzzy=False).pairs,
     "SM": lambda s, t: substring_match.formula_join(s, t)[0],
     "FJ-C": fuzzy_on_keys,
     "FJ-FR": fuzzy_on_rows,

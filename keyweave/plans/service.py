@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyweave.operators import oracle
 from keyweave.plans import evaluate
-from keyweave.plans.autojoin import auto_join
+from keyweave.plans.derived import derived_join
 from keyweave.plans.methods import METHODS
 from keyweave.sources.fixtures import Case, find_case, list_cases
 from keyweave.sources.table import csv_lines
@@ -82,7 +82,7 @@ class Service:
         try:
             result = None
             if method in ("AJ", "AJ-E"):
-                result = auto_join(s, t, fuzzy=method == "AJ")
+                result = derived_join(s, t, fuzzy=method == "AJ")
                 pairs, trace = result.pairs, result.trace
             elif method == "FJ-O" and case.pair_id in self.settings:
                 tok, dist, threshold = self.settings[case.pair_id]

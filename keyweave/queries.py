@@ -12,7 +12,7 @@ from keyweave.functions import tokens as T
 from keyweave.functions.strings import Casing
 from keyweave.operators import composite, discovery, equijoin, fuzzy, oracle, sampling, substring_match
 from keyweave.plans import evaluate, methods
-from keyweave.plans.autojoin import auto_join, one_direction, swapped
+from keyweave.plans.derived import derived_join, one_direction, swapped
 from keyweave.plans.program import Constant, Program, split_split_substr, split_substr, substr
 from keyweave.sources import fixtures
 from keyweave.sources.table import JoinTable, csv_lines
@@ -481,12 +481,12 @@ def _emails(spark, sf) -> tuple[JoinTable, JoinTable]:
 @query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier")
 def aj_full(spark, sf):
     """Nine rows in ten join on the learned address, the tenth has a typing error and is recovered."""
-    return auto_join(*_emails(spark, sf)).pairs
+    return derived_join(*_emails(spark, sf)).pairs
 
 
 @query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier WHERE s_suppkey % 10 <> 0")
 def aj_without_recovery(spark, sf):
-    return auto_join(*_emails(spark, sf), fuzzy=False).pairs
+    return derived_join(*_emails(spark, sf), fuzzy=False).pairs
 
 
 @query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier WHERE s_suppkey <= 40")
@@ -497,7 +497,7 @@ def aj_composite(spark, sf):
     first, last = word("s_suppkey", "a"), word("s_suppkey", "b")
     a = F.concat(first, F.lit(" "), last, F.lit(" ("), F.col("s_nationkey").cast("string"), F.lit(")"))
     b = F.concat(last, F.lit(", "), first, F.lit(" (1"), F.lpad((F.col("s_suppkey") % 7 * 131).cast("string"), 3, "9"), F.lit("-)"))
-    return auto_join(JoinTable.from_df(s.select("s_suppkey", a.alias("who")), ["who"], "s_suppkey"), JoinTable.from_df(s.select("s_suppkey", b.alias("name")), ["name"], "s_suppkey")).pairs
+    return derived_join(JoinTable.from_df(s.select("s_suppkey", a.alias("who")), ["who"], "s_suppkey"), JoinTable.from_df(s.select("s_suppkey", b.alias("name")), ["name"], "s_suppkey")).pairs
 
 
 @query("SELECT p_partkey, p_type, trim(string_split(p_type, ' ')[1]) AS part0 FROM part")

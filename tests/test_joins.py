@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyweave.operators import discovery, fuzzy, substring_match
-from keyweave.plans.autojoin import auto_join
+from keyweave.plans.derived import derived_join
 from keyweave.plans.learn import example_sets
 from keyweave.plans.methods import METHODS
 from keyweave.plans.synth import learn_program
@@ -51,11 +51,11 @@ def test_optimal_grams(spark):
 
 def test_figures(spark):
     s, t = one_column(spark, "President", PRESIDENTS), one_column(spark, "President", RATED)
-    assert set(zip(PRESIDENTS, RATED, strict=True)) <= matched(auto_join(s, t).pairs, s, t)
+    assert set(zip(PRESIDENTS, RATED, strict=True)) <= matched(derived_join(s, t).pairs, s, t)
     a = JoinTable.from_rows(spark, ["First", "Second"], [["FOO", "001"], ["BAR", "002"], ["BAZ", "003"]])
     b = one_column(spark, "Key", ["FOO-001", "BAR-002", "BAZ-003"])
-    assert auto_join(a, b).pairs.count() == 3
-    none = auto_join(one_column(spark, "A", ["apple", "banana", "cherry"]), one_column(spark, "B", ["111", "222", "333"]))
+    assert derived_join(a, b).pairs.count() == 3
+    none = derived_join(one_column(spark, "A", ["apple", "banana", "cherry"]), one_column(spark, "B", ["111", "222", "333"]))
     assert none.pairs.count() == 0 and none.trace["inputs"][0]["rows"] == 3
 
 
