@@ -16,6 +16,7 @@ from keyweave.operators.equijoin import injective_scores
 from keyweave.plans.program import Program
 from keyweave.plans.synth import learn_program
 from keyweave.sources.table import JoinTable
+from keyweave.workers import ship
 
 TOP_MATCHES, EXAMPLES, SUBSETS, DRAWS, TOTAL = 20, 3, 12, 120, 512
 
@@ -75,6 +76,7 @@ def learn(pairs: DataFrame, source: JoinTable, target: JoinTable) -> Learned | N
                 yield pd.DataFrame({"g": b["g"][ok], "i": b["i"][ok], "program": [p.to_json() for p, k in zip(found, ok, strict=True) if k]})
 
     spark = source.df.sparkSession
+    ship(spark)
     work = spark.createDataFrame(tasks, "g int, i int, examples string").repartition(min(len(tasks), 64))
     got = sorted(work.mapInPandas(run, "g int, i int, program string").collect())
     if not got:
