@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyweave.workers import ship
+
 #: A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
 HOT_LEAST = 500
@@ -42,6 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
