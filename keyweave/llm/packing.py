@@ -1,7 +1,7 @@
 """Lexical retrieval packing: every training window is filled with the unused documents that BM25 finds for its seed.
 
-Documents are dealt to shards by a hash of their id. A shard is one task's work: it builds an inverted index of its documents, whose
-terms are token ids, weighted with document frequencies and lengths of the whole corpus. The longest unused document
+Documents are dealt to shards by their content: a tree of cuts, grown on a sample of their vectors of idf-weighted terms, leads documents with the
+same rare terms to one leaf. A shard is one task's work: it builds an inverted index of its documents, whose terms are token ids, weighted with document frequencies and lengths of the whole corpus. The longest unused document
 seeds a window; its best unused neighbours follow in order of score, and the last one is cut to fit, so that only a
 shard's last window is not full. That one is cut into sequences with powers of two as lengths, which need no padding.
 """
@@ -28,6 +28,8 @@ END = 2
 #: Tokens of a shard, about.
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
+#: Signed hashed terms that the tree sees of a document; sampled documents per shard that it grows on, and in all.
+DIMENSIONS, SAMPLED, SAMPLED_MOST = 128, 64, 1 << 17
 #: Words whose ids a worker remembers.
 _WORDS = 800_000
 #: Characters of texts that are split and looked up together.
@@ -244,6 +246,98 @@ def document_frequencies(tokens: DataFrame, vocabulary: int, kind: np.dtype) ->
     return out
 
 
+@functools.cache
+def _hashed(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    g = np.random.Generator(np.random.Philox(key=9))
+    return g.integers(0, DIMENSIONS, vocabulary), g.choice([-1.0, 1.0], vocabulary)
+
+
+def vectors(docs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """A unit vector of DIMENSIONS numbers for each document: its terms (END excluded) with BM25's inverse document
+    frequencies by signed hashing, 0 without a term."""
+    place, sign = _hashed(len(idf))
+    signed = sign * idf
+    out = np.zeros((len(docs), DIMENSIONS), dtype=np.float32)
+    for i, ids in enumerate(docs):
+        out[i] = np.bincount(place[ids[:-1]], weights=signed[ids[:-1]], minlength=DIMENSIONS)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Tree:
+    """Cuts of a sample across its main direction at the widest gap near the middle, until each leaf has about one shard's tokens.
+
+    A leaf that stays larger, for the sake of many equal documents, has several shards, and its documents are dealt by a hash.
+    """
+
+    def __init__(self, x: np.ndarray, size: np.ndarray, shards: int) -> None:
+        self.direction, self.cut, self.below, self.first, self.parts = [], [], [], [], []
+        self.shards, whole = 0, max(1, int(size.sum()))
+        todo = [(np.arange(len(x)), shards, -1, 0)]
+        while todo:
+            at, k, parent, side = todo.pop()
+            split = self._split(x[at]) if k > 1 and len(at) > 1 else None
+            if split is None:
+                here = max(1, round(float(size[at].sum()) * shards / whole))
+                node = ~len(self.first)
+                self.first.append(self.shards)
+                self.parts.append(here)
+                self.shards += here
+            else:
+                node, (direction, cut, left) = len(self.cut), split
+                self.direction.append(direction)
+                self.cut.append(cut)
+                self.below.append([0, 0])
+                share = float(size[at[left]].sum()) / max(1, float(size[at].sum()))
+                n = min(k - 1, max(1, round(k * share)))
+                todo += [(at[~left], k - n, node, 1), (at[left], n, node, 0)]
+            if parent >= 0:
+                self.below[parent][side] = node
+        self.root = 0 if self.cut else ~0
+        self.direction, self.cut, self.below = np.array(self.direction, np.float32), np.array(self.cut), np.array(self.below)
+        self.first, self.parts = np.array(self.first), np.array(self.parts)
+
+    @staticmethod
+    def _split(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+        """Direction, cut and which rows lie below; None if all rows are equal."""
+        centred = x - x.mean(axis=0)
+        spread = centred.T @ centred
+        direction = np.linalg.eigh(spread.astype(np.float64))[1][:, -1].astype(np.float32)
+        place = (x * direction).sum(axis=1)
+        order = np.sort(place)
+        low, high = len(x) * 7 // 20, max(len(x) * 13 // 20, len(x) * 7 // 20 + 1)
+        gaps = np.diff(order)
+        if gaps[low:high].max(initial=0) < 1e-5:  # equal documents in the middle: cut beside them
+            low, high = 0, len(gaps)
+        k = low + int(np.argmax(gaps[low:high]))
+        if gaps[k] < 1e-5:
+            return None
+        cut = float(order[k] + order[k + 1]) / 2
+        return direction, cut, place <= cut
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), self.root)
+        while len(at := np.flatnonzero(node >= 0)):
+            here = node[at]
+            above = (x[at] * self.direction[here]).sum(axis=1) > self.cut[here]
+            node[at] = self.below[here, above.astype(np.int64)]
+        return ~node
+
+
+def content_tree(tokens: DataFrame, idf: np.ndarray, kind: np.dtype, count: int, shards: int) -> Tree:
+    """The tree of a bounded sample of tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = vectors([np.frombuffer(i, kind) for i in b["ids"]], idf).astype(np.float16)
+            yield pd.DataFrame({"n": b["n"], "x": [v.tobytes() for v in x]})
+
+    every = max(1, count // min(shards * SAMPLED, SAMPLED_MOST))
+    some = tokens.where(F.pmod(F.xxhash64("doc_id", "nth", F.lit(9)), F.lit(every)) == 0).select("ids", "n")
+    got = sorted((bytes(r["x"]), r["n"]) for r in some.mapInPandas(run, "n long, x binary").collect())
+    x = np.frombuffer(b"".join(v for v, _ in got), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
+    return Tree(x, np.array([n for _, n in got], dtype=np.int64), shards)
+
+
 class Index:
     """BM25 scores of a shard's documents."""
 
@@ -311,6 +405,22 @@ def pack(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WIN
     return out
 
 
+def with_shards(tokens: DataFrame, idf: np.ndarray, kind: np.dtype, count: int, shards: int) -> DataFrame:
+    """tokens with the shard of every document, of which there are about ``shards``."""
+    if shards == 1:
+        return tokens.select("*", F.lit(0).cast("long").alias("shard"))
+    tree = content_tree(tokens, idf, kind, count, shards)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            leaf = tree.leaves(vectors([np.frombuffer(i, kind) for i in b["ids"]], idf))
+            yield b.drop(columns="dealt").assign(shard=tree.first[leaf] + b["dealt"].to_numpy() % tree.parts[leaf])
+        trim_memory()
+
+    dealt = F.pmod(F.xxhash64("doc_id", "nth"), F.lit(1 << 32)).alias("dealt")
+    return tokens.select("*", dealt).mapInPandas(run, "doc_id string, nth long, ids binary, n long, shard long")
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of every piece of every document.
 
@@ -337,9 +447,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text",
         out = {"doc_id": part["doc_id"].to_numpy()[d], "start": s, "length": n, "ids_crc32": [zlib.crc32(x) for x in cut], "doc_tokens": part["n"].to_numpy()[d], "sequence_id": [base + x for x in q], "offset": o}
         return pd.DataFrame(out | ({"ids": cut} if with_ids else {}))
 
-    shard = F.pmod(F.xxhash64("doc_id", "nth"), F.lit(shards)).alias("shard")
+    dealt = with_shards(tokens, idf, kind, count, shards)
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    packed = tokens.select("*", shard).groupBy("shard").applyInPandas(run, schema)
+    packed = dealt.groupBy("shard").applyInPandas(run, schema)
     return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

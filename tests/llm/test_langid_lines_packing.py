@@ -93,6 +93,23 @@ def test_neighbours_fill_the_window():
     assert len(set(first)) == 1 and len(first) == 7
 
 
+def test_shards_hold_documents_of_a_topic(spark):
+    """Where the documents need many shards, windows still hold documents of one topic, and equal documents spread over shards."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    topics = [[word() for _ in range(60)] for _ in range(16)]
+    rows = [(24 * t + i, " ".join(rng.choice(topic, 40))) for t, topic in enumerate(topics) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, window=512, shard_tokens=1 << 12).collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) >= 8
+    same = {}
+    for r in got:
+        same.setdefault(r["sequence_id"], []).append(r["doc_id"] // 24)
+    assert sum(max(map(v.count, v)) for v in same.values()) >= 0.85 * len(got)
+    equal = spark.createDataFrame([(i, rows[0][1]) for i in range(400)], "doc_id long, text string")
+    assert len({r["sequence_id"] >> 32 for r in packing.pack_documents(equal, window=512, shard_tokens=1 << 12).collect()}) >= 8
+
+
 def test_word_ids_equal_the_tokenizer():
     w = packing.WordIds(packing.tokenizer_path())
     odd = ["it's", "don't", "ÀÉ", "ǅ", "ﬁ", "日本語", "naïve,", "a" * 64, "a" * 80 + ".", "Straße.", "ΣΑΣ", "İx", ".", "...", "12 a1", "ªº", "", " ", "  a  b ", "a.. b., c.\nd!\n\n", "a.\tb", "<|endoftext|> x", "a\x1cb", "a\xa0b", "l'été. c'est, d'", "é", "x,y. z", "end%%% of"]
