@@ -286,7 +286,7 @@ def _distance(name: str) -> Query:
     def run(spark, sf):
         p = _read(spark, sf, "part")
         names, types = p.select("p_name").distinct(), p.select("p_type").distinct()
-        both = names.crossJoin(F.broadcast(types.limit(1000)))  # a handful of types
+        both = names.crossJoin(types)
         d = T.sets_distance(name, T.qgrams(F.lower("p_name"), 2), T.qgrams(F.lower("p_type"), 2))
         return both.select("p_name", "p_type", F.round(d, 6).alias("d"))
 

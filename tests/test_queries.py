@@ -39,3 +39,8 @@ def test_entry_imports_without_the_corpus_operators(spark):
         del sys.modules["corpus_pipeline"]
         sys.modules.update(hidden)
         importlib.reload(entry)
+
+
+def test_distances_cover_every_type(spark, tmp_path):
+    spark.range(1100).selectExpr("'lace' AS p_name", "concat('TYPE ', id) AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["dist_jaccard"](spark, str(tmp_path)).count() == 1100
