@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: Signed hashed terms that the tree sees of a document; sampled documents per shard that it grows on, and in all.
 DIMENSIONS, SAMPLED, SAMPLED_MOST = 128, 64, 1 << 17
-#: Words whose ids a worker remembers.
-_WORDS = 800_000
+#: Words whose ids a worker remembers, about, and the characters of the longest of them.
+_WORDS, _LONG = 300_000, 64
 #: Characters of texts that are split and looked up together.
-_CHARS = 8 << 20
+_CHARS = 2 << 20
 #: Texts with rare white space, or with letters whose lower case depends on their neighbours or is longer, are left to the tokenizer.
 _ODD = "[\x1c-\x1f\x85\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 
@@ -103,24 +105,27 @@ class Merges:
                 break
         return out.reshape(x.shape)
 
-    def __call__(self, words: list[str], kind: np.dtype) -> Iterator[tuple[str, bytes]]:
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            raw = w.encode()
-            by_length.setdefault(len(raw), []).append((w, raw))
-        for n, group in by_length.items():
-            own = np.arange(len(group))
-            raw = np.frombuffer(b"".join(r for _, r in group), dtype=np.uint8).reshape(-1, n)
-            ids = np.concatenate([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]], axis=1)
+    def __call__(self, words: list[str], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all words one after another."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        order = np.argsort(size, kind="stable")
+        data = np.frombuffer(b"".join([raw[i] for i in order]), dtype=np.uint8)
+        lengths, first, held = np.unique(size[order], return_index=True, return_counts=True)
+        sizes, done_ids, at_byte = np.zeros(len(words), dtype=np.int64), [], 0
+        for n, start, count in zip(lengths.tolist(), first.tolist(), held.tolist(), strict=True):
+            own = order[start : start + count]
+            bytes_ = data[at_byte : at_byte + n * count].reshape(count, n)
+            at_byte += n * count
+            ids = np.concatenate([self.inner[bytes_[:, :-1]], self.last[bytes_[:, -1:]]], axis=1)
             rank = self._ranks(ids[:, :-1], ids[:, 1:])
             while len(own):
                 at = np.argmin(rank, axis=1) if n > 1 else np.zeros(len(own), dtype=np.int64)
                 best = rank[np.arange(len(own)), at] if n > 1 else np.full(len(own), self._NONE)
                 done = best == self._NONE
                 if done.any():
-                    out, size = ids[done].astype(kind).tobytes(), n * kind.itemsize
-                    for i, k in enumerate(own[done].tolist()):
-                        yield group[k][0], out[i * size : (i + 1) * size]
+                    sizes[own[done]] = n
+                    done_ids.append((own[done], ids[done].astype(kind)))
                     go = ~done
                     own, ids, rank, at, best = own[go], ids[go], rank[go], at[go], best[go]
                 if not len(own):
@@ -135,6 +140,10 @@ class Merges:
                     ok = (j >= 0) & (j < n - 1)
                     r, c = row[ok], j[ok]
                     rank[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
+        starts, flat = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), dtype=kind)
+        for own, ids in done_ids:
+            flat[starts[own][:, None] + np.arange(ids.shape[1])] = ids
+        return sizes, flat
 
 
 class WordIds:
@@ -149,38 +158,65 @@ class WordIds:
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = re.compile(f"{_ODD}|{special}")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Drops all words but those with the slots in ``keep``."""
+        if keep is None:
+            self.known: dict[str, int] = {}
+            self.start = self.size = self.hits = np.empty(0, dtype=np.int64)
+            self.flat = np.empty(0, dtype=self.kind)
+            return
+        new = np.full(len(self.size), -1)
+        new[keep] = np.arange(len(keep))
+        self.known = {w: k for w, i in self.known.items() if (k := int(new[i])) >= 0}
+        n = self.size[keep]
+        self.flat = self.flat[np.repeat(self.start[keep] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        self.start, self.size, self.hits = np.cumsum(n) - n, n, self.hits[keep] // 2
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and len(w) <= 64]
-        self.known.update(self.merges(plain, self.kind))
-        self.known.update((w, self._encode(w)) for w in words if w not in self.known)
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The slots of new words. Long ones are not remembered."""
+        plain = np.fromiter((len(w) <= _LONG and w.isalpha() for w in words), dtype=bool, count=len(words))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        size, flat = self.merges([words[i] for i in order[: plain.sum()]], self.kind)
+        odd = [np.frombuffer(self._encode(words[i]), self.kind) for i in order[plain.sum() :]]
+        size = np.concatenate([size, np.fromiter(map(len, odd), dtype=np.int64, count=len(odd))])
+        first = len(self.size)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat, *odd])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
+        slots = np.empty(len(words), dtype=np.int64)
+        slots[order] = first + np.arange(len(words))
+        self.known.update((w, k) for w, k in zip(words, slots.tolist(), strict=True) if len(w) <= _LONG)
+        return slots
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
         low = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.string())), r"(\pL)([^\s\pL\pN]+)(\s|$)", r"\1 \2\3")
         split = pc.utf8_split_whitespace(low)
+        del low
         words = split.flatten().dictionary_encode()
-        if len(self.known) > _WORDS:
-            self.known = {}
+        if len(self.size) > _WORDS:  # words met in two runs or more stay, the most frequent half at most
+            again = np.flatnonzero(self.hits > 1)
+            self._forget(np.sort(again[np.argsort(-self.hits[again], kind="stable")[: _WORDS // 2]]))
         distinct = words.dictionary.to_pylist()
-        known = self.known
-        self._learn([w for w in distinct if w not in known])
-        ids = [known[w] for w in distinct]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), dtype=self.kind)
+        get = self.known.get
+        slot = np.fromiter((get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = self._learn([distinct[i] for i in new])
+        del distinct
+        self.hits[slot] += 1
         code = words.indices.to_numpy()
-        n = size[code]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = ((np.cumsum(size) - size)[code] - (ends - n)).astype(np.int32)
-        out = flat[np.repeat(shift, n) + np.arange(total, dtype=np.int32)].tobytes()
-        at = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()] * self.kind.itemsize
+        n = self.size[slot].astype(np.int32)[code]
+        ends = np.cumsum(n, dtype=np.int64)
+        shift = (self.start[slot][code] - (ends - n)).astype(np.int32)
+        at = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        del words, split, code, ends
+        out = self.flat[np.repeat(shift, n) + np.arange(at[-1], dtype=np.int32)].tobytes()
+        at *= self.kind.itemsize
         return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -192,25 +228,26 @@ class WordIds:
 def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id (as text), nth (which of the rows of a task with this id), ids (little-endian) and n of every document, END included."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = WordIds(path), {}
         end = np.array([END], dtype=encode.kind).tobytes()
         for b in batches:
             start = 0
-            for stop in _cuts(b["text"].map(len).tolist()):
-                part = b.iloc[start:stop]
+            for stop in _cuts(pc.utf8_length(b.column(1)).to_pylist()):
+                part = b.slice(start, stop - start)
                 start = stop
-                ids = [x + end for x in encode(part["text"].tolist())]
+                ids = [x + end for x in encode(part.column(1).to_pylist())]
                 nth = []
-                for d in part["doc_id"]:
+                for d in part.column(0).to_pylist():
                     nth.append(seen.get(d, 0))
                     seen[d] = nth[-1] + 1
-                yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "nth": nth, "ids": ids, "n": [len(x) // encode.kind.itemsize for x in ids]})
+                n = [len(x) // encode.kind.itemsize for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nth, pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "nth", "ids", "n"])
         del encode, seen
         trim_memory()
 
     src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return src.mapInPandas(run, "doc_id string, nth long, ids binary, n long")
+    return src.mapInArrow(run, "doc_id string, nth long, ids binary, n long")
 
 
 def _cuts(sizes: list[int]) -> Iterator[int]:
