@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyweave.llm import linededup, pii, urlfilter
+from keyweave.llm import urlfilter
 
 # --- personal data: the plain patterns, without what keeps Java's matcher linear --------------------------------------------
 
@@ -13,6 +13,15 @@ _PLAIN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[oprsu]_[A-Za-z0-9]{36,255}\b|\bxox[abprs]-[A-Za-z0-9-]{10,255}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "secret": r"[A-Za-z0-9_/+-]{20,}={0,2}",
+}
+#: Kinds with context: their score, and the words that add 0.3 within 48 characters of the gap; 0.5 is needed.
+_CONTEXT = {
+    "iban": (0.8, "iban|account|bank"),
+    "ssn": (0.3, "ssn|social security"),
+    "key": (0.8, "key|secret|token|credentials?"),
+    "secret": (0.3, "token|secret|password|passwd|api[_-]?key|access[_-]?key|credentials?|authorization|bearer"),
 }
 _DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN CAST({_DIGITS}[length({_DIGITS}) - i] AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST({_DIGITS}[length({_DIGITS}) - i] AS INTEGER) + 1] END)) % 10 = 0"
@@ -25,23 +34,28 @@ _VALID = {
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
     "iban": f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}",
     "ssn": "NOT regexp_matches(s, '^(?:000|666|9..)|-00-|-0000$')",
+    "key": "true",
+    "secret": f"length(s) BETWEEN 20 AND 512 AND regexp_matches(s, '[A-Za-z]') AND length({_DIGITS}) >= 4",
 }
 
 
-def _kept(kind: pii.Kind) -> str:
-    words = f"'(^|[^a-z])(?:{kind.context})($|[^a-z])'"
-    near = f"(regexp_matches(lower(right(g[i], {pii.CONTEXT_CHARS})), {words}) OR regexp_matches(lower(left(g[i + 1], {pii.CONTEXT_CHARS})), {words}))"
-    score = "" if kind.base else f" AND {kind.score} + CASE WHEN {near} THEN {pii.CONTEXT_BONUS} ELSE 0 END >= {pii.THRESHOLD}"
-    return f"WHEN '{kind.name}' THEN {_VALID[kind.name]}{score}"
+def _kept(kind: str) -> str:
+    score = ""
+    if kind in _CONTEXT:
+        least, context = _CONTEXT[kind]
+        words = f"'(^|[^a-z])(?:{context})($|[^a-z])'"
+        score = f" AND {least} + CASE WHEN regexp_matches(lower(right(g[i], 48)), {words}) OR regexp_matches(lower(left(g[i + 1], 48)), {words}) THEN 0.3 ELSE 0 END >= 0.5"
+    return f"WHEN '{kind}' THEN {_VALID[kind]}{score}"
 
 
-_FOUND = " UNION ALL ".join(f"SELECT doc_id, {n} AS nth, '{k.name}' AS kind, regexp_extract_all(t, '{_PLAIN[k.name]}') AS m, string_split_regex(t, '{_PLAIN[k.name]}') AS g FROM d" for n, k in enumerate(pii.KINDS))
-_BASE = ", ".join(f"'{k.name}'" for k in pii.KINDS if k.base)
+_COUNTED = ("email", "ip", "card", "phone")
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, {n} AS nth, '{k}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for n, (k, p) in enumerate(_PLAIN.items()))
+_BASE = ", ".join(f"'{k}'" for k in _COUNTED)
 PII = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
 x AS (SELECT doc_id, nth, kind, g, i, m[i] AS s, CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
-k AS (SELECT doc_id, nth, kind, a, kind || ':' || a || ':' || (a + length(s)) AS line FROM x WHERE CASE kind {' '.join(map(_kept, pii.KINDS))} END),
-c AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)}, string_agg(line, ',' ORDER BY nth, a) FILTER (WHERE kind IN ({_BASE})) AS b, string_agg(line, ',' ORDER BY nth, a) AS spans FROM k GROUP BY doc_id)
-SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in pii.KINDS if k.base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (doc_id)"""
+k AS (SELECT doc_id, nth, kind, a, kind || ':' || a || ':' || (a + length(s)) AS line FROM x WHERE CASE kind {' '.join(map(_kept, _PLAIN))} END),
+c AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _COUNTED)}, string_agg(line, ',' ORDER BY nth, a) FILTER (WHERE kind IN ({_BASE})) AS b, string_agg(line, ',' ORDER BY nth, a) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _COUNTED)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (doc_id)"""
 
 # --- the others -----------------------------------------------------------------------------------------------------------------
 
@@ -80,12 +94,16 @@ _FIVE = "CAST(('0x' || substring(hex, 5 * i + 1, 5)) AS INTEGER)"
 WARC = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages), l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(8), lambda i: {' || '.join(f"substring('{_BASE32}', CAST(({_FIVE} >> {b}) & 31 AS INTEGER) + 1, 1)" for b in (15, 10, 5, 0))}), '') AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM l"""
 
-_THIRDS = [f"t[{linededup.LEADING} + 1 + (n - {linededup.LEADING}) * {j} // 3 : {linededup.LEADING} + (n - {linededup.LEADING}) * {j + 1} // 3]" for j in range(3)]
-_WILD = ", ".join(f"'{j + 1} ' || n || ' ' || array_to_string(t[1:{linededup.LEADING}] || {' || '.join(p for i, p in enumerate(_THIRDS) if i != j)}, ' ')" for j in range(3))
+#: The rest of a line, behind three tokens, in six parts; two of them may be wildcards if four tokens stay.
+_AT = "3 + (n - 3) * {} // 6"
+_SIXTHS = [f"t[{_AT.format(j)} + 1 : {_AT.format(j + 1)}]" for j in range(6)]
+_WILD = ", ".join(
+    f"CASE WHEN n - 3 - len({_SIXTHS[a]}) - len({_SIXTHS[b]}) >= 4 THEN '{a}{b} ' || n || ' ' || array_to_string(t[1:3] || {' || '.join(p for i, p in enumerate(_SIXTHS) if i not in (a, b))}, ' ') END" for a in range(6) for b in range(a + 1, 6)
+)
 LINES = f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents), e AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM d)),
 k AS (SELECT doc_id, i, line, len(t) AS n, t FROM (SELECT *, list_transform(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM e)),
-y AS (SELECT doc_id, i, n, unnest(CASE WHEN n >= {linededup.SHORT} THEN ['0 ' || array_to_string(t, ' '), {_WILD}] WHEN n > 0 THEN ['0 ' || array_to_string(t, ' ')] ELSE [] END) AS key FROM k),
-r AS (SELECT key, min(doc_id) AS first FROM y GROUP BY key HAVING min(doc_id) < max(doc_id) AND (max(n) >= {linededup.SHORT} OR count(*) >= {linededup.SHORT_LINES})),
+y AS (SELECT doc_id, i, unnest(CASE WHEN n > 7 THEN ['all ' || array_to_string(t, ' '), {_WILD}] WHEN n > 0 THEN ['all ' || array_to_string(t, ' ')] ELSE [] END) AS key FROM k),
+r AS (SELECT key, min(doc_id) AS first FROM y WHERE key IS NOT NULL GROUP BY key HAVING min(doc_id) < max(doc_id)),
 g AS (SELECT DISTINCT doc_id, i FROM y JOIN r USING (key) WHERE first < doc_id),
 s AS (SELECT doc_id, count(*) FILTER (WHERE k.n > 0) AS n_lines, count(g.i) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS kept FROM k LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(coalesce(kept, '')) AS n_chars, sha256(coalesce(kept, '')) AS text_sha256 FROM d LEFT JOIN s USING (doc_id)"""

@@ -4,7 +4,8 @@ Only built-in Spark functions run. A pattern's matches and the gaps between them
 (regexp_extract_all and split with the same pattern); offsets are running sums of their lengths, in code points.
 Every pattern is written so that Java's matcher stays linear on long runs: possessive repeats, and a look-behind that
 lets a match begin only at the start of a run or where the last match ended (``\\G``), which keeps the leftmost
-non-overlapping matches of the plain pattern.
+non-overlapping matches of the plain pattern. Whatever an expression over many matches needs more than once is bound first
+(``_bound``), so that the work stays linear in the text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.6, r"phone|tel|call|mobile|fax"),
     Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", False, 0.8, r"iban|account|bank"),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", False, 0.3, r"ssn|social security"),
+    Kind("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[oprsu]_[A-Za-z0-9]{36,255}\b|\bxox[abprs]-[A-Za-z0-9-]{10,255}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", False, 0.8, r"key|secret|token|credentials?"),
+    Kind("secret", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}", False, 0.3, r"token|secret|password|passwd|api[_-]?key|access[_-]?key|credentials?|authorization|bearer"),
 )
 #: Spans of kinds that are not base ones are kept from this score on; context adds CONTEXT_BONUS.
 THRESHOLD, CONTEXT_BONUS, CONTEXT_CHARS = 0.5, 0.3, 48
@@ -64,19 +67,30 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(F.regexp_replace(m, " ", "")).between(15, 34) & _mod97(m)
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9..)|-00-|-0000$")
+    if kind == "secret":  # letters and at least four digits, as random strings have
+        return F.length(m).between(20, 512) & m.rlike("[A-Za-z]") & (F.length(_digits(m)) >= 4)
     return F.lit(True)
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with value worked out once, however often and in whatever inner function f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def running_sum(lengths: Column) -> Column:
     """Running sums of an array of ints: block sums first, then the sums within each block."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
-    block = lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK)
+    none = F.array().cast("array<int>")
     grow = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out"))
-    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
-    sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x))
-    before = F.concat(F.array(F.lit(0)), F.aggregate(sums, start(F.lit(0)), grow)["out"])
-    inner = F.transform(blocks, lambda b: F.aggregate(block(b), start(F.get(before, b)), grow)["out"])
-    return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
+
+    def sums(n: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int"))
+        block = lambda b: F.slice(n, b * _BLOCK + 1, _BLOCK)
+        whole = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x))
+        before = F.concat(F.array(F.lit(0)), F.aggregate(whole, start(F.lit(0)), grow)["out"])
+        return _bound(before, lambda at: F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), start(F.get(at, b)), grow)["out"])))
+
+    return _bound(lengths, lambda n: F.when(F.size(n) > 0, sums(n)).otherwise(none))
 
 
 def _near(kind: Kind, gap: Column, after: Column) -> Column:
@@ -84,59 +98,56 @@ def _near(kind: Kind, gap: Column, after: Column) -> Column:
     return F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS).rlike(words) | F.substring(after, 1, CONTEXT_CHARS).rlike(words)
 
 
-def _cut(df: DataFrame, kind: Kind, text: str) -> DataFrame:
-    """Adds _m, _g and _ok: the kind's matches in the text, the gaps around them, and which matches count with which score.
+def _found(kind: Kind, text: Column, f, otherwise: Column) -> Column:
+    """f(matches, gaps around them, scores of the matches) where the kind's pattern occurs in the text, else ``otherwise``.
 
-    The context of a match is the text between it and the matches around it.
+    The score of a match that does not count is null. The context of a match is the text between it and the matches around it.
     """
-    found = F.when(F.col(text).rlike(kind.pattern), F.regexp_extract_all(text, F.lit(kind.pattern), 0))
-    df = df.withColumn("_m", F.coalesce(found, F.array().cast("array<string>")))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, kind.pattern, -1)).otherwise(F.array(F.col(text))))
-    near = lambda i: _near(kind, F.get(F.col("_g"), i), F.get(F.col("_g"), i + 1))
-    score = lambda i: F.lit(kind.score) + F.when(near(i), CONTEXT_BONUS).otherwise(0.0)
-    ok = lambda m, i: F.when(_valid(kind.name, m), F.when(F.lit(kind.base) | (score(i) >= THRESHOLD), F.least(score(i), F.lit(1.0))))
-    return df.withColumn("_ok", F.transform("_m", ok))
 
+    def scores(m: Column, g: Column) -> Column:
+        score = lambda i: F.lit(kind.score) + F.when(_near(kind, F.get(g, i), F.get(g, i + 1)), CONTEXT_BONUS).otherwise(0.0)
+        return F.transform(m, lambda x, i: F.when(_valid(kind.name, x), _bound(score(i), lambda s: F.when(F.lit(kind.base) | (s >= THRESHOLD), F.least(s, F.lit(1.0))))))
 
-def _span(name: str):
-    end = lambda i: F.get(F.col("_ends"), i)
-    return lambda m, i: F.struct(F.lit(name).alias("kind"), (end(i) - F.length(m)).alias("start"), end(i).alias("end"), F.get(F.col("_ok"), i).alias("score"))
+    with_scores = lambda m, g: _bound(scores(m, g), lambda ok: f(m, g, ok))
+    with_gaps = lambda m: _bound(F.split(text, kind.pattern, -1), lambda g: with_scores(m, g))
+    return F.when(text.rlike(kind.pattern), _bound(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), with_gaps)).otherwise(otherwise)
 
 
-def _hidden(name: str):
-    return lambda m, i: F.when(F.get(F.col("_ok"), i).isNotNull(), F.lit(f"[{name.upper()}]")).otherwise(m)
+def _spans(kind: Kind, text: Column) -> Column:
+    def of(m: Column, g: Column, ok: Column) -> Column:
+        ends = running_sum(F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x)))
+        span = lambda end, x, i: F.struct(F.lit(kind.name).alias("kind"), (end - F.length(x)).alias("start"), end.alias("end"), F.get(ok, i).alias("score"))
+        return _bound(ends, lambda e: F.filter(F.transform(m, lambda x, i: span(F.get(e, i), x, i)), lambda s: s["score"].isNotNull()))
+
+    return _found(kind, text, of, F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
 def pii_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """df with a column ``out``: array<struct<kind, start, end, score>> by kind as in KINDS, then start.
 
     Offsets are code points, end exclusive. Null text counts as empty and gives an empty array; repeated rows are
-    judged one by one; text of any length is searched as a whole. Other columns pass through untouched (names that
-    begin with ``_pii`` are reserved).
+    judged one by one; text of any length is searched as a whole; an empty table stays empty. Other columns pass through
+    untouched, whatever their names; a column named ``out`` is replaced.
     """
-    src = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    names = []
-    for kind in KINDS:
-        src = _cut(src, kind, "_text")
-        src = src.withColumn("_ends", F.when(F.size("_m") > 0, running_sum(F.zip_with(F.slice("_g", 1, F.size("_m")), F.col("_m"), lambda g, m: F.length(g) + F.length(m)))))
-        spans = F.filter(F.transform("_m", _span(kind.name)), lambda s: s["score"].isNotNull())
-        names.append(f"_pii_{kind.name}")
-        src = src.withColumn(names[-1], F.when(F.size("_m") > 0, spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")))
-    src = src.withColumn("_pii", F.concat(*names))
-    return src.select(*[c for c in df.columns if c != out], F.col("_pii").alias(out))
+    value = F.coalesce(F.col(text), F.lit(""))
+    spans = F.concat(*[_spans(k, value) for k in KINDS])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != out], spans.alias(out))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every span that counts replaced by its kind in brackets, kind after kind; null text stays null.
 
-    A kind is searched in what the kinds before it have left, so that overlapping spans leave nothing behind.
+    A kind is searched in what the kinds before it have left, so that overlapping spans leave nothing behind. Rows are judged
+    one by one, repeated ones alike; an empty table stays empty. Other columns pass through, whatever their names.
     """
-    src = df.withColumn("_text", F.col(text))
-    for kind in KINDS:
-        src = _cut(src, kind, "_text")
-        joined = F.array_join(F.zip_with(F.col("_g"), F.transform("_m", _hidden(kind.name)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        src = src.withColumn("_text", F.when(F.size("_m") > 0, joined).otherwise(F.col("_text")))
-    return src.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in df.columns])
+
+    def hidden(kinds: tuple[Kind, ...], t: Column) -> Column:
+        if not kinds:
+            return t
+        of = lambda m, g, ok: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.when(F.get(ok, i).isNotNull(), F.lit(f"[{kinds[0].name.upper()}]")).otherwise(F.get(m, i)), F.lit("")))), "")
+        return _bound(_found(kinds[0], t, of, t), lambda left: hidden(kinds[1:], left))
+
+    return df.select(*[hidden(KINDS, F.col(f"`{text}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def spans_query(docs: DataFrame) -> DataFrame:

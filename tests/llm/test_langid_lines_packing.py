@@ -34,18 +34,28 @@ def test_languages_of_odd_rows(odd_docs):
     assert langid.reject_unknown(odd_docs).count() == 5 and langid.reject_unknown(odd_docs).columns == odd_docs.columns
 
 
-def test_templates_generalise_one_third(spark):
+def dropped(spark, rows):
+    return {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.lines_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_templates_generalise_two_places(spark):
     line = "Posted by user {} on the great board about topic {} with many replies and views"
-    rows = [(1, "first\n" + line.format("ann", "cats")), (2, line.format("ann", "dogs")), (3, line.format("bob", "cats")), (4, "a line that no other document has, whatever else it may say today\n" + line.format("ann", "cats"))]
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.lines_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (2, 0), 2: (1, 1), 3: (1, 1), 4: (2, 1)}
+    rows = [(1, "first\n" + line.format("ann", "cats")), (2, line.format("ann", "dogs")), (3, line.format("bob", "mice")), (4, "a line that no other document has, whatever else it may say today\n" + line.format("cy", "cats"))]
+    rows += [(5, line.format("dan", "fish").replace("great", "small").replace("many", "few").replace("views", "likes"))]
+    assert dropped(spark, rows) == {1: (2, 0), 2: (1, 1), 3: (1, 1), 4: (2, 1), 5: (1, 0)}
+
 
+def test_short_lines_recur_in_two_documents(spark):
+    rows = [(1, "Read more 12"), (2, "Read more 13\nAll rights reserved by Ann and all of her friends"), (3, "All rights reserved by Bob and all of her friends\nRead on"), (4, "Read less\nRead less")]
+    assert dropped(spark, rows) == {1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (2, 0)}
 
-def test_short_lines_need_many(spark):
-    few = [(i, "Read more 12") for i in range(9)]
-    assert sum(r["n_dropped"] for r in linededup.lines_query(spark.createDataFrame(few, "doc_id long, text string")).collect()) == 0
-    many = [*few, (9, "Read more 13")]
-    assert sum(r["n_dropped"] for r in linededup.lines_query(spark.createDataFrame(many, "doc_id long, text string")).collect()) == 9
+
+def test_a_hot_leaf(spark):
+    """Thousands of different lines share a leaf, most of them a template; those without one stay."""
+    rows = [(i, f"User number one {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} has sent a kind message to us all") for i in range(2000)]
+    rows += [(5000 + i, "User number one " + " ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(9))) for i in range(20)]
+    got = dropped(spark, rows)
+    assert sum(d for _, d in got.values()) == 1999 and got[0] == (1, 0) and all(got[5000 + i] == (1, 0) for i in range(20))
 
 
 def test_lines_of_odd_rows(odd_docs):
@@ -54,6 +64,13 @@ def test_lines_of_odd_rows(odd_docs):
     assert linededup.lines_query(odd_docs.limit(0)).count() == 0
 
 
+def test_lines_keep_clashing_columns(spark):
+    names = ["doc_id", "text", "row", "rid", "gone", "rows", "doc", "n_lines", "_lines", "a.b"]
+    df = spark.createDataFrame([(i, "one line of many\nown " + "xyz"[i], *["keep"] * 8) for i in range(3)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = linededup.drop_templates(df)
+    assert out.columns == names and {r[:] for r in out.collect()} == {(0, "one line of many\nown x", *["keep"] * 8), (1, "own y", *["keep"] * 8), (2, "own z", *["keep"] * 8)}
+
+
 def covered(rows, ids: dict) -> int:
     """Checks that the pieces cover every id once and that sequences have no gaps; the padding."""
     pieces, sequences = defaultdict(list), defaultdict(list)

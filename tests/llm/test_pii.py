@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -48,6 +49,32 @@ def test_running_sum_of_many(spark):
     assert df.first()["s"] == [i * (i + 1) // 2 for i in range(1, 1001)]
 
 
+def test_secrets(spark):
+    key, plain = "AKIA" + "ABCD1234EFGH5678", "0123456789abcdef0123456789abcdef01234567"
+    text = f"use {key} here; " + ". " * 40 + f"token = \"{plain}\" there. " + "x " * 40 + plain + " and anhorriblylongwordwithnodigit"
+    spans = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["pii"]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in spans] == [("key", key), ("secret", plain)]
+
+
+def test_many_matches_take_linear_time(spark):
+    """A hundred thousand addresses and cards in one text."""
+    text = "a@b.cc 4111111111111111, " * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    got = pii.spans_query(df).first()
+    assert (got["n_email"], got["n_card"]) == (100_000, 100_000) and got["spans"].endswith(f"card:{len(text) - 18}:{len(text) - 2}")
+    assert pii.redact(df).first()["text"] == "[EMAIL] [CARD], " * 100_000
+    assert time.monotonic() - began < 60
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["doc_id", "text", "_m", "_g", "_ok", "_ends", "_text", "_pii", "x.y"]
+    df = spark.createDataFrame([(1, "a@b.cc", *["keep"] * 7)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    assert pii.redact(df).first() == (1, "[EMAIL]", *["keep"] * 7)
+    out = pii.pii_spans(df)
+    assert out.columns == [*names, "pii"] and out.first()[2:9] == ("keep",) * 7
+
+
 def test_odd_rows(odd_docs):
     rows = pii.spans_query(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["spans"] == "" for r in rows)
