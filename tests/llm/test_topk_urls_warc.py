@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -20,34 +21,47 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert_same(queries.QUERIES[name](spark, sf_dir), ORACLES[name], views(sf_dir))
 
 
-def test_chunk_bounds_hold_and_search_is_exact():
+@pytest.mark.parametrize("scale", [300, 1e-3, 1e12, 1e150])
+def test_bounds_enclose_scores(scale):
     rng = np.random.default_rng(1)
-    ids, vectors = np.arange(500), np.floor(rng.normal(size=(500, 8)) * 300)
-    vectors[100:200] = vectors[0]  # ties
-    chunk = topk.Chunk(ids, vectors)
-    queries_ = np.floor(rng.normal(size=(5, 8)) * 300)
-    upper, lower = chunk.bounds(queries_)
-    exact = queries_ @ chunk.vectors.T
-    assert (upper >= exact).all() and (lower <= exact).all()
-    for j, q in enumerate(queries_):
-        got = chunk.search(7, q, upper[j], lower[j], [], 10)
-        assert got == sorted((-int(s), int(i)) for s, i in zip(vectors @ q, ids, strict=True) if i != 7)[:10]
-
-
-def test_top_k_in_blocks(spark):
-    rows = [(i, [float((i * 37 + j * 11) % 19) - 9 for j in range(4)]) for i in range(300)]
+    vectors, queries_ = np.floor(rng.normal(size=(200, 8)) * scale), np.floor(rng.normal(size=(5, 8)) * scale)
+    vectors[:, 3] = 7
+    lower, upper = topk.Chunk.of(vectors).bounds(queries_)
+    exact = queries_ @ vectors.T
+    assert (lower <= exact).all() and (exact <= upper).all()
+    assert scale != 300 or ((upper - lower) < 0.05 * np.abs(exact).max()).all()
+
+
+def brute_top_k(rows: list, k: int) -> set:
+    floor = lambda x: x if abs(x) >= 2**53 else math.floor(1024 * x) / 1024
+    vectors = [(i, [int(1024 * floor(x)) if abs(x) < 2**53 else 1024 * int(x) for x in v]) for i, v in rows]
+    out = set()
+    for q, a in vectors:
+        if q % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vectors if i != q and len(a) == len(b))[:k]
+            out |= {(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)}
+    return out
+
+
+def test_top_k_in_blocks_equals_brute_force(spark, monkeypatch):
+    """Equal vectors in number, ties, huge components, and more blocks than one of each kind."""
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "CHUNKS", 2)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in (np.ones(4) if i % 3 == 0 else rng.integers(-3, 4, 4) / 2)]) for i in range(600)]
+    rows += [(1000 + i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(0, 30)]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = {tuple(r) for r in topk.top10_query(df).collect()}
-    assert {tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block=1).collect()} == whole and len(whole) == 30
+    assert {tuple(r) for r in topk.top10_query(df).collect()} == brute_top_k(rows, 10)
 
 
 def test_top_k_odd_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0]), (4, [float("nan"), 1.0]), (None, [1.0, 1.0]), (5, [3.0]), (6, [2.0, 3.0]), (100, [5.0]), (7, []), (8, [float("inf"), 0.0])]
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (None, [9.0, 9.0]), (3, [1.0, 2.0]), (4, None), (5, [3.0]), (6, [2.0, 3.0]), (7, [1.0, None]), (8, [1.0, float("nan")]), (9, []), (100, [5.0]), (200, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top10_query(df).collect()) == [(0, 1, 6, 8 << 20), (0, 2, 3, 5 << 20), (100, 1, 5, 15 << 20)]
     assert topk.top10_query(df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        topk.top10_query(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")).collect()
+    large = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e300])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top10_query(large).collect()) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
 
 
 def test_automaton_equals_regular_expressions():
