@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from keyweave.plans.derived import derived_join, one_direction, swapped
 from keyweave.plans.program import Constant, Program, split_split_substr, split_substr, substr
 from keyweave.sources import fixtures
 from keyweave.sources.table import JoinTable, csv_lines
+from keyweave.workers import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,11 +596,7 @@ def result_csv_shape(spark, sf):
 @query("SELECT p_partkey AS _rid, trim(p_name) AS name, trim(p_brand) AS brand, '' AS pad FROM part")
 def csv_scan(spark, sf):
     """Writes lines as the scan reads them: quoted commas, blank lines, short rows."""
-    from tempfile import mkdtemp
-    from uuid import uuid4
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{mkdtemp(prefix='keyweave-')}"
-    path = f"{folder.rstrip('/')}/csv-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/csv-{uuid4().hex}"
     rows = _read(spark, sf, "part").select(F.array(F.concat(F.lit(' "'), F.col("p_partkey").cast("string"), F.lit('", '), F.col("p_name"), F.lit(" ,"), F.col("p_brand")), F.lit("  ")).alias("x"))
     head = spark.createDataFrame([(["key, name ,brand,pad", ""],)], "x array<string>")
     head.unionByName(rows).select(F.explode("x").alias("value")).coalesce(1).write.text(path)
