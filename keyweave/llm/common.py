@@ -4,29 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.workers import ship
+from keyweave.workers import shared_dir, ship
 
 #: A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
 HOT_LEAST = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="keyweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; Hadoop deletes it when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

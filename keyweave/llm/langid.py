@@ -13,17 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from keyweave.llm.common import trim_memory
+from keyweave.llm.common import materialize, trim_memory
+from keyweave.workers import ship
 
 DIMENSIONS = 1024
 GRAM = 3
 #: Bound on the labelled documents that a language's prototype is made of.
 DOCS_PER_LANGUAGE = 1500
-#: Bound on the languages learned: those with the most labelled documents.
-LANGUAGES = 1000
 UNKNOWN = "und"
 _CACHED = 1 << 15  # n-gram vectors that a worker keeps
 
@@ -90,21 +91,21 @@ class Encoder:
 
 def training_rows(docs: DataFrame, limit: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """text and lang of at most ``limit`` labelled documents of each language outside the held-out fold, chosen by a hash of doc_id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = most.select("lang", F.least(F.lit(1.0), F.lit(1.5 * limit) / F.col("count")).alias("_share"))
+    known = docs.select("text", "lang", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.5 * limit) / F.count("*")).alias("share"))
     order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    near = known.join(F.broadcast(share), "lang").where(order < F.col("_share") * (1 << 30))
+    near = known.join(share, "lang").where(order < F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= limit).select("text", "lang")
+    return near.withColumn("rank", rank).where(F.col("rank") <= limit).select("text", "lang")
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, limit: int = DOCS_PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Prototypes by language, learned from text and lang of the training rows (a bounded sample)."""
+def fit(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Prototypes by language, learned from text and lang of training rows (a bounded sample); DIMENSIONS numbers a language."""
+    ship(rows.sparkSession)
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, sums = Encoder(), {}
@@ -118,24 +119,25 @@ def fit(docs: DataFrame, limit: int = DOCS_PER_LANGUAGE) -> dict[str, np.ndarray
     def total(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "sum": [sum(np.frombuffer(x) for x in part["sum"]).tobytes()]})
 
-    got = training_rows(docs, limit).mapInPandas(bundles, "lang string, sum binary").groupBy("lang").applyInPandas(total, "lang string, sum binary").collect()
+    got = rows.mapInPandas(bundles, "lang string, sum binary").groupBy("lang").applyInPandas(total, "lang string, sum binary").collect()
     return {r["lang"]: np.frombuffer(r["sum"]) for r in sorted(got, key=lambda r: r["lang"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in ``keep`` with lang_pred and score (the cosine, at least 0), one row per row of docs.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """row (the columns of docs), lang_pred and score (the cosine, at least 0), one row per row of docs.
 
     Null text and text without a letter are ``und`` with score 0, as everything is when there is no prototype. Of equal
     cosines the first language by name wins. Only the text is looked at; texts of any length are read whole.
     """
-    names = list(prototypes)
+    ship(docs.sparkSession)
+    names, place = list(prototypes), docs.columns.index(text)
     unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).reshape(len(names), DIMENSIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder()
         for b in batches:
             langs, scores = [], []
-            for t in b.column(0).to_pylist():
+            for t in pc.struct_field(b.column(0), [place]).to_pylist():
                 v = enc.bundle(t) if names else None
                 if v is None:
                     langs.append(UNKNOWN)
@@ -145,21 +147,46 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                     k = int(np.argmax(cos))
                     langs.append(names[k])
                     scores.append(min(1.0, max(0.0, float(cos[k]))))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
         del enc
         trim_memory()
 
-    src = docs.select(F.col(text).alias("_text"), *keep)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return src.mapInArrow(run, f"{types}, lang_pred string, score double")
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return src.mapInArrow(run, StructType([src.schema[0], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def _size_class(text: Column) -> Column:
+    """The binary order of magnitude of a text's length."""
+    return F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
+
+
+def least_scores(rows: DataFrame, prototypes: dict[str, np.ndarray], share: float = 0.01, of: float = 0.5, enough: int = 10) -> dict[int, float]:
+    """By order of magnitude of the length: ``of`` times the cosine that all but ``share`` of the training rows reach. Orders with fewer
+    than ``enough`` rows have none."""
+    scored = predict(rows, prototypes).where(F.col("lang_pred") != UNKNOWN)
+    got = scored.groupBy(_size_class(F.col("row.text")).alias("size")).agg(F.count("*").alias("n"), F.percentile("score", F.lit(share)).alias("low")).collect()
+    return {r["size"]: of * r["low"] for r in got if r["n"] >= enough}
 
 
 def languages_query(docs: DataFrame) -> DataFrame:
     """doc_id, whether the document is held out from learning, its language and the cosine."""
-    return predict(docs.withColumn("held_out", held_out()), fit(docs), ["doc_id", "held_out"])
+    d = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return predict(d, fit(training_rows(docs))).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
 
+def reject_unknown(docs: DataFrame) -> DataFrame:
+    """docs without those that have no letter, or whose best cosine is far below that of training rows of their length.
 
-def reject_unknown(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without those that have no letter or whose best cosine is below ``least``; the columns stay as they are."""
-    kept = predict(docs, fit(docs), docs.columns)
-    return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    If nothing can be learned, all documents with a letter stay. The columns stay as they are, whatever their names; repeated rows are
+    judged alike, an empty table stays empty.
+    """
+    rows = materialize(training_rows(docs), "training")
+    prototypes = fit(rows)
+    if not prototypes:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    d, size = predict(docs, prototypes), _size_class(F.col("row.text"))
+    low = F.lit(0.0)
+    for k, v in sorted(least_scores(rows, prototypes).items()):  # longer texts score higher, so an order without rows takes the next shorter one's
+        low = F.when(size >= k, v).otherwise(low)
+    kept = d.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= low))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.llm.common import materialize, trim_memory
+from keyweave.workers import ship
 
 WINDOW = 4096
 END = 2
@@ -465,6 +466,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, text: str = "text",
     doc_id are packed like the others. Sequences are full windows or have a power of two as length. ``window`` is a power of
     two itself. An empty table gives no piece.
     """
+    ship(docs.sparkSession)
     path = path or tokenizer_path()
     vocabulary = _tokenizer(path).get_vocab_size()
     kind = WordIds(path).kind

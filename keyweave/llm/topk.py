@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyweave.llm.common import materialize
+from keyweave.workers import ship
 
 CELLS = 256
 #: Vectors of a chunk; chunks and queries that meet in one task, about.
@@ -161,6 +162,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id"
     more than once is asked once, with its least vector. Repeated rows count each. No query or no vector gives no row. Scores are
     compared in whole numbers of any size, and shown as the nearest long.
     """
+    ship(df.sparkSession)
     ok = lambda d: d.where(F.col(f"`{vec_id}`").isNotNull() & (F.size(f"`{vector}`") > 0) & F.forall(f"`{vector}`", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("embedding"))
     vectors = ok(df).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(3), "embedding")})
     asked = materialize(ok(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("vector")), "queries")

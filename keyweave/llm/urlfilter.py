@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyweave.workers import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host + path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -120,7 +122,7 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
 
     The longest rule that fits decides (of equally long ones the first); where none fits, rule is null and the first
     matching glob's verdict holds, else the default. Null urls and urls without ``://`` have an empty host and path, which
-    no rule fits. Rows are judged one by one, so repeated rows get equal verdicts; urls of any length are read whole.
+    no rule fits. Rows are judged one by one, so repeated rows get equal verdicts; urls of any length are read whole. Other columns pass through, whatever their names.
     """
     ranked = sorted(rules, key=lambda r: -len(r[1]))
     machine = Automaton.of([rule_glob(r) for _, r in ranked] + [g for _, g in globs])
@@ -130,9 +132,10 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
     def first(urls: pd.Series) -> pd.Series:
         return pd.Series(machine.first(urls.tolist()))
 
-    host, path = host_path(F.col(url))
-    out = df.withColumns({"_host": host, "_path": path})
-    out = out.withColumn("_k", first(F.concat(F.lit("."), "_host", "_path")))
-    pick = lambda values: F.get(F.array(*map(F.lit, values)).cast("array<string>"), F.col("_k"))
-    new = {"host": F.col("_host"), "path": F.col("_path"), "rule": pick(texts), "verdict": F.coalesce(pick(verdicts), F.lit(default))}
-    return out.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    ship(df.sparkSession)
+    host, path = host_path(F.col(f"`{url}`"))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), host.alias("host"), path.alias("path"))
+    out = out.select("*", first(F.concat(F.lit("."), "host", "path")).alias("k"))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)).cast("array<string>"), F.col("k"))
+    new = {"host": F.col("host"), "path": F.col("path"), "rule": pick(texts), "verdict": F.coalesce(pick(verdicts), F.lit(default))}
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])

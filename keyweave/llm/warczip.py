@@ -12,6 +12,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.llm.common import lookup_join, materialize, scratch_path
+from keyweave.workers import ship
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed once its records reach this many or this many compressed bytes.
@@ -33,11 +35,27 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 _DATE = "2000-01-01T00:00:00Z"
 
 
+#: Schemes of Hadoop paths, and what pyarrow calls the same store.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs", "gcs": "gs", "dbfs": "file", "": "file"}
+
+
+def uri(path: str) -> str:
+    """A Hadoop path as pyarrow names it. Paths of dbfs are read where it is mounted."""
+    scheme, colon, rest = path.partition(":") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else ("", "", path)
+    rest = rest if rest.startswith("//") else "//" + rest
+    if scheme == "dbfs":
+        rest = "///dbfs/" + rest.lstrip("/")
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def filesystem(path: str):
-    """A pyarrow file system and the path in it, for whatever store the path's scheme names."""
+    """A pyarrow file system and the path in it, for whatever store the path's scheme names; ValueError if there is none."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+    try:
+        return fs.FileSystem.from_uri(uri(path))
+    except (ValueError, OSError, NotImplementedError) as e:  # pyarrow's errors of unknown schemes are of these kinds
+        raise ValueError(f"no file system for {path}") from e
 
 
 def record(kind: str, page: str | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
@@ -177,6 +195,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     The payload is the html in UTF-8 (null: empty). Of the rows with equal payloads those with the largest page_id are
     responses and the others revisit it; rows without page_id revisit too, unless no equal row has one.
     """
+    ship(pages.sparkSession)
+    filesystem(folder)  # fails here rather than in a task
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     groups = p.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
@@ -224,6 +244,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield _frame(rows, payloads)
 
+    ship(manifest.sparkSession)
     n = manifest.count()
     return manifest.select("path").repartition(max(1, min(n, 10_000)), "path").mapInPandas(run, fields + (", payload binary" if payloads else ""))
 

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyweave.llm import langid, linededup, packing
@@ -26,6 +27,55 @@ def test_bundles_add_up():
     assert e.bundle(None) is None and e.bundle("12 .. 3") is None and len(grams) == 4
 
 
+def test_languages_equal_brute_force(documents):
+    """Every letter's vector drawn, permuted, bound and bundled again for each n-gram, without caches or blocks."""
+    rows = documents.select("doc_id", "text", "lang").collect()
+
+    def vector(text):
+        clean = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not clean.strip():
+            return None
+        clean, out, cache = " " + " ".join(clean.split()) + " ", np.zeros(langid.DIMENSIONS), {}
+        for i in range(len(clean) - 2):
+            g = clean[i : i + 3]
+            if g not in cache:
+                cache[g] = np.prod([np.roll(np.random.Generator(np.random.Philox(key=ord(c))).integers(0, 2, langid.DIMENSIONS, dtype=np.int8) * 2 - 1, 2 - k) for k, c in enumerate(g)], axis=0)
+            out += cache[g]
+        return out
+
+    vectors = {r["doc_id"]: vector(r["text"]) for r in rows}
+    sums = defaultdict(lambda: np.zeros(langid.DIMENSIONS))
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and vectors[r["doc_id"]] is not None:
+            sums[r["lang"]] += vectors[r["doc_id"]]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.languages_query(documents).collect()}
+    for d, v in vectors.items():
+        if v is None:
+            assert got[d] == ("und", 0.0)
+        else:
+            cos = {k: v @ s / np.linalg.norm(s) / np.linalg.norm(v) for k, s in sums.items()}
+            assert abs(got[d][1] - max(0.0, max(cos.values()))) < 1e-9 and cos[got[d][0]] >= max(cos.values()) - 1e-9
+
+
+def test_noise_and_unknown_languages_go(spark, documents):
+    """Letter noise goes; labelled documents stay, those of the held-out fold too."""
+    rng = np.random.default_rng(8)
+    noise = [(10**6 + i, "".join(rng.choice(list("qxzjkvwy"), 400)), None, None, 400) for i in range(20)]
+    docs = documents.unionByName(spark.createDataFrame(noise, documents.schema))
+    kept = {r["doc_id"] for r in langid.reject_unknown(docs).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in documents.where("text rlike '\\\\p{L}' and lang is not null").collect()}
+    assert not kept & {n[0] for n in noise} and len(clean - kept) <= 0.01 * len(clean)
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    names = ["doc_id", "text", "lang", "lang_pred", "score", "row", "a.b"]
+    df = spark.createDataFrame([(i, "some text", "en", *["keep"] * 4) for i in range(8)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = langid.reject_unknown(df)
+    assert out.columns == names and {r[3:] for r in out.collect()} == {("keep",) * 4} and out.count() == 8
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.reject_unknown(unlabelled).count() == 8
+
+
 def test_languages_of_odd_rows(odd_docs):
     rows = langid.languages_query(odd_docs).collect()
     assert sum(r["lang_pred"] == "und" for r in rows) == 3

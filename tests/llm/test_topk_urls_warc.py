@@ -124,3 +124,15 @@ def test_zip64_directory_end():
             z.writestr(zipfile.ZipInfo(str(i)), b"")
     raw = data.getvalue()
     assert len(warczip.members(lambda at, n: raw[at : at + n], len(raw))) == 65_600
+
+
+def test_hadoop_paths_name_their_store(tmp_path):
+    assert warczip.uri("s3a://b/k") == "s3://b/k" and warczip.uri("dbfs:/x/y") == "file:///dbfs/x/y" and warczip.uri("/x") == "file:///x" and warczip.uri("file:/x") == "file:///x"
+    with pytest.raises(ValueError, match="no file system"):
+        warczip.filesystem("nosuch://x/y")
+
+
+def test_url_filter_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([("https://a.example.com/de/x", *["keep"] * 5)], "url string, _host string, _path string, k string, row string, `a.b` string")
+    out = urlfilter.judge(df)
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict"] and out.first()[1:] == (*["keep"] * 5, "a.example.com", "/de/x", "example.com/de/", "block")
