@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,24 @@ def test_learns_and_generalises():
     assert learn_program([(("abc",), "xyz"), (("def",), "uvw")]) is None and learn_program([]) is None
 
 
+def test_learns_lengths_beyond_the_shortest_example():
+    names = [(("Li",), "Li"), (("Smithson",), "Smit"), (("Johnson",), "John")]
+    assert learn_program(names).apply(("Washington",)) == "Wash"
+    logins = [(("Ann", "Li"), "ali"), (("Bob", "Smithson"), "bsmith"), (("Cy", "Johnson"), "cjohns")]
+    assert learn_program(logins).apply(("Dan", "Washington")) == "dwashi"
+    parts = [(("Li, Ann",), "LI-an"), (("Smithson, Bobby",), "SMIT-bo"), (("Johnson, Cyril",), "JOHN-cy")]
+    assert learn_program(parts).apply(("Washington, Dave",)) == "WASH-da"
+
+
+def test_search_gives_up_on_what_no_operator_supplies():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ,-") for _ in range(n))
+    began = time.monotonic()
+    for _ in range(20):
+        learn_program([((word(30), word(20)), word(25)) for _ in range(3)])
+    assert time.monotonic() - began < 30
+
+
 def test_example_sets():
     sets = example_sets(20)
     assert len(sets) == len(set(sets)) == 12 and all(len(s) == 3 for s in sets)
