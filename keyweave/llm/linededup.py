@@ -26,7 +26,8 @@ _NULL_ID = -(2**63)
 
 def tokens(line: Column) -> Column:
     """White-space tokens; those with a digit are ``<*>``."""
-    return F.array_remove(F.split(F.regexp_replace(line, r"(?<!\S)\S*?[0-9]\S*", "<*>"), r"\s+"), "")
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)\S*?[0-9]\S*", "<*>")).otherwise(line)
+    return F.array_remove(F.split(fields, r"\s+"), "")
 
 
 def _cut(n: Column, j: int) -> Column:
@@ -54,8 +55,11 @@ def templates(leaf: Column, n: Column, part: Column) -> Column:
 def parsed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc, rid (of equal rows the same), pos, line (a key), leaf, n and part of every line with a token."""
     rid = _row_id(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    lines = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.lit(_NULL_ID)).alias("doc"), rid.alias("rid"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    lines = lines.select("doc", "rid", "pos", tokens(F.col("line")).alias("toks")).where(F.size("toks") > 0)
+    # ids first: beside the generator they would be worked out for every line
+    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.lit(_NULL_ID)).alias("doc"), rid.alias("rid"), F.split(F.col(f"`{text}`"), "\n").alias("split"))
+    lines = rows.select("doc", "rid", F.posexplode("split").alias("pos", "line"))
+    # a condition on the tokens would be pushed below them and have lines parsed twice
+    lines = lines.where(F.col("line").rlike(r"\S")).select("doc", "rid", "pos", tokens(F.col("line")).alias("toks"))
     n = F.size("toks")
     line = F.unhex(F.md5(F.concat_ws(" ", "toks")))
     return lines.select("doc", "rid", "pos", line.alias("line"), F.xxhash64(n, F.slice("toks", 1, LEADING)).alias("leaf"), n.alias("n"), parts(F.col("toks")).alias("part"))
