@@ -1,7 +1,9 @@
 """Fuzzy joins whose distance threshold follows from how many partners a row may have.
 
 Values are compared through their tokens: a pair that shares none is at distance 1, and no threshold reaches 1, so the join on
-tokens loses nothing that comparing all pairs would find.
+tokens loses nothing that comparing all pairs would find. Joins that need the nearest values only meet on the rarest tokens first:
+a value whose best partner so far is closer than any could be that shares none of those is done, the others go on to as many
+more tokens as their best distance asks for (prefix filter). Distinct values stand for all their rows, numbers for values.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql.window import Window
 
 from keyweave.functions.tokens import JOIN_TOKENISERS, RECOVERY_TOKENISERS, tokenise
 
-#: Products of distinct values beyond which recovery is left out.
-RECOVERY_LIMIT = 25_000_000
+#: Target values that the rarest tokens of a value lead to in the first pass, about.
+FIRST_PASS = 64
 
 
 def distinct_values(rows: DataFrame) -> DataFrame:
@@ -38,10 +40,62 @@ def closed_threshold(violating: Column) -> Column:
     return F.when(violating.isNull(), F.lit(1023 / 1024)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1023.0), F.ceil(violating * 1024) - 1)) / 1024)
 
 
-def nearest(distances: DataFrame) -> DataFrame:
-    """The nearest target value of each source value, the first seen among equals."""
+def nearest(distances: DataFrame, k: int = 1) -> DataFrame:
+    """The k nearest target values of each source value, the first seen among equals."""
     order = Window.partitionBy("s").orderBy("d", "t_first")
-    return distances.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1).drop("_k")
+    return distances.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+class Tokens:
+    """Distinct values of two tables under a tokeniser, ready to be joined by the rarest of their tokens."""
+
+    def __init__(self, source: DataFrame, target: DataFrame, tokeniser: str) -> None:
+        """source and target: what distinct_values() gives."""
+        # blank values have the empty token, which no other value has
+        blank = ~F.col("value").rlike(r"[^\s]")
+        side = lambda df: df.withColumn("tokens", F.when(blank, F.array(F.lit(""))).otherwise(tokenise(F.col("value"), tokeniser)))
+        s, t = side(source), side(target)
+        spread = t.select(F.col("first").alias("t_first"), F.explode("tokens").alias("token"))
+        held = spread.groupBy("token").agg(F.count("*").alias("n"))
+        own = s.select(F.col("first").alias("s_first"), F.explode("tokens").alias("token")).join(held, "token")
+        ranked = own.groupBy("s_first").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+        self.source = s.select(F.col("value").alias("s"), F.col("first").alias("s_first"), F.col("tokens").alias("s_tokens"), F.size("tokens").alias("na"))
+        self.ranked = self.source.select("s_first", "na").join(ranked, "s_first")
+        self.spread, self.target = spread, t.select(F.col("value").alias("t"), F.col("first").alias("t_first"), F.col("rows").alias("t_rows"), F.col("tokens").alias("t_tokens"))
+
+    def pairs(self, wanted: DataFrame) -> DataFrame:
+        """s, t, s_first, t_first, t_rows, d below 1 of the source values in wanted (s_first, token) with all target values that hold the token."""
+        met = wanted.join(self.spread, "token").select("s_first", "t_first").distinct()
+        both = met.join(self.source, "s_first").join(self.target, "t_first")
+        i = F.size(F.array_intersect("s_tokens", "t_tokens"))
+        d = F.when(F.col("s") == F.col("t"), 0.0).otherwise(1 - i / (F.col("na") + F.size("t_tokens") - i))
+        return both.select("s", "t", "s_first", "t_first", "t_rows", d.alias("d")).where(F.col("d") < 1)
+
+    def prefix(self, rows: DataFrame, size: Column) -> DataFrame:
+        """s_first and token of the ``size`` rarest tokens that the target has too."""
+        return rows.select("s_first", F.explode(F.slice("met", F.lit(1), size)).alias("_t")).select("s_first", F.col("_t.token").alias("token"))
+
+    def nearest(self, k: int = 1) -> DataFrame:
+        """The k nearest target values of each source value, exactly, the first seen among equals."""
+        # the first tokens that lead to FIRST_PASS target values together, one at least
+        led = F.aggregate("met", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("take")), lambda a, x: F.when((a["sum"] == 0) | (a["sum"] + x["n"] <= FIRST_PASS), F.struct((a["sum"] + x["n"]).alias("sum"), (a["take"] + 1).alias("take"))).otherwise(F.struct(F.lit(2**62).alias("sum"), a["take"].alias("take"))))
+        rows = self.ranked.select("s_first", "na", "met", led["take"].alias("take")).persist()
+        first = self.pairs(self.prefix(rows, F.col("take")))
+        first = nearest(first, k).persist()
+        kth = first.groupBy("s_first").agg(F.max("d").alias("kth"), F.count("*").alias("found"))
+        # a pair that shares none of the first p of m tokens has at most m - p in common, so is at distance 1 - (m - p) / na or more
+        m = F.size("met")
+        needed = F.when(F.coalesce("found", F.lit(0)) < k, m).otherwise(F.least(m, m - F.ceil((1 - F.col("kth")) * F.col("na") - F.lit(1e-9)) + 1)).cast("int")
+        rest = rows.join(kth, "s_first", "left").withColumn("needed", needed).where(F.col("needed") > F.col("take"))
+        more = self.pairs(self.prefix(rest, F.col("needed")))
+        out = nearest(first.unionByName(more).distinct(), k)
+        return out
+
+    def within(self, threshold: float) -> DataFrame:
+        """All pairs with a distance of at most ``threshold``, which is below 1."""
+        m = F.size("met")
+        needed = F.least(m, m - F.ceil(F.lit(1 - threshold) * F.col("na") - F.lit(1e-9)) + 1).cast("int")
+        return self.pairs(self.prefix(self.ranked.where(needed > 0), needed)).where(F.col("d") <= threshold)
 
 
 def top1_threshold(best: DataFrame) -> DataFrame:
@@ -61,39 +115,41 @@ def recovery_threshold(distances: DataFrame) -> DataFrame:
 def top1_join(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...] = JOIN_TOKENISERS) -> DataFrame:
     """(src_rid, tgt_rid, distance): every source row with the first row of its nearest target value, within the threshold of the
     tokeniser that covers most target rows (the first among equals). source and target: (_rid, value)."""
-    s, t = distinct_values(source), distinct_values(target)
+    s, t = distinct_values(source).persist(), distinct_values(target).persist()
     tried = []
     for name in tokenisers:
-        best = nearest(token_distances(s, t, name))
+        best = Tokens(s, t, name).nearest().persist()  # asked for the threshold, the coverage and the result
         kept = best.crossJoin(F.broadcast(top1_threshold(best))).where(F.col("d") <= F.col("threshold")).select("s", F.col("t_first").alias("tgt_rid"), "d")
-        tried.append((kept.select("tgt_rid").distinct().count(), kept))
+        tried.append((kept.select("tgt_rid").distinct().count() if len(tokenisers) > 1 else 0, kept))
     _, kept = max(tried, key=lambda x: x[0])
     rows = source.select(F.col("_rid").alias("src_rid"), F.col("value").alias("s"))
     return rows.join(kept, "s").select("src_rid", "tgt_rid", F.col("d").alias("distance"))
 
 
-def recover(source: DataFrame, target: DataFrame, matched_source: DataFrame, matched_target: DataFrame, tokenisers: tuple[str, ...] = RECOVERY_TOKENISERS, limit: int = RECOVERY_LIMIT) -> tuple[DataFrame, float, bool]:
+def recover(source: DataFrame, target: DataFrame, matched_source: DataFrame, matched_target: DataFrame, tokenisers: tuple[str, ...] = RECOVERY_TOKENISERS) -> tuple[DataFrame, float, bool]:
     """((src_rid, tgt_rid, distance), threshold, skipped): unmatched source rows with their nearest unmatched target row.
 
     The threshold comes from the full columns; the tokeniser that recovers most rows is used, the first among equals.
-    matched_source and matched_target: (_rid). Nothing is recovered at a threshold of 0, or beyond ``limit`` pairs of values.
+    matched_source and matched_target: (_rid). Nothing is recovered at a threshold of 0; skipped tells that no source or no target
+    row is left to recover.
     """
     spark = source.sparkSession
     nothing = spark.createDataFrame([], "src_rid long, tgt_rid long, distance double")
-    s, t = distinct_values(source), distinct_values(target)
-    if s.count() * t.count() > limit:
+    free_s = source.join(matched_source, "_rid", "left_anti").select(F.col("_rid").alias("src_rid"), F.col("value").alias("s")).persist()
+    free_t = target.join(matched_target, "_rid", "left_anti").groupBy(F.col("value").alias("t")).agg(F.min("_rid").alias("tgt_rid")).persist()
+    if free_s.isEmpty() or free_t.isEmpty():
         return nothing, 0.0, True
-    free_s = source.join(matched_source, "_rid", "left_anti").select(F.col("_rid").alias("src_rid"), F.col("value").alias("s"))
-    free_t = target.join(matched_target, "_rid", "left_anti").groupBy(F.col("value").alias("t")).agg(F.min("_rid").alias("tgt_rid"))
+    s, t = distinct_values(source).persist(), distinct_values(target).persist()
+    wanted = s.join(free_s.select(F.col("s").alias("value")).distinct(), "value", "left_semi")
     best = (0, nothing, 0.0)
     for name in tokenisers:
-        d = token_distances(s, t, name)
-        threshold = recovery_threshold(d).first()["threshold"]
+        # with two target rows a value is crowded: its two nearest values tell from which distance on
+        threshold = recovery_threshold(Tokens(s, t, name).nearest(2)).first()["threshold"]
         if threshold <= 0:
             continue
         order = Window.partitionBy("s").orderBy("d", "tgt_rid")
-        near = d.where(F.col("d") <= threshold).join(free_t, "t").withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1)
-        pairs = free_s.join(near.select("s", "tgt_rid", F.col("d").alias("distance")), "s").select("src_rid", "tgt_rid", "distance")
+        near = Tokens(wanted, t, name).within(threshold).join(free_t, "t").withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1)
+        pairs = free_s.join(near.select("s", "tgt_rid", F.col("d").alias("distance")), "s").select("src_rid", "tgt_rid", "distance").persist()
         n = pairs.count()
         if n > best[0]:
             best = (n, pairs, threshold)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keyweave.functions.tokens import GRID_DISTANCES, GRID_TOKENISERS, distance, tokenise
 
@@ -14,22 +13,28 @@ THRESHOLDS = tuple(i / 10 for i in range(1, 11))
 def nearest_rows(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...] = GRID_TOKENISERS, distances: tuple[str, ...] = GRID_DISTANCES) -> DataFrame:
     """tok, dist, src_rid, tgt_rid, d: the nearest target row under each setting, the first among equals.
 
-    A source row that shares no token with any is at distance 1 from the first target row. source and target: (_rid, value).
+    A source row that shares no token with any is at distance 1 from the first target row. source and target: (_rid, value). Distinct
+    values are compared, each with the first row that has it; rows get what their value got.
     """
     toks = F.array(*[F.struct(F.lit(k).alias("tok"), tokenise(F.col("value"), k).alias("set")) for k in tokenisers])
-    side = lambda df: df.select("_rid", F.explode(toks).alias("_x")).select("_rid", "_x.tok", F.size("_x.set").alias("size"), F.explode_outer("_x.set").alias("token"))
+    once = lambda df: df.where(F.col("value").isNotNull()).groupBy("value").agg(F.min("_rid").alias("_rid"))
+    side = lambda df: once(df).select("_rid", F.explode(toks).alias("_x")).select("_rid", "_x.tok", F.size("_x.set").alias("size"), F.explode_outer("_x.set").alias("token"))
     s, t = side(source), side(target)
-    a = s.select("tok", "token", F.col("_rid").alias("src_rid"), F.col("size").alias("na"))
+    a = s.select("tok", "token", F.col("_rid").alias("first"), F.col("size").alias("na"))
     b = t.select("tok", "token", F.col("_rid").alias("tgt_rid"), F.col("size").alias("nb"))
-    met = a.where(F.col("token").isNotNull()).join(b, ["tok", "token"]).groupBy("tok", "src_rid", "tgt_rid").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    empty = a.where(F.col("na") == 0).join(b.where(F.col("nb") == 0).groupBy("tok").agg(F.min("tgt_rid").alias("tgt_rid")), "tok").select("tok", "src_rid", "tgt_rid", F.lit(0).cast("long").alias("i"), F.lit(0).alias("na"), F.lit(0).alias("nb"))
+    met = a.where(F.col("token").isNotNull()).join(b, ["tok", "token"]).groupBy("tok", "first", "tgt_rid").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    empty = a.where(F.col("na") == 0).join(b.where(F.col("nb") == 0).groupBy("tok").agg(F.min("tgt_rid").alias("tgt_rid")), "tok").select("tok", "first", "tgt_rid", F.lit(0).cast("long").alias("i"), F.lit(0).alias("na"), F.lit(0).alias("nb"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("dist"), distance(n, F.col("i"), F.col("na"), F.col("nb")).alias("d")) for n in distances]))
-    found = met.unionByName(empty).select("tok", "src_rid", "tgt_rid", each.alias("_e")).select("tok", "src_rid", "tgt_rid", "_e.*")
-    first = target.agg(F.min("_rid").alias("tgt_rid"))
+    found = met.unionByName(empty).select("tok", "first", "tgt_rid", each.alias("_e")).select("tok", "first", "tgt_rid", "_e.*")
+    best = found.groupBy("tok", "dist", "first").agg(F.min(F.struct("d", "tgt_rid")).alias("_b")).select("tok", "dist", "first", "_b.d", "_b.tgt_rid")
     settings = F.explode(F.array(*[F.struct(F.lit(k).alias("tok"), F.lit(n).alias("dist")) for k in tokenisers for n in distances]))
-    far = source.select(F.col("_rid").alias("src_rid"), settings.alias("_e")).select("src_rid", "_e.*").crossJoin(F.broadcast(first)).where(F.col("tgt_rid").isNotNull()).withColumn("d", F.lit(1.0))
-    order = Window.partitionBy("tok", "dist", "src_rid").orderBy("d", "tgt_rid")
-    return found.unionByName(far).withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1).drop("_k")
+    far = target.where(F.col("value").isNotNull()).agg(F.min("_rid").alias("far")).where(F.col("far").isNotNull())
+    firsts = once(source).withColumnRenamed("_rid", "first")
+    asked = firsts.select("value", "first", settings.alias("_e")).select("value", "first", "_e.*").join(best, ["tok", "dist", "first"], "left").crossJoin(F.broadcast(far))
+    # at distance 1 the first target row of all comes before the others
+    beyond = F.coalesce(F.col("d") >= 1, F.lit(True))
+    asked = asked.select("value", "tok", "dist", F.when(beyond, F.col("far")).otherwise(F.col("tgt_rid")).alias("tgt_rid"), F.when(beyond, 1.0).otherwise(F.col("d")).alias("d"))
+    return source.select(F.col("_rid").alias("src_rid"), "value").join(asked, "value").select("tok", "dist", "src_rid", "tgt_rid", "d")
 
 
 def cutoff(dist: F.Column, threshold: F.Column) -> F.Column:

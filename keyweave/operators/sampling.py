@@ -21,7 +21,7 @@ def sample_size(own: int, other: int, t: float = T, delta: float = DELTA, r: flo
 
 def draw(df: DataFrame, size: int, rid: str = "_rid", seed: int = 42) -> DataFrame:
     """``size`` rows with the smallest hashes of their ids: a top-k of each partition, then of those."""
-    return df.orderBy(F.xxhash64(rid, F.lit(seed)), rid).limit(size)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(rid).cast("string"), F.lit(str(seed)))), rid).limit(size)
 
 
 def interleaved(df: DataFrame, rows: int, share: float = 0.1, least: int = 20, most: int = 400, rid: str = "_rid") -> DataFrame:

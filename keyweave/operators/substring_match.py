@@ -75,15 +75,24 @@ def longest_common_substring(a: str, b: str) -> tuple[int, int, int]:
 def rare_gram_matches(source: DataFrame, target: DataFrame, q: int = Q, top: int = CANDIDATES) -> DataFrame:
     """src_rid, tgt_rid, score, place: the ``top`` target values that share the rarest q-grams with each source value.
 
-    A shared gram scores the square of log2(N / df), df counted over the N target rows. source and target: (_rid, value).
+    A shared gram scores the square of log2(N / df), df counted over the N target rows. source and target: (_rid, value). Distinct
+    values are scored: a target value has its number of rows and its ``top`` first ones, a source value's matches go to all its rows.
     """
     n = target.count()
-    t = target.select(F.col("_rid").alias("tgt_rid"), F.explode(qgrams(F.col("value"), q)).alias("gram"))
-    s = source.select(F.col("_rid").alias("src_rid"), F.explode(qgrams(F.col("value"), q)).alias("gram"))
-    idf = t.groupBy("gram").agg(F.pow(F.log2(F.lit(float(n)) / F.count("*")), 2).alias("w"))
-    scored = s.join(idf, "gram").join(t, "gram").groupBy("src_rid", "tgt_rid").agg(F.round(F.sum("w"), 9).alias("score"))  # sums of doubles differ in their last bits
-    order = Window.partitionBy("src_rid").orderBy(F.desc("score"), "tgt_rid")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    first = Window.partitionBy("value").orderBy("_rid")
+    rows = target.where(F.col("value").isNotNull()).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= top).groupBy("value").agg(F.sort_array(F.collect_list("_rid")).alias("rids"))
+    t = target.groupBy("value").agg(F.count("*").alias("rows")).join(rows, "value").select(F.col("rids")[0].alias("first"), "rids", "rows", F.explode(qgrams(F.col("value"), q)).alias("gram"))
+    once = source.where(F.col("value").isNotNull()).groupBy("value").agg(F.min("_rid").alias("own"))
+    s = once.select("own", F.explode(qgrams(F.col("value"), q)).alias("gram"))
+    # a gram that all rows have scores nothing, but still makes a match
+    idf = t.groupBy("gram").agg(F.pow(F.log2(F.lit(float(n)) / F.sum("rows")), 2).alias("w"))
+    scored = s.join(idf, "gram").join(t.select("gram", "first"), "gram").groupBy("own", "first").agg(F.round(F.sum("w"), 9).alias("score"))  # sums of doubles differ in their last bits
+    scored = scored.withColumn("_k", F.rank().over(Window.partitionBy("own").orderBy(F.desc("score")))).where(F.col("_k") <= top)
+    rids = t.select("first", "rids").distinct()
+    each = scored.join(rids, "first").select("own", "score", F.explode("rids").alias("tgt_rid"))
+    best = each.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "tgt_rid"))).where(F.col("place") <= top)
+    whose = source.join(once, "value").select(F.col("_rid").alias("src_rid"), "own")
+    return whose.join(best, "own").select("src_rid", "tgt_rid", "score", "place")
 
 
 def _best_column(rows: list[list[str]], partners: dict[int, list[str]], width: int) -> int:

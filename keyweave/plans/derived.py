@@ -16,8 +16,10 @@ from keyweave.operators.sampling import draw, sample_size
 from keyweave.plans.learn import Learned, learn, ranked_groups
 from keyweave.sources.table import JoinTable
 
-#: Tables with more rows are not joined again with their keys split.
+#: Tables with more rows are not joined again with their keys split, unless the caller asks for more.
 SPLIT_ROWS = 1000
+#: What the trace shows of demo matches, matched and unmatched rows.
+DEMO, MATCHED, UNMATCHED = 3, 5, 3
 
 
 @dataclass
@@ -71,17 +73,28 @@ def _apply(source: JoinTable, target: JoinTable, learned: Learned, fuzzy: bool,
     began = time.perf_counter()
     p = learned.program
     values = _cell_values(target, learned.target_column)
-    equi = transformed_equijoin(source.df, p.to_column(), values)
+    equi = transformed_equijoin(source.df, p.to_column(), values).persist()  # counted, shown, recovered from and returned
     joined = equi.count()
+    own = source.df.select("_rid", p.to_column().alias("value")).where(F.col("value").isNotNull())
+    keyed = own.join(equi.select(F.col("src_rid").alias("_rid"), "tgt_rid"), "_rid", "left")
+    # a row counts as unmatched if no row with its key is matched
+    missed = keyed.groupBy("value").agg(F.count("tgt_rid").alias("met"), F.count("*").alias("rows"), F.min("_rid").alias("first")).where("met = 0")
+    unkeyed = source.count() - own.count()
     trace["learning"] = {"program": str(p), "json": p.to_json(), "source_column": learned.source_column, "target_column": learned.target_column, "score": learned.score, "examples": learned.examples[:6], "steps": _steps(learned)}
-    trace["application"] = {"matched": joined, "unmatched": source.count() - equi.select("src_rid").distinct().count()}
+    shown = keyed.where(F.col("tgt_rid").isNotNull()).orderBy("_rid").limit(MATCHED).collect()
+    trace["application"] = {
+        "matched": joined,
+        "unmatched": (missed.agg(F.sum("rows")).first()[0] or 0) + unkeyed,
+        "demo": [{"row": row, "key": p.apply(tuple(row)), "target": value} for row, value in learned.examples[:DEMO]],
+        "matched_samples": [r.asDict() for r in shown],
+        "unmatched_samples": [r.asDict() for r in missed.select("first", "value").orderBy("first").limit(UNMATCHED).collect()],
+    }
     trace["join_ms"] = 1000 * (time.perf_counter() - began)
     if not joined:
         return JoinResult(_empty(source), str(p), score=learned.score, key_columns=len(p.columns), trace=trace | {"pairs": 0})
     pairs, total = equi, joined
     if fuzzy:
         began = time.perf_counter()
-        own = source.df.select("_rid", p.to_column().alias("value")).where(F.col("value").isNotNull())
         more, threshold, skipped = recover(own, values.where(F.col("value").isNotNull()), equi.select(F.col("src_rid").alias("_rid")).distinct(), equi.select(F.col("tgt_rid").alias("_rid")).distinct())
         n = more.count()
         left = trace["application"]["unmatched"]
@@ -114,10 +127,11 @@ def swapped(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("tgt_rid").alias("src_rid"), F.col("src_rid").alias("tgt_rid"))
 
 
-def derived_join(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
-    """Both directions; once more with split keys if neither derives a key, on small tables. The best by score, key columns and size wins."""
+def derived_join(source: JoinTable, target: JoinTable, fuzzy: bool = True, split_rows: int = SPLIT_ROWS) -> JoinResult:
+    """Both directions; once more with split keys if neither derives a key, on tables of up to ``split_rows`` rows. The best by score,
+    key columns and size wins."""
     tried = [(one_direction(source, target, fuzzy), True), (one_direction(target, source, fuzzy), False)]
-    if max(r.score for r, _ in tried) < 1 and max(source.count(), target.count()) <= SPLIT_ROWS:
+    if max(r.score for r, _ in tried) < 1 and max(source.count(), target.count()) <= split_rows:
         s, t = split_keys(source), split_keys(target)
         if s is not source or t is not target:
             again = [(one_direction(s, t, fuzzy), True), (one_direction(t, s, fuzzy), False)]

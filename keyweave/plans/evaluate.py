@@ -67,3 +67,9 @@ def totals(runs: DataFrame) -> DataFrame:
 
 def newest(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("seq")).limit(n)
+
+
+def worst_first(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The n latest runs with the least recall, worst first, with their place from 1."""
+    worst = latest_runs(runs).orderBy("recall", "precision", "pair_id", "method").limit(n)
+    return worst.withColumn("place", F.row_number().over(Window.orderBy("recall", "precision", "pair_id", "method")))

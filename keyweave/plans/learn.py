@@ -47,10 +47,11 @@ def ranked_groups(pairs: DataFrame) -> list:
     return groups(pairs).orderBy(F.desc("mean_score"), F.desc("matches"), "scol", "tcol").collect()
 
 
-def learn(pairs: DataFrame, source: JoinTable, target: JoinTable) -> Learned | None:
+def learn(pairs: DataFrame, source: JoinTable, target: JoinTable, total: int = TOTAL) -> Learned | None:
     """The program with the most keys that belong to one source row and one target row; None if nothing can be learned.
 
-    At most TOP_MATCHES matches of a column pair are collected, and at most TOTAL example sets are tried.
+    At most TOP_MATCHES matches of a column pair are collected, and at most ``total`` example sets are tried, those of the
+    best column pairs.
     """
     ranked = ranked_groups(pairs)
     if not ranked:
@@ -64,7 +65,7 @@ def learn(pairs: DataFrame, source: JoinTable, target: JoinTable) -> Learned | N
     for r in shown.orderBy("scol", "tcol", "place").collect():
         if (g := order.get((r["scol"], r["tcol"]))) is not None:
             matches.setdefault(g, []).append(([x or "" for x in r["row"]], r["value"]))
-    tasks = [(g, i, json.dumps([matches[g][k] for k in subset])) for g in sorted(matches) for i, subset in enumerate(example_sets(len(matches[g])))][:TOTAL]
+    tasks = [(g, i, json.dumps([matches[g][k] for k in subset])) for g in sorted(matches) for i, subset in enumerate(example_sets(len(matches[g])))][:total]
     if not tasks:
         return None
 

@@ -178,7 +178,7 @@ def sample_size(spark, sf):
     return spark.createDataFrame([(sampling.sample_size(n, m), sampling.sample_size(m, n))], "customers long, orders long")
 
 
-@query()
+@query("WITH n AS (SELECT count(*) AS n FROM orders), k AS (SELECT " + _SIZE.format(n="n", o="n") + " AS k FROM n) SELECT o_orderkey AS _rid, o_orderpriority FROM orders QUALIFY row_number() OVER (ORDER BY md5(o_orderkey || ':42'), o_orderkey) <= (SELECT k FROM k)")
 def sample_rows(spark, sf):
     o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("_rid"), "o_orderpriority")
     n = o.count()
@@ -204,23 +204,23 @@ def _sql_grams(source: str) -> str:
     return f"SELECT s.*, a.pos, z.size, substring(v, a.pos, z.size) AS gram FROM ({source}) s, range(1, 200) a(pos), range(3, 200) z(size) WHERE a.pos + z.size - 1 <= length(v)"
 
 
-@query(f"WITH a AS ({_sql_grams('SELECT n_name AS v FROM nation')}), b AS ({_sql_grams('SELECT s_name AS v FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT n_name FROM nation')}) SELECT gram, n, m FROM (SELECT gram, count(*) AS n FROM a GROUP BY gram) JOIN (SELECT gram, count(*) AS m FROM b GROUP BY gram) USING (gram)")
+@query(f"WITH a AS ({_sql_grams('SELECT n_name AS v FROM nation')}), b AS ({_sql_grams('SELECT s_name AS v FROM supplier UNION ALL SELECT n_name FROM nation')}) SELECT gram, n, m FROM (SELECT gram, count(*) AS n FROM a GROUP BY gram) JOIN (SELECT gram, count(*) AS m FROM b GROUP BY gram) USING (gram)")
 def qgram_match_counts(spark, sf):
     n = _read(spark, sf, "nation").select(F.col("n_name").alias("v"))
-    s = _read(spark, sf, "supplier").where("s_suppkey <= 20").select(F.col("s_name").alias("v")).unionByName(n)
+    s = _read(spark, sf, "supplier").select(F.col("s_name").alias("v")).unionByName(n)
     count = lambda df, c: discovery.grams(df).groupBy("gram").agg(F.count("*").alias(c))
     return count(n, "n").join(count(s, "m"), "gram")
 
 
-_TAGS = "SELECT s_suppkey AS _rid, '[' || substring(s_name, 10) || '] nation ' || s_nationkey AS v FROM supplier WHERE s_suppkey <= 150"
-_NAMES = "SELECT s_suppkey AS _rid, s_name AS v FROM supplier WHERE s_suppkey <= 150"
+_TAGS = "SELECT s_suppkey AS _rid, '[' || substring(s_name, 10) || '] nation ' || s_nationkey AS v FROM supplier"
+_NAMES = "SELECT s_suppkey AS _rid, s_name AS v FROM supplier"
 _OPTIMAL = f"""sg AS (SELECT gram, count(*) AS n FROM ({_sql_grams(_NAMES)}) GROUP BY gram), tg AS (SELECT gram, count(*) AS m, min(_rid) AS tgt_rid FROM ({_sql_grams(_TAGS)}) GROUP BY gram),
 h AS (SELECT v, pos, size, gram, m, tgt_rid FROM ({_sql_grams(f'SELECT DISTINCT v FROM ({_NAMES})')}) JOIN tg USING (gram)), l AS (SELECT v, pos, gram, m, tgt_rid FROM h QUALIFY row_number() OVER (PARTITION BY v, pos ORDER BY size DESC) = 1),
 best AS (SELECT v, gram, 1.0 / (n * m) AS score, n, m, tgt_rid FROM l JOIN sg USING (gram) QUALIFY row_number() OVER (PARTITION BY v ORDER BY 1.0 / (n * m) DESC, pos) = 1)"""
 
 
 def _tagged(spark, sf) -> tuple[JoinTable, JoinTable]:
-    s = _read(spark, sf, "supplier").where("s_suppkey <= 150")
+    s = _read(spark, sf, "supplier")
     tag = F.concat(F.lit("["), F.expr("substring(s_name, 10)"), F.lit("] nation "), F.col("s_nationkey").cast("string"))
     return JoinTable.from_df(s.select("s_suppkey", "s_name"), ["s_name"], "s_suppkey", "names"), JoinTable.from_df(s.select("s_suppkey", tag.alias("tag")), ["tag"], "s_suppkey", "tags")
 
@@ -241,6 +241,26 @@ def discover_groups(spark, sf):
     return discovery.groups(discovery.joinable_pairs(*_tagged(spark, sf)))
 
 
+_REMARKS = "SELECT s_suppkey AS _rid, CASE WHEN s_suppkey % 20 = 0 THEN substring(s_name, 10) ELSE md5(s_name) END AS v FROM supplier"
+_OF_REMARKS = _OPTIMAL.replace(_NAMES, _REMARKS)
+
+
+@query(f"WITH a AS (WITH {_OPTIMAL} SELECT 0 AS scol, score FROM best WHERE n * m <= 1), b AS (WITH {_OF_REMARKS} SELECT 1 AS scol, score FROM best WHERE n * m <= 1), g AS (SELECT scol, 0 AS tcol, count(*) AS matches, CAST(avg(score) AS DOUBLE) AS mean_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY scol) SELECT * FROM g WHERE matches * 10 >= (SELECT max(matches) FROM g)")
+def groups_pruned(spark, sf):
+    """A column that few rows match through goes, beside one that all match through."""
+    _, t = _tagged(spark, sf)
+    s = _read(spark, sf, "supplier")
+    remark = F.when(F.col("s_suppkey") % 20 == 0, F.expr("substring(s_name, 10)")).otherwise(F.md5("s_name"))
+    source = JoinTable.from_df(s.select("s_suppkey", "s_name", remark.alias("remark")), ["s_name"], "s_suppkey", "names")
+    return discovery.groups(discovery.joinable_pairs(source, t))
+
+
+@query(f"WITH {_OPTIMAL} SELECT _rid AS src_rid, tgt_rid, row_number() OVER (ORDER BY length(gram) DESC, _rid) AS place FROM best JOIN ({_NAMES}) USING (v) WHERE n * m <= 1")
+def ordered_pairs(spark, sf):
+    """The place of each match in its column pair: score, length of the gram, source row."""
+    return discovery.joinable_pairs(*_tagged(spark, sf)).select("src_rid", "tgt_rid", F.col("place").cast("long").alias("place"))
+
+
 @query(f"WITH {_OPTIMAL} SELECT DISTINCT g._rid AS src_rid, tgt_rid FROM best JOIN ({_sql_grams(_NAMES)}) g USING (gram) WHERE m = 1 AND n = 1")
 def dq_p(spark, sf):
     return methods.METHODS["DQ-P"](*_tagged(spark, sf))
@@ -286,19 +306,16 @@ _SQL_DISTANCE = {"JACCARD": "1 - i / (a + b - i)", "DICE": "1 - 2 * i / (a + b)"
 
 def _distance(name: str) -> Query:
     def run(spark, sf):
-        p = _read(spark, sf, "part")
-        names, types = p.select("p_name").distinct(), p.select("p_type").distinct()
-        both = names.crossJoin(types)
         d = T.sets_distance(name, T.qgrams(F.lower("p_name"), 2), T.qgrams(F.lower("p_type"), 2))
-        return both.select("p_name", "p_type", F.round(d, 6).alias("d"))
+        return _read(spark, sf, "part").select("p_partkey", F.round(d, 6).alias("d"))
 
     return run
 
 
 for _label, _name in {"dist_jaccard": "JACCARD", "dist_dice": "DICE", "dist_maxinc": "MAXINCLUSION", "dist_intersect": "INTERSECT"}.items():
     query(
-        f"WITH p AS (SELECT p_name, p_type, {_sql_qgrams('lower(p_name)', 2)} AS x, {_sql_qgrams('lower(p_type)', 2)} AS y FROM (SELECT DISTINCT p_name FROM part), (SELECT DISTINCT p_type FROM part)), "
-        f"s AS (SELECT p_name, p_type, CAST(length(list_intersect(x, y)) AS DOUBLE) AS i, length(x) AS a, length(y) AS b FROM p) SELECT p_name, p_type, round({_SQL_DISTANCE[_name]}, 6) AS d FROM s",
+        f"WITH p AS (SELECT p_partkey, {_sql_qgrams('lower(p_name)', 2)} AS x, {_sql_qgrams('lower(p_type)', 2)} AS y FROM part), "
+        f"s AS (SELECT p_partkey, CAST(length(list_intersect(x, y)) AS DOUBLE) AS i, length(x) AS a, length(y) AS b FROM p) SELECT p_partkey, round({_SQL_DISTANCE[_name]}, 6) AS d FROM s",
         _label,
     )(_distance(_name))
 
@@ -314,8 +331,8 @@ def dist_blank_aware(spark, sf):
 
 _CODES = "SELECT s_suppkey AS _rid, substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 12) AS value FROM supplier"
 _NOISY = "SELECT s_suppkey AS _rid, substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 12) || CASE WHEN s_suppkey % 10 = 0 THEN ' x' ELSE '' END AS value FROM supplier WHERE s_suppkey % 7 <> 0"
-_PARTS = "SELECT p_partkey AS _rid, p_name AS value FROM part WHERE p_partkey <= 300"
-_LOUD = "SELECT p_partkey AS _rid, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' s' ELSE 'es' END AS value FROM part WHERE p_partkey <= 300"
+_PARTS = "SELECT p_partkey AS _rid, p_name AS value FROM part"
+_LOUD = "SELECT p_partkey AS _rid, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' s' ELSE 'es' END AS value FROM part"
 
 
 def _codes(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +343,7 @@ def _codes(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _parts(spark, sf) -> tuple[DataFrame, DataFrame]:
-    p = _read(spark, sf, "part").where("p_partkey <= 300")
+    p = _read(spark, sf, "part")
     loud = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " s").otherwise("es"))
     return p.select(F.col("p_partkey").alias("_rid"), F.col("p_name").alias("value")), p.select(F.col("p_partkey").alias("_rid"), loud.alias("value"))
 
@@ -377,20 +394,30 @@ def _coded_tables(spark, sf) -> tuple[JoinTable, JoinTable]:
 
 
 _TRUE = f"SELECT c._rid AS src_rid, n._rid AS tgt_rid FROM ({_CODES}) c JOIN ({_NOISY}) n ON starts_with(n.value, c.value)"
-_FUZZY_TRUE = f"WITH {_sql_fuzzy(_CODES, _NOISY, 'q3')} SELECT s_first AS src_rid, t_first AS tgt_rid FROM best, top1 WHERE d <= threshold"
 
 
-@query(_FUZZY_TRUE)
+def _sql_top1(source: str, target: str) -> str:
+    """The join on the nearest values under the tokeniser that covers most target rows, the first among equals."""
+    tried = " UNION ALL ".join(f"SELECT {i} AS o, * FROM (WITH {_sql_fuzzy(source, target, k)} SELECT s, t_first FROM best, top1 WHERE d <= threshold)" for i, k in enumerate(T.JOIN_TOKENISERS))
+    return f"WITH k AS ({tried}), c AS (SELECT o FROM k GROUP BY o ORDER BY count(DISTINCT t_first) DESC, o LIMIT 1) SELECT r._rid AS src_rid, t_first AS tgt_rid FROM ({source}) r JOIN k ON s = value JOIN c USING (o)"
+
+
+def _wide(rows: str) -> str:
+    return f"SELECT _rid, value || ' nation ' || s_nationkey AS value FROM ({rows}) JOIN supplier ON s_suppkey = _rid"
+
+
+@query(_sql_top1(_CODES, _NOISY))
 def fj_c(spark, sf):
-    s, t = _coded_tables(spark, sf)
-    return fuzzy.top1_join(s.values(s.keys), t.values(t.keys), ("q3",)).select("src_rid", "tgt_rid")
+    return methods.METHODS["FJ-C"](*_coded_tables(spark, sf))
 
 
-@query(_FUZZY_TRUE)
+@query(_sql_top1(_wide(_CODES), _wide(_NOISY)))
 def fj_fr(spark, sf):
-    s, t = _coded_tables(spark, sf)
-    rows = lambda x: x.df.select("_rid", S.whole_row(F.col("_cells")).alias("value"))
-    return fuzzy.top1_join(rows(s), rows(t), ("q3",)).select("src_rid", "tgt_rid")
+    """Whole rows of two columns are compared, the second of which many rows share."""
+    n = _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("_rid"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("nation"))
+    table = lambda df, name: JoinTable(df.join(n, "_rid").select("_rid", F.array("value", "nation").alias("_cells")), ["code", "nation"], [0], name)
+    s, t = _codes(spark, sf)
+    return methods.METHODS["FJ-FR"](table(s, "codes"), table(t, "noisy"))
 
 
 _UNMATCHED = f"""u AS (SELECT c._rid AS src_rid, c.value AS s FROM ({_CODES}) c WHERE NOT EXISTS (SELECT 1 FROM ({_NOISY}) n WHERE n.value = c.value)), v AS (SELECT n.value AS t, min(n._rid) AS tgt_rid FROM ({_NOISY}) n WHERE NOT EXISTS (SELECT 1 FROM ({_CODES}) c WHERE n.value = c.value) GROUP BY n.value)"""
@@ -404,45 +431,62 @@ def fuzzy_recovery(spark, sf):
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
-_FEW = "SELECT p_partkey AS _rid, p_name AS value FROM part WHERE p_partkey <= 60"
-_FEW_LOUD = "SELECT p_partkey AS _rid, upper(p_name) || ' ' || p_brand AS value FROM part WHERE p_partkey <= 80"
+_PLAIN = "SELECT p_partkey AS _rid, p_name AS value FROM part"
+_BRANDED = "SELECT p_partkey AS _rid, upper(p_name) || ' ' || p_brand AS value FROM part"
 
 
-def _few(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _branded(spark, sf) -> tuple[DataFrame, DataFrame]:
     p = _read(spark, sf, "part").withColumnRenamed("p_partkey", "_rid")
-    return p.where("_rid <= 60").select("_rid", F.col("p_name").alias("value")), p.where("_rid <= 80").select("_rid", F.concat(F.upper("p_name"), F.lit(" "), "p_brand").alias("value"))
+    return p.select("_rid", F.col("p_name").alias("value")), p.select("_rid", F.concat(F.upper("p_name"), F.lit(" "), "p_brand").alias("value"))
+
 
+def _sql_grid(tokenisers: tuple[str, ...]) -> str:
+    """near: the nearest target row of each source row under each tokeniser and distance; equal values are compared once."""
+    once = lambda rows: f"SELECT value, min(_rid) AS _rid FROM ({rows}) GROUP BY value"
+    met = " UNION ALL ".join(f"SELECT '{k}' AS tok, s.value, t._rid AS tgt_rid, CAST(length(list_intersect(x, y)) AS DOUBLE) AS i, length(x) AS a, length(y) AS b FROM (SELECT *, {_sql_tokens(k, 'value')} AS x FROM ({once(_PLAIN)})) s, (SELECT *, {_sql_tokens(k, 'value')} AS y FROM ({once(_BRANDED)})) t" for k in tokenisers)
+    each = " UNION ALL ".join(f"SELECT tok, '{n}' AS dist, value, tgt_rid, {e} AS d FROM g" for n, e in _SQL_DISTANCE.items())
+    return f"WITH g AS ({met}), e AS ({each}), v AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY tok, dist, value ORDER BY d, tgt_rid) = 1), near AS (SELECT tok, dist, _rid AS src_rid, tgt_rid, d FROM ({_PLAIN}) JOIN v USING (value))"
 
-_GRID_SQL = " UNION ALL ".join(f"SELECT '{k}' AS tok, s._rid AS src_rid, t._rid AS tgt_rid, CAST(length(list_intersect({_sql_tokens(k, 's.value')}, {_sql_tokens(k, 't.value')})) AS DOUBLE) AS i, length({_sql_tokens(k, 's.value')}) AS a, length({_sql_tokens(k, 't.value')}) AS b FROM ({_FEW}) s, ({_FEW_LOUD}) t" for k in T.GRID_TOKENISERS)
-_GRID_DISTANCES = " UNION ALL ".join(f"SELECT tok, '{n}' AS dist, src_rid, tgt_rid, {e} AS d FROM g" for n, e in _SQL_DISTANCE.items())
-_NEAREST = f"WITH g AS ({_GRID_SQL}), e AS ({_GRID_DISTANCES}), near AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY tok, dist, src_rid ORDER BY d, tgt_rid) = 1)"
+
+_NEAREST = _sql_grid(T.GRID_TOKENISERS)
+_GRID = "SELECT tok, dist, CAST(h / 10 AS DOUBLE) AS threshold, src_rid, tgt_rid FROM near, range(1, 11) t(h) WHERE d <= CASE WHEN dist = 'INTERSECT' THEN 1.0 / (1 + h) + 1e-12 ELSE h / 10 END"
+
+
+@query(f"{_sql_grid(('WORD',))} SELECT src_rid, tgt_rid FROM near WHERE dist = 'JACCARD' AND d <= 0.5")
+def fjo_standalone(spark, sf):
+    table = lambda df, name: JoinTable(df.select("_rid", F.array("value").alias("_cells")), ["name"], [0], name)
+    s, t = _branded(spark, sf)
+    return methods.METHODS["FJ-O"](table(s, "parts"), table(t, "branded"))
 
 
 @query(f"{_NEAREST} SELECT tok, dist, src_rid, tgt_rid, round(d, 6) AS d FROM near")
 def fjo_nearest(spark, sf):
-    return oracle.nearest_rows(*_few(spark, sf)).select("tok", "dist", "src_rid", "tgt_rid", F.round("d", 6).alias("d"))
+    return oracle.nearest_rows(*_branded(spark, sf)).select("tok", "dist", "src_rid", "tgt_rid", F.round("d", 6).alias("d"))
 
 
-@query(f"{_NEAREST} SELECT tok, dist, CAST(h / 10 AS DOUBLE) AS threshold, count(*) AS pairs FROM near, range(1, 11) t(h) WHERE d <= CASE WHEN dist = 'INTERSECT' THEN 1.0 / (1 + h) + 1e-12 ELSE h / 10 END GROUP BY ALL")
+@query(f"{_NEAREST}, p AS ({_GRID}) SELECT tok, dist, threshold, count(*) AS pairs FROM p GROUP BY ALL")
 def fjo_grid(spark, sf):
-    pairs = oracle.pairs_at(oracle.nearest_rows(*_few(spark, sf)))
+    pairs = oracle.pairs_at(oracle.nearest_rows(*_branded(spark, sf)))
     return pairs.groupBy("tok", "dist", "threshold").agg(F.count("*").alias("pairs"))
 
 
-@query()
+_PLACES = f"list_position({list(T.GRID_TOKENISERS)!r}, tok), list_position({list(T.GRID_DISTANCES)!r}, dist), threshold"
+
+
+@query(f"{_NEAREST}, p AS ({_GRID}), f AS (SELECT tok, dist, threshold, 2 * count(*) FILTER (WHERE src_rid = tgt_rid) / (count(*) + (SELECT count(*) FROM part)) AS f FROM p GROUP BY ALL) SELECT tok, dist, threshold, f FROM f ORDER BY f DESC, {_PLACES} LIMIT 1")
 def fjo_grid_best(spark, sf):
-    s, t = _few(spark, sf)
+    s, t = _branded(spark, sf)
     truth = s.select(F.col("_rid").alias("src_rid"), F.col("_rid").alias("tgt_rid"))
     return oracle.best_setting(oracle.pairs_at(oracle.nearest_rows(s, t)), truth)
 
 
 @query(
-    f"WITH s AS ({_PARTS}), t AS (SELECT * FROM ({_LOUD}) WHERE _rid % 5 = 0), n AS (SELECT count(*) AS n FROM t), tg AS (SELECT DISTINCT _rid AS tgt_rid, unnest({_sql_tokens('q3', 'value')}) AS gram FROM t), w AS (SELECT gram, pow(log2(n / count(*)), 2) AS w FROM tg, n GROUP BY gram, n), "
+    f"WITH s AS ({_PARTS}), t AS ({_LOUD}), n AS (SELECT count(*) AS n FROM t), tg AS (SELECT DISTINCT _rid AS tgt_rid, unnest({_sql_tokens('q3', 'value')}) AS gram FROM t), w AS (SELECT gram, pow(log2(n / count(*)), 2) AS w FROM tg, n GROUP BY gram, n), "
     f"sg AS (SELECT DISTINCT _rid AS src_rid, unnest({_sql_tokens('q3', 'value')}) AS gram FROM s), x AS (SELECT src_rid, tgt_rid, round(sum(w), 9) AS score FROM sg JOIN w USING (gram) JOIN tg USING (gram) GROUP BY ALL) SELECT src_rid, tgt_rid, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY src_rid ORDER BY score DESC, tgt_rid) <= 5"
 )
 def tfidf_top5(spark, sf):
     s, t = _parts(spark, sf)
-    return substring_match.rare_gram_matches(s, t.where("_rid % 5 = 0")).select("src_rid", "tgt_rid", F.round("score", 6).alias("score"))
+    return substring_match.rare_gram_matches(s, t).select("src_rid", "tgt_rid", F.round("score", 6).alias("score"))
 
 
 @query("SELECT s_suppkey AS _rid, substring(s_name, 1, 3) || '-' || substring(s_name, 10) AS value FROM supplier")
@@ -491,10 +535,10 @@ def aj_without_recovery(spark, sf):
     return derived_join(*_emails(spark, sf), fuzzy=False).pairs
 
 
-@query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier WHERE s_suppkey <= 40")
+@query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier")
 def aj_composite(spark, sf):
     """Both keys hold a name and a remark in brackets; only the split names can be derived from each other."""
-    s = _read(spark, sf, "supplier").where("s_suppkey <= 40")
+    s = _read(spark, sf, "supplier")
     word = lambda c, i: F.initcap(F.translate(F.substring(F.md5(F.concat(F.col(c).cast("string"), F.lit(i))), 1, 7), "0123456789", "ghijklmnop"))
     first, last = word("s_suppkey", "a"), word("s_suppkey", "b")
     a = F.concat(first, F.lit(" "), last, F.lit(" ("), F.col("s_nationkey").cast("string"), F.lit(")"))
@@ -502,6 +546,41 @@ def aj_composite(spark, sf):
     return derived_join(JoinTable.from_df(s.select("s_suppkey", a.alias("who")), ["who"], "s_suppkey"), JoinTable.from_df(s.select("s_suppkey", b.alias("name")), ["name"], "s_suppkey")).pairs
 
 
+_GARBLED = "SELECT s_suppkey AS _rid, substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 12) || '~' || substring(md5('x' || s_suppkey), 1, 1) || '~' || substring(md5(CAST(s_suppkey AS VARCHAR)), 13, 12) AS value FROM supplier"
+_WHOLE = "SELECT s_suppkey AS _rid, substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 24) AS value FROM supplier"
+
+
+@query(f"WITH {_sql_fuzzy(_WHOLE, _GARBLED, 'q3')} SELECT s_first AS src_rid, t_first AS tgt_rid FROM best, rec WHERE d <= threshold AND threshold > 0")
+def fuzzy_only_fallback(spark, sf):
+    """No program makes the letter in the middle, so the raw values are joined."""
+    s = _read(spark, sf, "supplier")
+    code, odd = F.md5(F.col("s_suppkey").cast("string")), F.substring(F.md5(F.concat(F.lit("x"), F.col("s_suppkey").cast("string"))), 1, 1)
+    source = JoinTable.from_df(s.select("s_suppkey", F.substring(code, 1, 24).alias("code")), ["code"], "s_suppkey", "codes")
+    garbled = F.concat(F.substring(code, 1, 12), F.lit("~"), odd, F.lit("~"), F.substring(code, 13, 12))
+    target = JoinTable.from_df(s.select("s_suppkey", garbled.alias("garbled")), ["garbled"], "s_suppkey", "garbled")
+    return one_direction(source, target).pairs
+
+
+@query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier")
+def learn_prefix_of_mixed_lengths(spark, sf):
+    """The key is the first four letters of names of two letters and more, and a number."""
+    s = _read(spark, sf, "supplier")
+    word = F.translate(F.expr("substring(md5(s_name), 1, int(s_suppkey % 8 + 2))"), "0123456789", "ghijklmnop")
+    source = JoinTable.from_df(s.select("s_suppkey", word.alias("word"), F.expr("substring(s_name, 10)").alias("number")), [], "s_suppkey", "names")
+    key = F.concat(F.substring(word, 1, 4), F.lit("/"), F.expr("substring(s_name, 10)"))
+    return methods.METHODS["AJ-E"](source, JoinTable.from_df(s.select("s_suppkey", key.alias("key")), ["key"], "s_suppkey", "keys"))
+
+
+@query("SELECT s_suppkey AS src_rid, s_suppkey AS tgt_rid FROM supplier")
+def learn_split_casing(spark, sf):
+    """The key is a part of a part of the source's column, and the beginning of another in capitals."""
+    s = _read(spark, sf, "supplier")
+    number, code = F.expr("substring(s_name, 10)"), F.translate(F.substring(F.md5("s_name"), 1, 8), "0123456789", "ghijklmnop")
+    source = JoinTable.from_df(s.select("s_suppkey", F.concat(F.lit("id:"), number, F.lit(","), code, F.lit(":z")).alias("x")), ["x"], "s_suppkey", "x")
+    key = F.concat(number, F.lit("-"), F.upper(F.substring(code, 1, 3)))
+    return methods.METHODS["AJ-E"](source, JoinTable.from_df(s.select("s_suppkey", key.alias("key")), ["key"], "s_suppkey", "keys"))
+
+
 @query("SELECT p_partkey, p_type, trim(string_split(p_type, ' ')[1]) AS part0 FROM part")
 def composite_split(spark, sf):
     """p_type with a remark in brackets gets its two parts as columns of their own."""
@@ -516,7 +595,7 @@ def direction_swap(spark, sf):
     return swapped(_read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("src_rid"), F.col("n_regionkey").alias("tgt_rid")))
 
 
-@query("SELECT count(*) AS matched, CAST(0 AS BIGINT) AS unmatched FROM supplier WHERE s_suppkey <= 150")
+@query("SELECT count(*) AS matched, CAST(0 AS BIGINT) AS unmatched FROM supplier")
 def trace_application(spark, sf):
     result = one_direction(*reversed(_tagged(spark, sf)))
     return spark.createDataFrame([(result.trace["application"]["matched"], result.trace["application"]["unmatched"])], "matched long, unmatched long")
@@ -524,12 +603,21 @@ def trace_application(spark, sf):
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------
 
-_RUNS = [("a", "AJ", 1, 10, 0.5, 0.25, 30.0), ("a", "AJ", 4, 10, 1.0, 0.5, 10.0), ("b", "AJ", 2, 0, 0.0, 0.0, 20.0), ("a", "SM", 3, 5, 0.75, 1.0, 7.0), ("b", "SM", 5, 5, 0.25, 0.5, 9.0), ("b", "SM", 6, 4, 0.5, 0.5, 8.0)]
-_RUNS_SQL = "(VALUES " + ", ".join(f"('{p}', '{m}', {s}, {j}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({t} AS DOUBLE))" for p, m, s, j, a, b, t in _RUNS) + ") r(pair_id, method, seq, joined, precision, recall, ms)"
+_RUN = {
+    "pair_id": "o_orderpriority",
+    "method": "concat(o_orderstatus, o_orderkey % 7)",
+    "seq": "o_orderkey",
+    "joined": "o_orderkey % 3",
+    "precision": "(o_orderkey * 31 % 101) / CAST(128 AS DOUBLE)",
+    "recall": "(o_orderkey * 17 % 97) / CAST(128 AS DOUBLE)",
+    "ms": "o_orderkey * 7919 % 10007 / CAST(16 AS DOUBLE)",
+}
+_RUNS_SQL = "(SELECT " + ", ".join(f"{'CAST(' + e + ' AS DOUBLE)' if n in ('precision', 'recall', 'ms') else e} AS {n}" for n, e in _RUN.items()) + " FROM orders) r"
 
 
-def _runs(spark) -> DataFrame:
-    return spark.createDataFrame(_RUNS, "pair_id string, method string, seq int, joined int, precision double, recall double, ms double")
+def _runs(spark, sf) -> DataFrame:
+    """Runs as the result store holds them, made from orders."""
+    return _read(spark, sf, "orders").selectExpr(*[f"cast({e} as double) as {n}" if n in ("precision", "recall", "ms") else f"{e} as {n}" for n, e in _RUN.items()])
 
 
 _PRODUCED = f"SELECT CAST(c._rid AS VARCHAR) AS src_fp, CAST(n._rid AS VARCHAR) AS tgt_fp FROM ({_CODES}) c JOIN ({_NOISY}) n ON left(n.value, 2) = left(c.value, 2)"
@@ -556,27 +644,32 @@ def mismatches(spark, sf):
 
 @query(f"WITH a AS (SELECT method, coalesce(avg(precision) FILTER (WHERE joined > 0), 0) AS precision, avg(recall) AS recall FROM {_RUNS_SQL} GROUP BY method) SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f FROM a")
 def method_averages(spark, sf):
-    return evaluate.method_averages(_runs(spark))
+    return evaluate.method_averages(_runs(spark, sf))
 
 
 @query(f"SELECT * FROM {_RUNS_SQL} QUALIFY row_number() OVER (PARTITION BY pair_id, method ORDER BY seq DESC) = 1")
 def latest_run(spark, sf):
-    return evaluate.latest_runs(_runs(spark))
+    return evaluate.latest_runs(_runs(spark, sf))
 
 
 @query(f"SELECT method, pair_id AS size, list_sort(list(ms))[count(*) // 2 + 1] AS ms FROM {_RUNS_SQL} GROUP BY ALL")
 def median_runs(spark, sf):
-    return evaluate.median_times(_runs(spark).withColumnRenamed("pair_id", "size"))
+    return evaluate.median_times(_runs(spark, sf).withColumnRenamed("pair_id", "size"))
 
 
 @query(f"SELECT count(*) AS runs, avg(precision) AS precision, avg(recall) AS recall FROM {_RUNS_SQL}")
 def run_totals(spark, sf):
-    return evaluate.totals(_runs(spark))
+    return evaluate.totals(_runs(spark, sf))
 
 
 @query(f"SELECT * FROM {_RUNS_SQL} ORDER BY seq DESC LIMIT 5")
 def newest_runs(spark, sf):
-    return evaluate.newest(_runs(spark))
+    return evaluate.newest(_runs(spark, sf))
+
+
+@query(f"WITH l AS (SELECT * FROM {_RUNS_SQL} QUALIFY row_number() OVER (PARTITION BY pair_id, method ORDER BY seq DESC) = 1) SELECT *, CAST(row_number() OVER (ORDER BY recall, precision, pair_id, method) AS INTEGER) AS place FROM l QUALIFY place <= 20")
+def worst_recall(spark, sf):
+    return evaluate.worst_first(_runs(spark, sf))
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------------
