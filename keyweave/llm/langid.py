@@ -25,6 +25,8 @@ DIMENSIONS = 1024
 GRAM = 3
 #: Bound on the labelled documents that a language's prototype is made of.
 DOCS_PER_LANGUAGE = 1500
+#: Languages whose shares are broadcast; of more than these the texts are joined by a shuffle.
+SMALL = 10_000
 UNKNOWN = "und"
 _CACHED = 1 << 15  # n-gram vectors that a worker keeps
 
@@ -92,7 +94,9 @@ class Encoder:
 def training_rows(docs: DataFrame, limit: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """text and lang of at most ``limit`` labelled documents of each language outside the held-out fold, chosen by a hash of doc_id."""
     known = docs.select("text", "lang", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.5 * limit) / F.count("*")).alias("share"))
+    share = materialize(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.5 * limit) / F.count("*")).alias("share")), "languages")
+    if share.count() <= SMALL:  # a name and a number each: texts need no shuffle by language, of which a few hold most
+        share = F.broadcast(share)
     order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     near = known.join(share, "lang").where(order < F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))
