@@ -5,6 +5,7 @@ Positions that do not exist give null, and null passes through concatenation, so
 
 from __future__ import annotations
 
+import unicodedata
 from enum import Enum
 
 from pyspark.sql import Column
@@ -51,7 +52,7 @@ def cased(value: Column, casing: Casing) -> Column:
     if casing is Casing.UPPER:
         return F.upper(value)
     if casing is Casing.TITLE:
-        words = F.split(value, r"(?<=\s)", -1)
+        words = F.split(value, r"(?<=\p{javaWhitespace})", -1)
         return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, TO_END)))), "")
     return value
 
@@ -82,7 +83,7 @@ def py_cased(value: str, casing: Casing) -> str:
         out, first = [], True
         for c in value:
             out.append(c.upper() if first else c.lower())
-            first = c in " \t\n\x0b\f\r"
+            first = c in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f" or unicodedata.category(c)[0] == "Z" and c not in "\u00a0\u2007\u202f"  # what Java calls white space
         return "".join(out)
     return value
 

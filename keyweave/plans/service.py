@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import json
 import threading
 import time
+import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from keyweave.plans.derived import derived_join
 from keyweave.plans.methods import METHODS
 from keyweave.sources.fixtures import Case, find_case, list_cases
 from keyweave.sources.table import csv_lines
+from keyweave.workers import shared_dir
 
 SUMMARY = "seq long, pair_id string, method string, joined long, truths long, true_positives long, precision double, recall double, f double, ms double, forward_won boolean, program string"
 
@@ -30,22 +33,37 @@ class Run:
     seq: int
     summary: dict
     trace: dict
-    header: str = ""
-    lines: list[str] = field(default_factory=list)
+    header: str
+    lines: DataFrame
 
     @property
     def csv(self) -> str:
-        """The joined rows with a header; empty if there is no pair."""
-        return "\n".join([self.header, *self.lines]) + "\n" if self.lines else ""
+        """The joined rows with a header, fetched when asked for; empty if there is no pair."""
+        lines = [r["value"] for r in self.lines.collect()]
+        return "\n".join([self.header, *lines]) + "\n" if lines else ""
 
 
 class Service:
-    """Jobs queue on one thread, so that their times do not overlap; results stay in memory until cleared."""
+    """Jobs queue on one thread, so that their times do not overlap. Results are files below ``store``, from which a new service
+    takes them up again, until cleared."""
 
-    def __init__(self, spark: SparkSession, roots: list[str], data: str, timeout: float = 300.0) -> None:
+    def __init__(self, spark: SparkSession, roots: list[str], data: str, timeout: float = 300.0, store: str | None = None) -> None:
         self.spark, self.roots, self.data, self.timeout = spark, roots, data, timeout
-        self.pool, self.jobs, self.runs = ThreadPoolExecutor(1), {}, {}
-        self.ids, self.settings = itertools.count(1), {}
+        self.store = (store or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}").rstrip("/")
+        self.pool, self.jobs, self.settings = ThreadPoolExecutor(1), {}, {}
+        self.runs = {r.seq: r for r in self._stored()}
+        self.ids = itertools.count(1 + max(self.runs, default=0))
+
+    def _stored(self) -> list[Run]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder) or not len(files.listStatus(folder)):
+            return []
+        return [self._run(json.loads(r["value"])) for r in self.spark.read.text(f"{self.store}/*/run").collect()]
+
+    def _run(self, kept: dict) -> Run:
+        lines = self.spark.read.schema("value string").text(f"{self.store}/{kept['summary']['seq']}/csv")
+        return Run(kept["summary"]["seq"], kept["summary"], kept["trace"], kept["header"], lines)
 
     def cases(self) -> list[dict]:
         out = []
@@ -67,8 +85,8 @@ class Service:
         return {"status": "error", "error": str(state.exception())} if state.exception() else {"status": "done", "result": state.result().seq}
 
     def system_info(self) -> dict:
-        conf = self.spark.sparkContext.getConf()
-        return {"driver_memory": conf.get("spark.driver.memory", ""), "executor_memory": conf.get("spark.executor.memory", ""), "parallelism": self.spark.sparkContext.defaultParallelism, "timeout": self.timeout}
+        conf, heap = self.spark.sparkContext.getConf(), self.spark._jvm.java.lang.Runtime.getRuntime()
+        return {"heap_max": heap.maxMemory(), "heap_used": heap.totalMemory() - heap.freeMemory(), "driver_memory": conf.get("spark.driver.memory", ""), "executor_memory": conf.get("spark.executor.memory", ""), "parallelism": self.spark.sparkContext.defaultParallelism, "timeout": self.timeout}
 
     def run(self, pair_id: str, method: str, seq: int | None = None) -> Run:
         """Runs a method on a case and keeps the result; Spark jobs are cancelled after the timeout."""
@@ -94,7 +112,7 @@ class Service:
             ms = 1000 * (time.perf_counter() - began)
             got = evaluate.scores(evaluate.fingerprints(pairs, s, t, case.source_keys, case.target_keys), truth).first()
             header, lines = csv_lines(pairs, s, t)
-            text = [r["line"] for r in lines.collect()]
+            lines.write.mode("overwrite").text(f"{self.store}/{seq}/csv")
             pairs.unpersist()
         except Exception as e:
             if late.is_set():
@@ -104,7 +122,9 @@ class Service:
             timer.cancel()
             self.spark.removeTag(tag)
         summary = {"seq": seq, "pair_id": pair_id, "method": method, "joined": got["produced"], "truths": got["truths"], "true_positives": got["true_positives"], "precision": got["precision"], "recall": got["recall"], "f": got["f"], "ms": ms, "forward_won": bool(result.forward_won) if result else None, "program": result.program if result else None}
-        self.runs[seq] = Run(seq, summary, trace, header, text)
+        kept = json.dumps({"summary": summary, "trace": trace, "header": header}, default=str)
+        self.spark.createDataFrame([(kept,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.store}/{seq}/run")
+        self.runs[seq] = self._run(json.loads(kept))
         return self.runs[seq]
 
     def tune_oracle(self, pair_ids: list[str]) -> tuple[str, str, float]:
@@ -138,3 +158,5 @@ class Service:
 
     def clear(self) -> None:
         self.runs.clear()
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

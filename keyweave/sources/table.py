@@ -49,9 +49,12 @@ class JoinTable:
     def from_csv(cls, spark: SparkSession, path: str, keys: Sequence[str] = (), name: str = "") -> JoinTable:
         """Blank lines are skipped, the first line is the header; short rows are padded with empty cells, long ones cut to the header.
 
-        A quotation mark switches commas off and on and is dropped; there are no multi-line cells.
+        A quotation mark switches commas off and on and is dropped; there are no multi-line cells. Of several files each may begin with
+        the header.
         """
-        lines = spark.read.text(path).where(F.col("value").rlike(r"[^\x00-\x20]")).select(F.monotonically_increasing_id().alias("_rid"), "value")
+        text = spark.read.text(path)
+        lines = text.select(F.monotonically_increasing_id().alias("_rid"), "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        lines = lines.where(F.col("value").rlike(r"[^\x00-\x20]"))
         parts = F.transform(F.split("value", '"', -1), lambda s, i: F.when(i % 2 == 0, F.translate(s, ",", _CUT)).otherwise(s))
         cells = F.split(F.array_join(parts, ""), _CUT, -1)
         first = lines.select("_rid", F.transform(cells, lambda c: java_trim(c)).alias("_cells")).first()
@@ -59,6 +62,9 @@ class JoinTable:
             raise ValueError("CSV is empty")
         names = [n.removeprefix("﻿") for n in first["_cells"]]
         padded = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: java_trim(F.coalesce(F.get(F.col("_all"), i), F.lit(""))))
+        if len(text.inputFiles()) > 1:  # one row a file
+            heads = lines.where(F.col("_block") == 0).groupBy("_file").agg(F.min_by(F.struct("_rid", F.transform(cells, lambda c: java_trim(c)).alias("_head")), "_rid").alias("_h"))
+            lines = lines.join(heads.where(F.col("_h._head") == F.lit(first["_cells"])).select("_h._rid"), "_rid", "left_anti")
         rows = lines.where(F.col("_rid") != first["_rid"]).select("_rid", cells.alias("_all")).select("_rid", padded.alias("_cells"))
         return cls(rows, names, [i for i, n in enumerate(names) if n in set(keys)], name)
 

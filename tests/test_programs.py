@@ -28,11 +28,14 @@ def test_split_keeps_empty_parts(spark):
         S.split(F.col("v"), "")
 
 
-def test_operators_on_a_row():
+def test_operators_on_a_row(spark):
     assert split_substr(0, ",", 0, 0).apply(ROW) == "Obama"
     assert split_split_substr(0, "(", 0, ",", 1, 1).apply(ROW) == "Barack"
     assert substr(7, 0).apply(ROW) is None
     assert S.py_cased("george w. bush", Casing.TITLE) == "George W. Bush"
+    odd = "\u2003".join(["ab\tcd", "ef\u00a0gh", "ij\x1ckl"])
+    assert S.py_cased(odd, Casing.TITLE) == "Ab\tCd\u2003Ef\u00a0gh\u2003Ij\x1cKl"
+    assert spark.createDataFrame([(odd,)], "v string").select(S.cased(F.col("v"), Casing.TITLE)).first()[0] == S.py_cased(odd, Casing.TITLE)
 
 
 def test_program_text_and_json():

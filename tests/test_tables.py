@@ -34,6 +34,14 @@ def test_rows_and_names(spark):
         JoinTable(t.df, [])
 
 
+def test_csv_of_several_files(spark, tmp_path):
+    """Every file may begin with the header; a row that only looks like it stays."""
+    for k, rows in enumerate((["a,b", "1,x", "a,b"], ["a,b", "2,y"], ["3,z"])):
+        (tmp_path / f"p{k}.csv").write_text("\n".join(rows) + "\n")
+    t = JoinTable.from_csv(spark, str(tmp_path))
+    assert t.names == ["a", "b"] and sorted(tuple(r["_cells"]) for r in t.df.collect()) == [("1", "x"), ("2", "y"), ("3", "z"), ("a", "b")]
+
+
 def test_csv_sink(spark, tmp_path):
     s = JoinTable.from_rows(spark, ["a", "b,c"], [["x", 'q"r'], ["y", "l\nm"]])
     pairs = spark.createDataFrame([(0, 0), (1, 1)], "src_rid long, tgt_rid long")
@@ -64,7 +72,7 @@ def test_service(spark, tmp_path):
     assert [c.pair_id for c in list_cases(roots, str(tmp_path))] == ["codes"]
     with pytest.raises(FileNotFoundError):
         find_case(roots, str(tmp_path), "none")
-    service = Service(spark, roots, str(tmp_path))
+    service = Service(spark, roots, str(tmp_path), store=f"file://{tmp_path}/store")
     assert service.cases()[0]["source"] == {"rows": 8, "columns": 2}
     run = service.run("codes", "AJ-E")
     assert run.summary["precision"] == run.summary["recall"] == 1.0 and run.csv.startswith("first,last,login\n")
@@ -73,5 +81,8 @@ def test_service(spark, tmp_path):
     service.jobs[job][1].result()
     assert service.job_status(job) == {"status": "done", "result": job}
     assert [r["method"] for r in service.results().collect()] == ["FJ-C", "AJ-E"]
+    again = Service(spark, roots, str(tmp_path), store=f"file://{tmp_path}/store")
+    assert again.result(run.seq).csv == run.csv and again.result(run.seq).summary == run.summary and again.system_info()["heap_max"] > 0
     service.clear()
+    assert not Service(spark, roots, str(tmp_path), store=f"file://{tmp_path}/store").runs
     assert service.results().count() == 0 and "timeout" in service.system_info()
