@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -160,6 +160,42 @@ def test_neighbours_fill_the_window():
     assert len(set(first)) == 1 and len(first) == 7
 
 
+def test_neighbours_by_brute_force_bm25():
+    """Scores equal the plain formula, and every window takes the unused documents in the order of their seed's scores."""
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.zipf(1.3, rng.integers(5, 90)) % 300 + 10, 2) for _ in range(60)]
+    df = np.zeros(400, dtype=int)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    mean = np.mean([len(d) for d in docs])
+
+    def bm25(q, d):
+        tf = Counter(d[:-1].tolist())
+        return sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(q[:-1].tolist()) if t in tf)
+
+    index = packing.Index(docs, idf, mean)
+    scores = [[bm25(q, d) for d in docs] for q in docs]
+    assert all(np.allclose(index.scores(k), scores[k]) for k in range(len(docs)))
+    left, windows = {k: len(d) for k, d in enumerate(docs)}, defaultdict(list)
+    for d, _, n, s, o in packing.pack(docs, idf, mean, window=256):
+        windows[s].append((o, d, n))
+    for s in sorted(windows)[: sum(len(d) for d in docs) // 256]:
+        pieces = [(d, n) for _, d, n in sorted(windows[s])]
+        seed = max(left, key=lambda k: (len(docs[k]), -k))  # the longest document that is not used up
+        order = [seed, *sorted((k for k in left if k != seed), key=lambda k: (-scores[seed][k], k))]
+        want, free = [], 256
+        for k in order:
+            if free and left[k]:
+                want.append((k, min(left[k], free)))
+                free -= want[-1][1]
+        assert pieces == want
+        for k, n in pieces:
+            left[k] -= n
+            if not left[k]:
+                del left[k]
+
+
 def test_shards_hold_documents_of_a_topic(spark):
     """Where the documents need many shards, windows still hold documents of one topic, and equal documents spread over shards."""
     rng = np.random.default_rng(3)
