@@ -717,3 +717,26 @@ def ground_truth(spark, sf):
     late = n.select("k", (F.col("k") + 1000).alias("_rid"), F.array(F.col("k").cast("string"), F.col("n_name")).alias("_cells"))
     both = early.unionByName(late).where("k > 0").unionByName(late.where("k = 0").withColumn("_cells", F.array(F.lit("0"), F.lit(" "))))
     return fixtures.ground_truth(JoinTable(both.select("_rid", "_cells"), ["s", "t"]), 1)
+
+
+def _synthetic(case: str, *columns: str) -> Query:
+    """The target of a synthetic case over customers; its columns come from their names and numbers."""
+    made = {"first": "c_mktsegment", "last": "c_name", "hour": "lpad(c_custkey % 24, 2, '0')", "minute": "lpad(c_custkey % 60, 2, '0')", "second": "lpad(c_custkey % 59, 2, '0')", "year": "cast(1980 + c_custkey % 40 as string)", "title": "c_mktsegment", "author1": "c_name"}
+
+    def run(spark, sf):
+        c = _read(spark, sf, "customer").selectExpr("c_custkey AS id", *[f"{made[n]} AS {n}" for n in columns])
+        return fixtures.synthetic(c, case, list(columns))[1].df.select(F.get("_cells", F.lit(0)).alias("target"))
+
+    return run
+
+
+query("SELECT c_mktsegment || c_name AS target FROM customer", "synthetic_nameconcat")(_synthetic("nameconcat", "first", "last"))
+query("SELECT lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c_custkey % 59 AS VARCHAR), 2, '0') AS target FROM customer", "synthetic_time")(_synthetic("time", "hour", "minute", "second"))
+query("SELECT (1980 + c_custkey % 40) || ' ' || c_mktsegment || ' ' || c_name AS target FROM customer", "synthetic_citeseer")(_synthetic("citeseer", "year", "title", "author1"))
+
+
+@query("SELECT c_custkey AS src_rid, CAST(c_custkey AS VARCHAR) AS tgt_fp FROM customer")
+def table_keys(spark, sf):
+    """The key of a table made from a DataFrame, as the joins see it."""
+    t = JoinTable.from_df(_read(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k")), ["k"], "c_custkey")
+    return t.values(t.keys).select(F.col("_rid").alias("src_rid"), F.col("value").alias("tgt_fp"))
