@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A paragraph is a line, cut behind the first mark from LOW characters on, or at HIGH characters.
-LOW, HIGH = 64, 128
+LOW, HIGH = 80, 128
 PIECES = f"[^\n]{{{LOW - 1},{HIGH - 1}}}?[.,;:!?]|[^\n]{{1,{HIGH}}}"
 #: Digests that a shard holds at most on average, and its cells of a subtable in the first try; each further try doubles them.
 SHARD, CELLS = 4, 6
-TRIES, ROUNDS = 24, 12
+TRIES, ROUNDS = 12, 12
 _CELL = "struct<c:bigint,k:bigint,h:bigint>"
 #: Rows that ranges are cut at are chosen among about so many per range.
 _SAMPLE = 16

@@ -11,7 +11,7 @@ from keyweave.llm import fingerprint as fp
 
 
 def parts(text: str) -> set[str]:
-    return set(re.findall(r"[^\n]{63,127}?[.,;:!?]|[^\n]{1,128}", text))
+    return set(re.findall(r"[^\n]{79,127}?[.,;:!?]|[^\n]{1,128}", text))
 
 
 def recovered(fingerprint: str) -> set[int]:
