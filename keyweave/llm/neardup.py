@@ -5,21 +5,22 @@
    inverse_frequencies).
 2. Every document draws SAMPLES consistent weighted samples of its elements (Ioffe 2010); BANDS hashes of ROWS samples each are
    its keys.
-3. Up to FULL texts with an equal key are all candidates of one another. Texts of a hotter key are candidates with the key's most
-   connected text, and all texts of hot keys are joined once more by their elements: two texts that are alike share one of the
-   rarest, in a long enough prefix of them (prefix filter). Up to FULL texts with a prefix element are all candidates of one
-   another; of a more common element, those that could be alike by their common elements are candidates with the CENTRES of them that
-   have the fewest others. So no work grows with the square of a group.
-4. Candidates are verified by the exact weighted Jaccard similarity of their whole texts; connected components of the links, by
-   hooking and pointer jumping over tables, are the classes.
-
-What can be missed is a link between two texts of a hot key that share common elements only, if no chain of links through centres
-joins them (none on the tables tried, see README).
+3. Up to FULL texts with an equal key are all candidates of one another; texts of a hotter key are candidates with the key's most
+   connected text. Candidates are verified by the exact weighted Jaccard similarity of their whole texts; connected components of
+   the links, by hooking and pointer jumping over tables, are classes so far.
+4. What the bands leave out is found exactly: two texts that are alike share an element of their prefixes, their first elements in
+   the order of document frequencies (prefix filter). All texts with such an element in common that are not in one class yet and could
+   be alike by their places in it (positional filter) are compared: up to FULL of them as pairs; more in blocks, two of which meet
+   in a task that gives no more links than join its classes. So no table grows with the pairs of a group.
+   Components of these links join the classes to the final ones.
+
+No link is missed: classes are the components of all pairs with a similarity of ``least`` or more.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import lookup_join, materialize, trim_memory
+from keyweave.llm.common import HOT_LEAST, lookup_join, materialize, trim_memory
 from keyweave.workers import ship
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -39,10 +40,14 @@ SAMPLES = ROWS * BANDS
 RARE = 0.1
 #: The share of documents below which elements count as equally rare.
 FLOOR = 0.01
-#: Texts that are compared each with each: of a band key, or of an element of texts with hot band keys.
+#: Texts that are candidates each with each: of a band key, or of a prefix element.
 FULL = 16
-#: Texts that all texts with a common prefix element are compared with.
-CENTRES = 8
+#: Elements and texts of a block, two of which are compared in a task.
+BLOCK_ELEMENTS, BLOCK_TEXTS = 1 << 18, 1 << 10
+#: Elements of more texts of two blocks are compared by a matrix product, others pair by pair.
+_DENSE = 32
+#: Prefix elements that a task sorts.
+_DEALT = 1 << 19
 _NULL_ID = -(2**63)
 _BLOCK = 1 << 12  # buckets whose counts travel together
 _CHUNK = 4096  # shingles whose samples are drawn at once
@@ -158,103 +163,252 @@ def least_plain(least: float) -> float:
     return least / (least + (1 + RARE) * (1 - least))
 
 
-def inverse_frequencies(texts: DataFrame, total: int) -> np.ndarray:
-    """1 + RARE * ln(share) / ln(FLOOR) of every bucket, share being the documents with an element in it, from FLOOR on, to all.
-
-    Shares are looked at from FLOOR on only, where the elements of other texts that fall into the same bucket matter little: a
-    bucket has about one in BUCKETS of each document's elements, 0.1 % of documents of 300 words, however many documents there are.
-    """
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """The documents with an element in it, of every bucket. texts: a row per text, which _n documents have."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, df = Shingles(), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in batch["_norm"]:
+            for text, n in zip(batch["_norm"], batch["_n"], strict=True):
                 h = shingles(text)
-                df[np.unique((h % np.uint64(BUCKETS)).astype(np.int64))] += 1
+                df[np.unique((h % np.uint64(BUCKETS)).astype(np.int64))] += n
         yield pd.DataFrame({"block": range(BUCKETS // _BLOCK), "df": [x.tobytes() for x in df.reshape(-1, _BLOCK)]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": part["block"].iloc[:1], "df": [sum(np.frombuffer(x, np.int64) for x in part["df"]).tobytes()]})
 
     df = np.zeros(BUCKETS, dtype=np.int64)
-    for r in texts.select("_norm").mapInPandas(count, "block int, df binary").groupBy("block").applyInPandas(add, "block int, df binary").collect():
+    for r in texts.select("_norm", "_n").mapInPandas(count, "block int, df binary").groupBy("block").applyInPandas(add, "block int, df binary").collect():
         df[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["df"], np.int64)
+    return df
+
+
+def idf_of(df: np.ndarray, total: int) -> np.ndarray:
+    """1 + RARE * ln(share) / ln(FLOOR) of every bucket, share being the documents with an element in it, from FLOOR on, to all.
+
+    Shares are looked at from FLOOR on only, where the elements of other texts that fall into the same bucket matter little: a
+    bucket has about one in BUCKETS of each document's elements, 0.1 % of documents of 300 words, however many documents there are.
+    """
     return 1 + RARE * np.log(np.clip(df / max(1, total), FLOOR, 1)) / np.log(FLOOR)
 
 
-def sign(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """_id, _node and the band keys of every document (none without a word)."""
+def inverse_frequencies(texts: DataFrame, total: int) -> np.ndarray:
+    """The weights of all buckets by the texts of column _norm, a document each."""
+    return idf_of(frequencies(texts.select("_norm", F.lit(1).cast("long").alias("_n"))), total)
+
+
+def prefix(elements: np.ndarray, df: np.ndarray, plain: float) -> np.ndarray:
+    """The first n - ceil(plain * n) + 1 of n sorted elements by (frequency of their bucket, element), an order of all elements.
+
+    Two texts with a plain similarity of ``plain`` or more share one of these: the first of all that they share.
+    """
+    n = len(elements)
+    order = np.argsort(df[(elements % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")
+    return elements[order[: n - math.ceil(plain * n - 1e-9) + 1]]
+
+
+def sign(texts: DataFrame, df: np.ndarray, total: int, plain: float) -> DataFrame:
+    """The texts but for _norm, with their band keys, number of elements and prefix (none without a word), and how many of the prefix
+    come before those that too many documents may have for one task."""
+    idf, common = idf_of(df, total), max(HOT_LEAST, FLOOR * total)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for batch in batches:
-            keys = []
+            keys, sizes, first, rare = [], [], [], []
             for text in batch["_norm"]:
                 h = shingles(text)
                 keys.append(band_keys(samples(h, weights(h, idf))) if len(h) else [])
-            yield batch[["_id", "_node"]].assign(_keys=keys)
+                sizes.append(len(h))
+                h = prefix(h, df, plain) if len(h) else h
+                first.append(h.view(np.int64))
+                rare.append(int((df[(h % np.uint64(BUCKETS)).astype(np.int64)] < common).sum()))
+            yield batch.drop(columns="_norm").assign(_keys=keys, _size=sizes, _prefix=first, _rare=rare)
         trim_memory()
 
-    return texts.select("_id", "_node", "_norm").mapInPandas(run, "_id long, _node binary, _keys array<bigint>")
+    return texts.select("_node", "_least", "_n", "_norm").mapInPandas(run, "_node binary, _least long, _n long, _keys array<bigint>, _size long, _prefix array<bigint>, _rare int")
+
+
+def _each_with_each(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of the nodes of every key, each of which has few."""
+    met = rows.groupBy(key).agg(F.collect_list("node").alias("met"))
+    met = met.select(F.explode("met").alias("a"), "met")
+    return met.select("a", F.explode(F.filter("met", lambda x: x > F.col("a"))).alias("b"))
+
 
+def _could(size_a: Column, at_a: Column, size_b: Column, at_b: Column, share: float) -> Column:
+    """Whether two texts whose first common element is at these places can have ``share`` of their sizes' sum in common."""
+    return F.least(size_a - at_a, size_b - at_b) >= F.lit(share) * (size_a + size_b) - F.lit(1e-6)
 
-def _each_with_each(rows: DataFrame, key: str, plain: float) -> DataFrame:
-    """Pairs (a, b) of the nodes of every key, each of which has few, less those whose sizes differ too much (null: unknown)."""
-    met = rows.groupBy(key).agg(F.collect_list(F.struct("node", "size")).alias("met"))
-    met = met.select(F.explode("met").alias("one"), "met")
-    near = lambda x: F.coalesce(F.least(x["size"], F.col("one.size")) >= F.lit(plain - 1e-9) * F.greatest(x["size"], F.col("one.size")), F.lit(True))
-    return met.select(F.col("one.node").alias("a"), F.explode(F.filter("met", lambda x: (x["node"] > F.col("one.node")) & near(x))).alias("b")).select("a", F.col("b.node").alias("b"))
 
+def _first_word(digest: Column) -> Column:
+    """What _words() gives, as a column."""
+    return F.conv(F.concat(*[F.substring(F.hex(digest), 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, -10).cast("long")
 
-def ranked(texts: DataFrame, plain: float, full: int = FULL) -> DataFrame:
-    """node, size (number of elements), common (how many of these more than ``full`` texts have), and the elements of the node's
-    prefix that two to ``full`` texts have (rare) and that more have (hot). texts: a row per _node.
 
-    Of a text with n elements, ordered by how many texts have them, the prefix is the first n - ceil(plain * n) + 1: two texts with a
-    plain similarity of ``plain`` or more have one of these in common.
+def _words(values: pd.Series) -> np.ndarray:
+    """The first eight bytes of each digest."""
+    return np.frombuffer(b"".join(values), dtype=np.int64).reshape(len(values), 2)[:, 0]
+
+
+def shared_rare(prefixes: DataFrame) -> DataFrame:
+    """s, t (the first eight bytes of the node) and ``at`` of the rare prefix elements that texts of several classes have.
+
+    prefixes: _node, root, _prefix and _rare. Elements are dealt by themselves in packed arrays and sorted by numpy, _DEALT of them a task;
+    none of these is an element of more than FLOOR of all documents.
     """
+    names = ["s", "t", "r", "at"]
+    parts = max(1, (prefixes.agg(F.sum("_rare")).first()[0] or 0) // _DEALT)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles()
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                got = [shingles(t) for t in part["_norm"]]
-                sizes = np.array([len(h) for h in got])
-                yield pd.DataFrame({"node": np.repeat(part["_node"].to_numpy(), sizes), "size": np.repeat(sizes, sizes), "s": np.concatenate(got).view(np.int64)})
+            held = batch["_rare"].to_numpy().cumsum() // _DEALT
+            for _, b in batch.groupby(held):
+                n = b["_rare"].to_numpy()
+                s = np.concatenate([x[:k] for x, k in zip(b["_prefix"], n, strict=True)])
+                t, r = _words(b["_node"]), _words(b["root"])
+                # classes of one text are all zeros, which compress well
+                cols = s, np.repeat(t, n), np.repeat(r ^ t, n), (np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                part = (_mix(s.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                own, first = np.unique(part[order], return_index=True)
+                yield pd.DataFrame({"part": own} | {c: [y.tobytes() for y in np.split(x[order], first[1:])] for c, x in zip(names, cols, strict=True)})
         trim_memory()
 
-    rows = materialize(texts.select("_node", "_norm").mapInPandas(run, "node binary, size long, s long"), "shingles")
-    counts = rows.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    out = lookup_join(rows, counts, "s", "n", rows.count(), ["node"])
-    out = out.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "s"))).alias("all"))
-    prefix = F.slice("all", F.lit(1), (F.col("size") - F.ceil(F.col("size") * F.lit(plain) - F.lit(1e-9)) + 1).cast("int"))
-    of = lambda test: F.transform(F.filter(prefix, test), lambda x: x["s"])
-    common = F.size(F.filter("all", lambda x: x["n"] > full)).cast("long")
-    return materialize(out.select("node", "size", common.alias("common"), of(lambda x: (x["n"] > 1) & (x["n"] <= full)).alias("rare"), of(lambda x: x["n"] > full).alias("hot")), "ranked")
-
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([*batches, pd.DataFrame(columns=names)])
+        s, t, r, at = (np.frombuffer(b"".join(got[c]), dtype=np.int32 if c == "at" else np.int64) for c in names)
+        del got
+        order = np.argsort(s, kind="stable")
+        s, t, at, r = s[order], t[order], at[order], (r ^ t)[order]
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else order
+        if len(first):
+            several = np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
+            keep = np.repeat(several, np.diff(np.append(first, len(s))))
+            yield pd.DataFrame({"s": s[keep], "t": t[keep], "at": at[keep]})
+        trim_memory()
 
-def rare_pairs(ranks: DataFrame, plain: float) -> DataFrame:
-    """Pairs (a, b) of texts that share a rare element of their prefixes."""
-    return _each_with_each(ranks.select("node", "size", F.explode("rare").alias("s")), "s", plain)
+    dealt = prefixes.where("_rare > 0").select("_node", "root", "_prefix", "_rare").mapInPandas(deal, "part long, s binary, t binary, r binary, at binary")
+    return dealt.repartition(parts, "part").drop("part").mapInPandas(meet, "s long, t long, at int")
 
 
-def common_pairs(ranks: DataFrame, plain: float) -> DataFrame:
-    """Pairs (a, b) of each text with the CENTRES texts that have the fewest uncommon elements, of those with a common element of
-    its prefix; less the pairs that could not be alike if they share common elements only.
+def meetings(signed: DataFrame, nodes: DataFrame, plain: float) -> DataFrame:
+    """node, size, its class so far (root, a hash), element s of its prefix at place ``at``, and n and load (number and sizes' sum) of
+    the texts with s; where these are of several classes, and less the texts that cannot be alike to one of another class.
 
-    Texts that share common elements only are edited copies of some text; of two texts with the same common elements, the one with
-    fewer others is the more like to every third.
+    Of elements that the same texts have, only the first counts: it has the lowest place in each. signed: what sign() gives; nodes: _node,
+    _size and root.
     """
-    able = ranks.where(F.col("common") >= F.lit(plain - 1e-9) * F.col("size"))
-    rows = materialize(able.select("node", "size", "common", F.explode("hot").alias("s")), "common")
-    own = F.row_number().over(Window.partitionBy("s").orderBy(F.col("size") - F.col("common"), F.desc("common"), "node"))
-    top = rows.withColumn("place", own).where(F.col("place") <= CENTRES).groupBy("s").agg(F.collect_list(F.struct("node", "size", "common")).alias("top"))
-    held = rows.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    met = lookup_join(rows, top.join(held, "s"), "s", "n", rows.count(), ["node"]).where(F.col("top").isNotNull())
-    least = lambda x: F.least(x["common"], F.col("common"))
-    alike = lambda x: least(x) >= F.lit(plain - 1e-9) * (x["size"] + F.col("size") - least(x))
-    return met.select(F.col("node").alias("a"), F.explode(F.filter("top", alike)).alias("b")).select("a", F.col("b.node").alias("b"))
+    share = plain / (1 + plain)
+    own = nodes.select(F.col("_node").alias("node"), F.col("_size").alias("size"), F.xxhash64("root").alias("root"))
+    light = nodes.select("_node", "root")
+    rare = shared_rare(signed.select("_node", "_prefix", "_rare").join(light, "_node"))
+    node_t = own.withColumn("t", _first_word(F.col("node")))
+    rare = rare.join(node_t, "t").select("node", "size", "root", F.col("at").cast("long").alias("at"), "s")
+    rest = F.slice("_prefix", F.col("_rare") + 1, F.size("_prefix"))
+    common = signed.where(F.size("_prefix") > F.col("_rare")).select(F.col("_node").alias("node"), F.col("_rare").alias("skip"), F.posexplode(rest).alias("at", "s"))
+    common = common.join(own, "node").select("node", "size", "root", (F.col("skip") + F.col("at")).cast("long").alias("at"), "s")
+    rows = materialize(rare.unionByName(common), "elements")
+    spare = F.col("size") - F.col("at") - F.lit(share) * F.col("size")  # what a partner's size times share may be at most
+    held = rows.groupBy("s").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("at").alias("places"), F.sum("size").alias("load"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(spare).alias("spare"), F.min("size").alias("least"),
+    )
+    held = held.where((F.col("n") > 1) & (F.col("low") != F.col("high")))
+    held = held.groupBy("n", "who").agg(F.min_by(F.struct("s", "load", "spare", "least"), F.struct("places", "s")).alias("h"))
+    held = materialize(held.select("h.s", "n", "h.load", "h.spare", "h.least"), "heads")
+    out = lookup_join(rows, held.withColumnRenamed("spare", "most"), "s", "n", rows.count(), ["node"]).where(F.col("n").isNotNull())
+    out = out.where((F.lit(share) * F.col("size") <= F.col("most") + F.lit(1e-6)) & (spare >= F.lit(share) * F.col("least") - F.lit(1e-6)))
+    return materialize(out.select("node", "size", "root", "at", "s", "n", "load"), "meetings")
+
+
+def few_pairs(rows: DataFrame, plain: float) -> DataFrame:
+    """Pairs (a, b) of different classes that could be alike, of the elements of at most FULL texts. rows: what meetings() gives."""
+    met = rows.where(F.col("n") <= FULL).groupBy("s").agg(F.collect_list(F.struct("node", "size", "root", "at")).alias("met"))
+    met = met.where(F.size("met") > 1).select(F.explode("met").alias("one"), "met")
+    one = F.col("one")
+    able = lambda x: (x["node"] > one["node"]) & (x["root"] != one["root"]) & _could(x["size"], x["at"], one["size"], one["at"], plain / (1 + plain))
+    return met.select(F.col("one.node").alias("a"), F.explode(F.filter("met", able)).alias("b")).select("a", F.col("b.node").alias("b"))
+
+
+def overlaps(sets: list[np.ndarray], idf: np.ndarray, cut: int) -> np.ndarray:
+    """The weight that each of the first ``cut`` sets has in common with each of the others."""
+    whose = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    found, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    weight = weights(found, idf).astype(np.float32)
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")  # by element, then set
+    order = order[(count[at[order]] > 1) & (count[at[order]] <= _DENSE)]
+    for step in range(1, _DENSE):
+        same = np.flatnonzero(at[order[step:]] == at[order[:-step]]) if step < len(order) else order[:0]
+        if not len(same):
+            break
+        low, high = order[same], order[same + step]
+        out += np.bincount(whose[low] * len(sets) + whose[high], weight[at[low]], minlength=out.size).reshape(out.shape)
+    out = out[:cut, cut:]
+    column = np.full(len(found), -1)
+    common = np.flatnonzero(count > _DENSE)
+    column[common] = np.arange(len(common))
+    for start in range(0, len(common), 4096):
+        held = np.flatnonzero((column[at] >= start) & (column[at] < start + 4096))
+        dense = np.zeros((len(sets), min(4096, len(common) - start)), dtype=np.float32)
+        dense[whose[held], column[at[held]] - start] = np.sqrt(weight[at[held]])
+        out += dense[:cut] @ dense[cut:].T
+    return out
+
+
+def joining(sets: list[np.ndarray], roots: np.ndarray, cut: int, idf: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of the first ``cut`` sets and the others that are alike, as many as join all classes that such pairs join."""
+    weight = [weights(x, idf) for x in sets]
+    total = np.array([w.sum() for w in weight])
+    both = overlaps(sets, idf, cut)
+    near = both / (total[:cut, None] + total[None, cut:] - both)
+    label = np.unique(roots, return_inverse=True)[1]
+    for i in np.flatnonzero((near >= least - 1e-3).any(axis=1)).tolist():
+        # rounding may be wrong about those close to the threshold only, which come last
+        for j in np.argsort(-near[i], kind="stable")[: int((near[i] >= least - 1e-3).sum())].tolist():
+            k = cut + j
+            if label[i] != label[k] and (near[i, j] >= least + 1e-3 or similarity((sets[i], weight[i]), (sets[k], weight[k])) >= least):
+                label[label == label[k]] = label[i]
+                yield i, k
+
+
+def block_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Verified pairs (a, b) that join the classes of all alike texts of each element of more than FULL. rows: what meetings() gives."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        shingles = Shingles()
+        part = part.sort_values("node")
+        if part["x"].iloc[0] == part["y"].iloc[0]:
+            first = second = np.arange(len(part))
+        else:
+            first, second = np.flatnonzero(part["own"] == part["x"]), np.flatnonzero(part["own"] == part["y"])
+        found: list[tuple[bytes, bytes]] = []
+        root, node = part["root"].to_numpy(), part["node"].to_numpy()
+        if len(first) and len(second) and len(np.unique(root)) > 1:
+            own = [shingles(t) for t in part["_norm"]]
+            at = np.concatenate([first, second])
+            found = [(node[at[i]], node[at[j]]) for i, j in joining([own[i] for i in at], root[at], len(first), idf, least)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    rows = rows.where(F.col("n") > FULL)
+    blocks = F.greatest(F.ceil(F.col("load") / F.lit(BLOCK_ELEMENTS)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS)))
+    rows = rows.withColumn("blocks", blocks.cast("long")).withColumn("own", F.pmod(F.xxhash64("node", "s"), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("s", "node", "root", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
+    texts = texts.select(F.col("_node").alias("node"), "_norm")
+    return rows.hint("merge").join(texts, "node").groupBy("s", "x", "y").applyInPandas(run, "a binary, b binary")
+
+
+def missing_links(signed: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Verified pairs (a, b) of roots that join classes so far to the classes of all alike texts. As for meetings()."""
+    plain = least_plain(least)
+    rows = meetings(signed, nodes, plain)
+    pairs = materialize(_ordered(few_pairs(rows, plain)), "few")
+    texts = texts_of(texts, pairs.select("a"), pairs.select("b"), rows.where(F.col("n") > FULL).select("node"))
+    got = materialize(verified(pairs, texts, idf, least).unionByName(block_links(rows, texts, idf, least)), "missing")
+    root = lambda c: nodes.select(F.col("_node").alias(c), F.col("root").alias(f"_{c}"))
+    return got.join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -268,13 +422,13 @@ def shared(nodes: DataFrame, total: int) -> DataFrame:
     return materialize(lookup_join(rows, counts, "key", "n", total, ["node"]).where(F.col("n").isNotNull()), "shared")
 
 
-def candidates(rows: DataFrame, total: int, plain: float) -> DataFrame:
+def candidates(rows: DataFrame, total: int) -> DataFrame:
     """Pairs (a, b) of nodes with an equal band key: all of a key with at most FULL nodes, of a hotter one each with its centre.
 
     rows: what shared() gives. The centre is the node that shares most keys with most nodes, such as the text that edited copies
-    were made from.
+    were made from. The other pairs of hot keys are left to missing_links().
     """
-    few = _each_with_each(rows.where(F.col("n") <= FULL).select("key", "node", F.lit(None).cast("long").alias("size")), "key", plain)
+    few = _each_with_each(rows.where(F.col("n") <= FULL).select("key", "node"), "key")
     rows = rows.where(F.col("n") > FULL)
     known = materialize(rows.join(rows.groupBy("node").agg(F.sum("n").alias("met")), "node").select("key", "node", "met"), "known")
     centres = known.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"), F.count("*").alias("n"))
@@ -283,12 +437,18 @@ def candidates(rows: DataFrame, total: int, plain: float) -> DataFrame:
 
 
 def links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, total: int, least: float) -> DataFrame:
-    """Verified pairs (a, b), a < b, that connect the texts which are alike and share a band key."""
-    plain = least_plain(least)
-    hot = texts.hint("merge").join(rows.where(F.col("n") > FULL).select(F.col("node").alias("_node")).distinct(), "_node", "left_semi")
-    ranks = ranked(hot, plain)
-    pairs = candidates(rows, total, plain).unionByName(rare_pairs(ranks, plain)).unionByName(common_pairs(ranks, plain))
-    return verified(materialize(_ordered(pairs), "candidates"), texts, idf, least)
+    """Verified pairs (a, b), a < b, of the candidates by band keys."""
+    pairs = materialize(_ordered(candidates(rows, total)), "candidates")
+    return verified(pairs, texts_of(texts, pairs.select("a"), pairs.select("b")), idf, least)
+
+
+def texts_of(texts: DataFrame, *nodes: DataFrame) -> DataFrame:
+    """_node and _norm of the nodes in these tables of one column, so that the others are not moved by every join."""
+    need = nodes[0]
+    for more in nodes[1:]:
+        need = need.union(more)
+    need = materialize(need.toDF("_node").distinct(), "need")
+    return materialize(texts.select("_node", "_norm").join(need, "_node", "left_semi"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -357,21 +517,22 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     norm = normalized(F.col(f"`{text}`"))
     texts = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.lit(_NULL_ID)).cast("long").alias("_id"), norm.alias("_norm"))
     texts = texts.withColumn("_node", F.unhex(F.md5("_norm")))
-    total = docs.count()
-    idf = inverse_frequencies(texts, total)
-    signed = materialize(sign(texts, idf), "signed")
-    worded = signed.where(F.size("_keys") > 0)
-    nodes = materialize(worded.groupBy("_node").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"), F.first("_keys").alias("_keys")), "nodes")
-    rows = shared(nodes, total)
-    met = rows.select(F.col("node").alias("_node")).distinct()
-    once = materialize(texts.groupBy("_node").agg(F.first("_norm").alias("_norm")).hint("merge").join(met, "_node", "left_semi"), "once")
-    roots = components(links(rows, once, idf, total, least))
-    node = nodes.drop("_keys").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    node = materialize(node, "rooted")
+    ids = materialize(texts.select("_id", "_node"), "ids")
+    total = ids.count()
+    once = materialize(texts.groupBy("_node").agg(F.first("_norm").alias("_norm"), F.min("_id").alias("_least"), F.count("*").alias("_n")), "once")
+    df = frequencies(once)
+    idf = idf_of(df, total)
+    signed = materialize(sign(once, df, total, least_plain(least)).where("_size > 0"), "signed")
+    roots = components(links(shared(signed, total), once, idf, total, least))
+    node = signed.select("_node", "_least", "_n", "_size").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    node = materialize(node.withColumn("root", F.coalesce("root", "_node")), "rooted")
+    ends = components(missing_links(signed, node, once, idf, least)).select(F.col("node").alias("root"), F.col("root").alias("_end"))
+    node = node.select("_node", "_least", "_n", "root").join(ends, "root", "left")
+    node = materialize(node.select("_node", "_least", "_n", F.coalesce("_end", "root").alias("root")), "joined")
     whole = node.groupBy("root").agg(F.min(F.struct("_least", "_node")).alias("_first"), F.sum("_n").alias("class_size"), F.count("*").alias("_texts"))
     node = lookup_join(node, whole, "root", "_texts", total, ["_node"]).select("_node", "_n", "class_size", "_first")
     node = materialize(node, "classes")
-    out = lookup_join(signed.select("_id", "_node"), node, "_node", "_n", total, ["_id"])
+    out = lookup_join(ids, node, "_node", "_n", total, ["_id"])
     alone = F.col("class_size").isNull()
     return out.select("_id", "_node", F.when(alone, F.col("_id")).otherwise(F.col("_first._least")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.struct(F.col("_id").alias("_least"), "_node") == F.col("_first"))).alias("_keeper"))
 

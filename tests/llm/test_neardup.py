@@ -118,6 +118,70 @@ def test_links_of_common_elements_only(spark):
     assert not wrong and len(set(root)) <= len(set(got.values())) <= 1.05 * len(set(root)) and 10 < len(set(root)) < 150
 
 
+def pair_without_a_key(seed: int) -> list[str]:
+    """Two texts that share 86 of 106 shingles."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    w = [word() for _ in range(100)]
+    return [" ".join(w), " ".join(w[:90] + [word() for _ in range(10)])]
+
+
+def test_a_pair_that_shares_no_band_key(spark):
+    texts = pair_without_a_key(1924)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = neardup.inverse_frequencies(df.select(F.col("text").alias("_norm")), 2)
+    sets = [(h, neardup.weights(h, idf)) for h in map(neardup.Shingles(), texts)]
+    assert neardup.similarity(*sets) >= 0.8
+    assert not len(np.intersect1d(*(neardup.band_keys(neardup.samples(*s)) for s in sets)))
+    assert {r["class_id"] for r in neardup.classes_query(df).collect()} == {0}
+
+
+def test_all_links_of_common_elements(spark):
+    """As above, of more texts than a task gets at once and exactly; all elements are too common to be sorted in one task."""
+    rng = random.Random(11)
+    words = [["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(10)] for _ in range(40)]
+    rows = [(i, " ".join(w for k, s in enumerate(words) if k not in set(random.Random(i).sample(range(40), 6)) for w in s)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes_query(df).collect()}
+    idf = neardup.inverse_frequencies(df.select(F.col("text").alias("_norm")), len(rows))
+    sets = [neardup.Shingles()(t) for _, t in rows]
+    found = np.unique(np.concatenate(sets))
+    has = np.stack([np.isin(found, s, assume_unique=True) for s in sets]).astype(float)
+    both = (has * neardup.weights(found, idf)) @ has.T
+    alike = both / (both.diagonal()[:, None] + both.diagonal()[None] - both) >= 0.8
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(alike, root[None], len(rows)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    assert got == dict(enumerate(root.tolist())) and sum(map(len, sets)) > neardup.BLOCK_ELEMENTS and 1 < len(set(root.tolist())) < 900
+
+
+def test_blocks_give_no_more_links_than_join_classes():
+    """Alike and unlike sets of both ways of counting, against the similarity of each pair."""
+    rng = np.random.default_rng(3)
+    idf = 1 + 0.1 * rng.random(neardup.BUCKETS)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.93], rng.integers(0, 2**63, rng.integers(1, 30), dtype=np.uint64)])) for b in (base, base, base[:200]) for _ in range(25)]
+    sets += [np.unique(np.concatenate([s[:-2], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for s in sets[:20]]
+    pairs = {(i, j) for i in range(50) for j in range(50, len(sets)) if neardup.similarity(*((sets[x], neardup.weights(sets[x], idf)) for x in (i, j))) >= 0.8}
+    both = neardup.overlaps(sets, idf, 50)
+    want = [[neardup.weights(np.intersect1d(a, b), idf).sum() for b in sets[50:]] for a in sets[:50]]
+    assert np.allclose(both, want, rtol=1e-4)
+    got = set(neardup.joining(sets, np.arange(len(sets)), 50, idf, 0.8))
+    assert got <= pairs and len(got) < len(pairs)
+
+    def classes(links):
+        root = list(range(len(sets)))
+        for i, j in links:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    assert classes(got) == classes(pairs) and len(got) == len(sets) - len(set(classes(got)))
+
+
 def test_clashing_columns_pass_through(spark):
     names = ["doc_id", "text", "_id", "_node", "_nth", "row", "a.b"]
     df = spark.createDataFrame([(i, "same text here", *["keep"] * 5) for i in (3, 1, 2)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
