@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from keyweave.workers import shared_dir, ship
 #: A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
 HOT_LEAST = 500
+#: Whether a query's shuffle files are removed when it ends, and not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -25,11 +28,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below the shared folder and reread: lineage is cut, and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
+    """df written as Parquet below the shared folder and reread: lineage is cut, and a lost executor loses nothing.
+
+    Its shuffle files go as soon as it is written, and so do the scratch tables in ``drop``, which nothing may read any more.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    discard(*drop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() gave and that nothing reads any more."""
+    for t in tables:
+        p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

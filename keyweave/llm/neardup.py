@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import HOT_LEAST, lookup_join, materialize, trim_memory
+from keyweave.llm.common import HOT_LEAST, discard, lookup_join, materialize, trim_memory
 from keyweave.workers import ship
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -319,7 +319,7 @@ def meetings(signed: DataFrame, nodes: DataFrame, plain: float) -> DataFrame:
     held = materialize(held.select("h.s", "n", "h.load", "h.spare", "h.least"), "heads")
     out = lookup_join(rows, held.withColumnRenamed("spare", "most"), "s", "n", rows.count(), ["node"]).where(F.col("n").isNotNull())
     out = out.where((F.lit(share) * F.col("size") <= F.col("most") + F.lit(1e-6)) & (spare >= F.lit(share) * F.col("least") - F.lit(1e-6)))
-    return materialize(out.select("node", "size", "root", "at", "s", "n", "load"), "meetings")
+    return materialize(out.select("node", "size", "root", "at", "s", "n", "load"), "meetings", drop=(rows, held))
 
 
 def few_pairs(rows: DataFrame, plain: float) -> DataFrame:
@@ -401,12 +401,15 @@ def block_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float
 
 
 def missing_links(signed: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Verified pairs (a, b) of roots that join classes so far to the classes of all alike texts. As for meetings()."""
+    """Verified pairs (a, b) of roots that join classes so far to the classes of all alike texts. As for meetings(). Deletes signed and texts."""
     plain = least_plain(least)
     rows = meetings(signed, nodes, plain)
+    discard(signed)
     pairs = materialize(_ordered(few_pairs(rows, plain)), "few")
-    texts = texts_of(texts, pairs.select("a"), pairs.select("b"), rows.where(F.col("n") > FULL).select("node"))
-    got = materialize(verified(pairs, texts, idf, least).unionByName(block_links(rows, texts, idf, least)), "missing")
+    own = texts_of(texts, pairs.select("a"), pairs.select("b"), rows.where(F.col("n") > FULL).select("node"))
+    discard(texts)
+    got = verified(pairs, own, idf, least).unionByName(block_links(rows, own, idf, least))
+    got = materialize(got, "missing", drop=(rows, pairs, own))
     root = lambda c: nodes.select(F.col("_node").alias(c), F.col("root").alias(f"_{c}"))
     return got.join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
@@ -437,9 +440,10 @@ def candidates(rows: DataFrame, total: int) -> DataFrame:
 
 
 def links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, total: int, least: float) -> DataFrame:
-    """Verified pairs (a, b), a < b, of the candidates by band keys."""
-    pairs = materialize(_ordered(candidates(rows, total)), "candidates")
-    return verified(pairs, texts_of(texts, pairs.select("a"), pairs.select("b")), idf, least)
+    """Verified pairs (a, b), a < b, of the candidates by band keys. Deletes rows."""
+    pairs = materialize(_ordered(candidates(rows, total)), "candidates", drop=(rows,))
+    own = texts_of(texts, pairs.select("a"), pairs.select("b"))
+    return materialize(verified(pairs, own, idf, least), "verified", drop=(pairs, own))
 
 
 def texts_of(texts: DataFrame, *nodes: DataFrame) -> DataFrame:
@@ -448,7 +452,7 @@ def texts_of(texts: DataFrame, *nodes: DataFrame) -> DataFrame:
     for more in nodes[1:]:
         need = need.union(more)
     need = materialize(need.toDF("_node").distinct(), "need")
-    return materialize(texts.select("_node", "_norm").join(need, "_node", "left_semi"), "texts")
+    return materialize(texts.select("_node", "_norm").join(need, "_node", "left_semi"), "texts", drop=(need,))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
