@@ -70,10 +70,10 @@ def _row_id(doc_id: Column, text: Column) -> Column:
 
 
 def repeated(lines: DataFrame) -> DataFrame:
-    """doc, rid and pos of the lines of which an earlier document has a template. lines: what parsed() gives, as a table."""
+    """doc, rid and pos of the lines of which an earlier document has a template. lines: what parsed() gives, as a table, which is deleted."""
     leaves = lines.groupBy("leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high")
     met = lookup_join(lines, leaves.select("leaf", "low", "size"), "leaf", "size", lines.count(), ["rid", "pos"]).where(F.col("low").isNotNull())
-    met = materialize(met.drop("low", "size"), "lines-met")
+    met = materialize(met.drop("low", "size"), "lines-met", drop=(lines,))
     total = met.count()
     once = met.groupBy("line").agg(*[F.first(c).alias(c) for c in ("leaf", "n", "part")], F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("size"))
     once = materialize(once, "lines-once")
@@ -83,7 +83,7 @@ def repeated(lines: DataFrame) -> DataFrame:
     earlier = shared.where(F.col("start").isNotNull()).groupBy("line").agg(F.min("start").alias("start"))
     origin = once.select("line", "first", "last", "size").join(earlier, "line", "left").withColumn("origin", F.least("first", "start"))
     hit = lookup_join(met.select("doc", "rid", "pos", "line"), origin.where("origin < last").select("line", "origin", "size"), "line", "size", total, ["rid", "pos"])
-    return hit.where(F.col("origin") < F.col("doc")).select("doc", "rid", "pos")
+    return materialize(hit.where(F.col("origin") < F.col("doc")).select("doc", "rid", "pos"), "lines-repeated", drop=(met, once, keyed))
 
 
 def _stripped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

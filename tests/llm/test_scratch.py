@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from keyweave.llm import common, neardup
+import corpus_pipeline
+from keyweave.llm import common, linededup, neardup
 
 
 def local_bytes(spark) -> int:
@@ -42,3 +43,17 @@ def test_near_duplicates_leave_no_text_behind(spark, documents):
     assert neardup.classes_query(documents).count() == documents.count()
     left = {x.rsplit("-", 1)[0] for x in os.listdir(common.shared_dir(spark).removeprefix("file:")) if x not in before}
     assert {"ids", "classes"} <= left and not left & {"once", "signed", "texts", "shared", "candidates", "elements", "heads", "meetings", "few", "need"}
+
+
+def test_lines_leave_no_line_behind(spark, documents):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert linededup.lines_query(documents).count() == documents.count()
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(folder) if x not in before} == {"lines-repeated"}
+
+
+def test_pipeline_keeps_one_stage(spark, sf_dir):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [x.rsplit("-", 1)[0] for x in os.listdir(folder) if x not in before and x.startswith("stage-")] == ["stage-private"]
