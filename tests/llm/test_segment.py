@@ -76,3 +76,17 @@ def test_query(documents, odd_docs):
     assert segment.segments_query(odd_docs.limit(0)).count() == 0
     back = segment.decode(segment.sample(odd_docs.where("doc_id = 5")))
     assert {r["text"] for r in back.collect()} == {"\n\n \n"}
+
+
+def test_query_walks_down_from_several_paths(documents):
+    """The second sample always leaves the first's path; only later ones choose among paths."""
+    texts = [r["text"] or "" for r in documents.select("text").limit(100).collect()]
+    distinct, words, text = segment.split_words(P, texts)
+    search, chosen = segment.Search(segment.Lattices(P, distinct), words, text, len(texts), seeds(len(texts))), np.zeros(len(texts), dtype=bool)
+    for _ in range(segment.SAMPLES - 1):
+        value, whose = search.front()
+        chosen |= np.isfinite(value) & (whose > 0)
+        search.more()
+    assert chosen.mean() > 0.9
+    rows = Counter(r["doc_id"] for r in segment.segments_query(documents).select("doc_id").collect())
+    assert max(rows.values()) == segment.SAMPLES and sum(n == segment.SAMPLES for n in rows.values()) > 0.9 * len(rows)
