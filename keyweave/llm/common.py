@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
     """df written as Parquet below the shared folder and reread: lineage is cut, and a lost executor loses nothing.
 
@@ -35,12 +49,8 @@ def materialize(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> Dat
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     discard(*drop)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

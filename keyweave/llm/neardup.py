@@ -11,7 +11,8 @@
 4. What the bands leave out is found exactly: two texts that are alike share an element of their prefixes, their first elements in
    the order of document frequencies (prefix filter). All texts with such an element in common that are not in one class yet and could
    be alike by their places in it (positional filter) are compared: up to FULL of them as pairs; more in blocks, two of which meet
-   in a task that gives no more links than join its classes. So no table grows with the pairs of a group.
+   in a task that gives no more links than join its classes. So no table grows with the pairs of a group. Sketches meet first, which
+   bound what two texts have in common from above; whole texts go only where these leave a partner.
    Components of these links join the classes to the final ones.
 
 No link is missed: classes are the components of all pairs with a similarity of ``least`` or more.
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm.common import HOT_LEAST, discard, lookup_join, materialize, trim_memory
+from keyweave.llm.common import HOT_LEAST, discard, lookup_join, materialize, settings, trim_memory
 from keyweave.workers import ship
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -50,7 +51,9 @@ _DENSE = 32
 _DEALT = 1 << 19
 _NULL_ID = -(2**63)
 _BLOCK = 1 << 12  # buckets whose counts travel together
-_CHUNK = 4096  # shingles whose samples are drawn at once
+_CHUNK = 1024  # shingles whose samples are drawn at once; more do not fit a core's cache
+_BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
+_BLOOM_BITS = 1 << 26  # as many as Spark allows
 
 
 def normalized(text: Column) -> Column:
@@ -115,6 +118,12 @@ def _draws() -> tuple[np.ndarray, ...]:
     return *tables, g.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
 
+@functools.cache
+def _room() -> tuple[np.ndarray, ...]:
+    """What samples() writes to: new arrays of this size would cost as much as what is worked out in them."""
+    return tuple(np.empty(SAMPLES * _CHUNK, dtype=d) for d in (np.uint64, np.uint64, np.intp, np.intp, np.float32, np.float32, np.float32))
+
+
 def weights(elements: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return idf[(elements % np.uint64(BUCKETS)).astype(np.int64)]
 
@@ -124,18 +133,31 @@ def samples(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     r, inverse, ln_c, beta, factor = _draws()
     best, out = np.full(SAMPLES, np.inf, dtype=np.float32), np.zeros(SAMPLES, dtype=np.uint64)
     ln_w = np.log(weight).astype(np.float32)
+    row, held = np.arange(SAMPLES), _room()
     for i in range(0, len(hashes), _CHUNK):
         h = hashes[i : i + _CHUNK]
+        drawn, more, at, at_r, t, b, ln_a = (x[: SAMPLES * len(h)].reshape(SAMPLES, len(h)) for x in held)
         # r, c and beta are looked up by bits of their own
-        drawn = h[None, :] * factor[:, None]
-        drawn ^= drawn >> np.uint64(31)
+        np.multiply(h[None, :], factor[:, None], out=drawn)
+        np.right_shift(drawn, np.uint64(31), out=more)
+        drawn ^= more
         drawn *= np.uint64(0xD6E8FEB86659FD93)
-        at_r = (drawn >> np.uint64(48)).astype(np.int32)
-        b = beta[((drawn >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)]
-        t = np.floor(ln_w[None, i : i + _CHUNK] * inverse[at_r] + b)
-        ln_a = ln_c[((drawn >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int32)] - r[at_r] * (t - b + np.float32(1))
+        np.right_shift(drawn, np.uint64(48), out=at_r.view(np.uint64))
+        halves = drawn.view(np.uint16).reshape(SAMPLES, len(h), 4)
+        at[:] = halves[:, :, 2]
+        beta.take(at, out=b, mode="clip")
+        inverse.take(at_r, out=t, mode="clip")
+        t *= ln_w[None, i : i + _CHUNK]
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        b += np.float32(1)
+        r.take(at_r, out=ln_a, mode="clip")
+        b *= ln_a
+        at[:] = halves[:, :, 1]
+        ln_c.take(at, out=ln_a, mode="clip")
+        ln_a -= b
         k = np.argmin(ln_a, axis=1)
-        row = np.arange(SAMPLES)
         least = ln_a[row, k]
         new = least < best
         best[new] = least[new]
@@ -144,12 +166,61 @@ def samples(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
-    keys = np.arange(BANDS, dtype=np.uint64)
+    """The keys of samples [..., SAMPLES]."""
+    keys, sample = np.arange(BANDS, dtype=np.uint64), sample.reshape(*sample.shape[:-1], BANDS, ROWS)
     for j in range(ROWS):
-        keys = _mix(keys * np.uint64(31) + sample.reshape(BANDS, ROWS)[:, j])
+        keys = _mix(keys * np.uint64(31) + sample[..., j])
     return keys.view(np.int64)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements have each beginning, in four bits; as many beginnings as a power of two of at least len(elements). Empty if four bits do not do."""
+    bits = max(6, (len(elements) - 1).bit_length())
+    n = np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return b"" if n.max() > 15 else (n[::2] | n[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def _counts(sketches: list[bytes], width: int) -> np.ndarray:
+    """What sketches of one length count, [sketch, beginning], for ``width`` beginnings or fewer of them."""
+    raw = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1)
+    out = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(raw), width, -1)
+    return out[:, :, 0] if out.shape[2] == 1 else out.sum(axis=2, dtype=np.int32)
+
+
+def _by_length(sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    size = np.fromiter(map(len, sketches), dtype=np.int64, count=len(sketches))
+    for n in np.unique(size[size > 0]).tolist():
+        yield n, np.flatnonzero(size == n)
+
+
+def common_at_most(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """At least as many elements as each of a's texts has in common with the one of b at its place."""
+    out = np.full(len(a), np.inf)
+    for n, i in _by_length(a):
+        for m, j in _by_length([b[k] for k in i]):
+            at, width = i[j].tolist(), 2 * min(n, m)
+            out[at] = np.minimum(_counts([a[k] for k in at], width), _counts([b[k] for k in at], width)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def partners(a: list[bytes], b: list[bytes], able: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Those of the pairs [a, b] in ``able`` that may have ``least`` elements in common by their sketches."""
+    out = able.copy()
+    for n, i in _by_length(a):
+        for m, j in _by_length(b):
+            i_, j_ = i[able[np.ix_(i, j)].any(axis=1)], j[able[np.ix_(i, j)].any(axis=0)]
+            if not len(i_):
+                continue
+            width = 2 * min(n, m)
+            one, two = _counts([a[k] for k in i_], width), _counts([b[k] for k in j_], width)
+            both = np.zeros((len(i_), len(j_)), dtype=np.float32)
+            for k in range(1, int(min(one.max(), two.max())) + 1):  # the sum of minima is that of all k of how often both are at least k
+                held = np.flatnonzero((one >= k).any(axis=0) & (two >= k).any(axis=0))
+                both += (one[:, held] >= k).astype(np.float32) @ (two[:, held] >= k).astype(np.float32).T
+            out[np.ix_(i_, j_)] &= both >= least[np.ix_(i_, j_)]
+    return out
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The weighted Jaccard similarity of two sets of (sorted elements, weights); an element weighs the same in both."""
     _, i, _ = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -171,7 +242,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for text, n in zip(batch["_norm"], batch["_n"], strict=True):
                 h = shingles(text)
-                df[np.unique((h % np.uint64(BUCKETS)).astype(np.int64))] += n
+                df[(h % np.uint64(BUCKETS)).astype(np.int64)] += n  # once for each bucket
         yield pd.DataFrame({"block": range(BUCKETS // _BLOCK), "df": [x.tobytes() for x in df.reshape(-1, _BLOCK)]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
@@ -208,25 +279,29 @@ def prefix(elements: np.ndarray, df: np.ndarray, plain: float) -> np.ndarray:
 
 
 def sign(texts: DataFrame, df: np.ndarray, total: int, plain: float) -> DataFrame:
-    """The texts but for _norm, with their band keys, number of elements and prefix (none without a word), and how many of the prefix
-    come before those that too many documents may have for one task."""
+    """The texts but for _norm, with their band keys, number of elements, prefix (none without a word) and sketch, and how many of the
+    prefix come before those that too many documents may have for one task."""
     idf, common = idf_of(df, total), max(HOT_LEAST, FLOOR * total)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for batch in batches:
-            keys, sizes, first, rare = [], [], [], []
+            drawn, sizes, first, rare, sketches = [np.empty((0, SAMPLES), dtype=np.uint64)], [], [], [], []
             for text in batch["_norm"]:
                 h = shingles(text)
-                keys.append(band_keys(samples(h, weights(h, idf))) if len(h) else [])
+                if len(h):
+                    drawn.append(samples(h, weights(h, idf))[None])
                 sizes.append(len(h))
+                sketches.append(sketch(h) if len(h) else b"")
                 h = prefix(h, df, plain) if len(h) else h
                 first.append(h.view(np.int64))
                 rare.append(int((df[(h % np.uint64(BUCKETS)).astype(np.int64)] < common).sum()))
-            yield batch.drop(columns="_norm").assign(_keys=keys, _size=sizes, _prefix=first, _rare=rare)
+            keys = iter(band_keys(np.concatenate(drawn)))
+            keys = [next(keys) if n else [] for n in sizes]
+            yield batch.drop(columns="_norm").assign(_keys=keys, _size=sizes, _prefix=first, _rare=rare, _sketch=sketches)
         trim_memory()
 
-    return texts.select("_node", "_least", "_n", "_norm").mapInPandas(run, "_node binary, _least long, _n long, _keys array<bigint>, _size long, _prefix array<bigint>, _rare int")
+    return texts.select("_node", "_least", "_n", "_norm").mapInPandas(run, "_node binary, _least long, _n long, _keys array<bigint>, _size long, _prefix array<bigint>, _rare int, _sketch binary")
 
 
 def _each_with_each(rows: DataFrame, key: str) -> DataFrame:
@@ -373,16 +448,49 @@ def joining(sets: list[np.ndarray], roots: np.ndarray, cut: int, idf: np.ndarray
                 yield i, k
 
 
+def _halves(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of both blocks that meet in a task."""
+    if part["x"].iloc[0] == part["y"].iloc[0]:
+        return np.arange(len(part)), np.arange(len(part))
+    return np.flatnonzero(part["own"] == part["x"]), np.flatnonzero(part["own"] == part["y"])
+
+
+def block_partners(rows: DataFrame, sketches: DataFrame, plain: float) -> DataFrame:
+    """s, x, y, node, root and own of all texts that may be alike to another of blocks x and y of an element of more than FULL.
+
+    own is the text's block. rows: what meetings() gives; sketches: _node and _sketch of their nodes.
+    """
+    share = plain / (1 + plain)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        first, second = _halves(part)
+        found = np.zeros(len(part), dtype=bool)
+        if len(first) and len(second) and part["root"].nunique() > 1:
+            size, left, root = part["size"].to_numpy(), (part["size"] - part["at"]).to_numpy(), part["root"].to_numpy()
+            need = share * (size[first, None] + size[None, second]) - 1e-6
+            able = (root[first, None] != root[None, second]) & (np.minimum(left[first, None], left[None, second]) >= need)
+            held = part["_sketch"].tolist()
+            able = partners([held[i] for i in first], [held[i] for i in second], able, need)
+            found[first] |= able.any(axis=1)
+            found[second] |= able.any(axis=0)
+        return part.loc[found, ["s", "x", "y", "node", "root", "own"]]
+
+    rows = rows.where(F.col("n") > FULL)
+    blocks = F.greatest(F.ceil(F.col("load") / F.lit(BLOCK_ELEMENTS)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS)))
+    rows = rows.withColumn("blocks", blocks.cast("long")).withColumn("own", F.pmod(F.xxhash64("node", "s"), F.col("blocks")))
+    rows = rows.hint("merge").join(sketches.withColumnRenamed("_node", "node"), "node")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("s", "node", "root", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "size", "at", "_sketch")
+    return rows.groupBy("s", "x", "y").applyInPandas(run, "s long, x long, y long, node binary, root long, own long")
+
+
 def block_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Verified pairs (a, b) that join the classes of all alike texts of each element of more than FULL. rows: what meetings() gives."""
+    """Verified pairs (a, b) that join the classes of all alike texts of each two blocks. rows: what block_partners() gives."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingles()
         part = part.sort_values("node")
-        if part["x"].iloc[0] == part["y"].iloc[0]:
-            first = second = np.arange(len(part))
-        else:
-            first, second = np.flatnonzero(part["own"] == part["x"]), np.flatnonzero(part["own"] == part["y"])
+        first, second = _halves(part)
         found: list[tuple[bytes, bytes]] = []
         root, node = part["root"].to_numpy(), part["node"].to_numpy()
         if len(first) and len(second) and len(np.unique(root)) > 1:
@@ -391,25 +499,36 @@ def block_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float
             found = [(node[at[i]], node[at[j]]) for i, j in joining([own[i] for i in at], root[at], len(first), idf, least)]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    rows = rows.where(F.col("n") > FULL)
-    blocks = F.greatest(F.ceil(F.col("load") / F.lit(BLOCK_ELEMENTS)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS)))
-    rows = rows.withColumn("blocks", blocks.cast("long")).withColumn("own", F.pmod(F.xxhash64("node", "s"), F.col("blocks")))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("s", "node", "root", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
     texts = texts.select(F.col("_node").alias("node"), "_norm")
     return rows.hint("merge").join(texts, "node").groupBy("s", "x", "y").applyInPandas(run, "a binary, b binary")
 
 
+def may_be_alike(pairs: DataFrame, sketches: DataFrame, plain: float) -> DataFrame:
+    """The pairs (a, b) that have enough in common by their sketches. sketches: _node, _size and _sketch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            most = common_at_most(b["_sketch_a"].tolist(), b["_sketch_b"].tolist())
+            yield b.loc[most >= plain / (1 + plain) * b["_sizes"].to_numpy() - 1e-6, ["a", "b"]]
+
+    one, two = (sketches.select(F.col("_node").alias(c), F.col("_size").alias(f"_size_{c}"), F.col("_sketch").alias(f"_sketch_{c}")) for c in "ab")
+    both = pairs.hint("merge").join(one, "a").hint("merge").join(two, "b")
+    return both.select("a", "b", "_sketch_a", "_sketch_b", (F.col("_size_a") + F.col("_size_b")).alias("_sizes")).mapInPandas(run, "a binary, b binary")
+
+
 def missing_links(signed: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """Verified pairs (a, b) of roots that join classes so far to the classes of all alike texts. As for meetings(). Deletes signed and texts."""
     plain = least_plain(least)
     rows = meetings(signed, nodes, plain)
+    sketches = rows_of(signed, ["_node", "_size", "_sketch"], "sketches", rows.select("node"))
     discard(signed)
-    pairs = materialize(_ordered(few_pairs(rows, plain)), "few")
-    own = texts_of(texts, pairs.select("a"), pairs.select("b"), rows.where(F.col("n") > FULL).select("node"))
+    few = materialize(_ordered(few_pairs(rows, plain)), "few")
+    pairs = materialize(may_be_alike(few, sketches, plain), "pairs", drop=(few,))
+    blocks = materialize(block_partners(rows, sketches.select("_node", "_sketch"), plain), "blocks", drop=(rows, sketches))
+    own = texts_of(texts, pairs.select("a"), pairs.select("b"), blocks.select("node"))
     discard(texts)
-    got = verified(pairs, own, idf, least).unionByName(block_links(rows, own, idf, least))
-    got = materialize(got, "missing", drop=(rows, pairs, own))
+    got = verified(pairs, own, idf, least).unionByName(block_links(blocks, own, idf, least))
+    got = materialize(got, "missing", drop=(pairs, blocks, own))
     root = lambda c: nodes.select(F.col("_node").alias(c), F.col("root").alias(f"_{c}"))
     return got.join(root("a"), "a").join(root("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
@@ -446,13 +565,25 @@ def links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, total: int, least:
     return materialize(verified(pairs, own, idf, least), "verified", drop=(pairs, own))
 
 
-def texts_of(texts: DataFrame, *nodes: DataFrame) -> DataFrame:
-    """_node and _norm of the nodes in these tables of one column, so that the others are not moved by every join."""
+def rows_of(table: DataFrame, columns: list[str], name: str, *nodes: DataFrame) -> DataFrame:
+    """These columns of the nodes in ``nodes``, tables of one column, so that the others are not moved by every join.
+
+    A Bloom filter of the nodes keeps the others out of this join's shuffle too. It is only built of what some filter chose.
+    """
     need = nodes[0]
     for more in nodes[1:]:
         need = need.union(more)
     need = materialize(need.toDF("_node").distinct(), "need")
-    return materialize(texts.select("_node", "_norm").join(need, "_node", "left_semi"), "texts", drop=(need,))
+    n = max(1, need.count())
+    bloom = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g", "expectedNumItems": str(min(n, 4_000_000)), "numBits": str(min(max(1024, 8 * n), _BLOOM_BITS))}
+    with settings(table.sparkSession, {f"{_BLOOM}.{k}": v for k, v in bloom.items()}):
+        got = table.select(*columns).join(need.where(F.col("_node") >= F.lit(b"")), "_node", "left_semi")
+        return materialize(got, name, drop=(need,))
+
+
+def texts_of(texts: DataFrame, *nodes: DataFrame) -> DataFrame:
+    """_node and _norm of the nodes in these tables."""
+    return rows_of(texts, ["_node", "_norm"], "texts", *nodes)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:

@@ -201,3 +201,36 @@ def test_odd_rows(odd_docs):
     kept = neardup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == 6
     assert neardup.classes_query(odd_docs.limit(0)).count() == 0 and neardup.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_sketches_never_say_too_little():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool[: rng.integers(20, 3000)], rng.integers(1, 900))) for _ in range(60)] + [np.arange(40, dtype=np.uint64)]
+    held = [neardup.sketch(x) for x in sets]
+    assert held[-1] == b"" and all(held[:-1])  # four bits do not hold 40 elements of one beginning
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    i, j = np.divmod(np.arange(both.size), len(sets))
+    most = neardup.common_at_most([held[x] for x in i], [held[x] for x in j]).reshape(both.shape)
+    assert (most >= both).all() and np.isinf(most[-1]).all() and (most[:-1, :-1] < 0.6 * np.add.outer(*[[len(x) for x in sets[:-1]]] * 2)).mean() > 0.9
+    able = rng.random(both.shape) < 0.7
+    got = neardup.partners(held, held, able, both + 5.0)
+    assert (got == (able & (most >= both + 5))).all()
+
+
+def test_texts_that_share_passages_only_are_not_sent(spark, monkeypatch):
+    """Every passage of 60 words is in 20 texts of two. Sketches tell these apart; before, each of them went whole to the blocks."""
+    sent = []
+    texts = [" ".join([f"a{i}x{w}" for w in range(60)] + [f"b{j}x{w}" for w in range(60)]) for i in range(20) for j in range(20)]
+    texts += ["one " + texts[0], "one two " + texts[0]]
+    write = neardup.materialize
+
+    def watched(df, name, *args, **kwargs):
+        out = write(df, name, *args, **kwargs)
+        sent.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", watched)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes_query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 400 else 0 for i in range(402)}
+    assert [n for name, n in sent if name == "meetings"][0] >= 400 and [n for name, n in sent if name == "texts"][-1] == 0
