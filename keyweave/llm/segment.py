@@ -4,7 +4,8 @@ Every piece has a log-probability, and a text's lattice of pieces a distribution
 log-probability is perturbed with Gumbel noise and the k largest win. The search never lists segmentations: a node
 stands for all that share a beginning, its value is the largest perturbed value among them, and a child's value is drawn under the
 condition that the parent's is the largest (Maddison, Tarlow and Minka 2014). Walking down from the best node emits a
-segmentation and leaves at every step one node for "any other way on"; the best of those is the next to walk down from.
+segmentation and leaves one node for all that parts from it at some step. The best of these nodes is the next to walk down from;
+only then are the step and the way drawn by their masses, and what is left of the node gets a new value.
 
 Words are lattices of their own, as no piece goes beyond a word. numpy works out the lattices of a batch's distinct words
 and walks all its words at once. Noise comes from a hash of the row's seed and the place in its text, so a row's
@@ -33,7 +34,9 @@ SPACE = "▁"
 UNKNOWN = 10.0
 #: Longer pieces with lower scores are never made by the model itself.
 _UNUSED = -1e8
+#: Characters of the texts of a search, and of those that share their words' lattices.
 _CHARS = 1 << 20
+_SHARED = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = ".,;:!?|%$#*&"
 
@@ -45,9 +48,13 @@ def model_path() -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def uniform_bits(seed: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
@@ -106,6 +113,7 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(self.out), dtype=np.uint8)
         self.size = np.array([len(x) for x in self.out])
         self.begin = np.cumsum(self.size) - self.size
+        self.taken = pa.array(self.out, pa.large_binary())
         self.slots = self._table()
 
     def _table(self) -> np.ndarray:
@@ -134,6 +142,14 @@ class Pieces:
         at = np.arange(n.sum()) + np.repeat(self.begin[ids] - (np.cumsum(n) - n), n)
         return self.bytes[at].tobytes().removeprefix(b" ").decode("utf-8", "replace")
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Whether the ids between ends decode to each text."""
+        got = self.taken.take(pa.array(ids))
+        at = np.frombuffer(got.buffers()[1], dtype=np.int64)[ends] if len(ids) else ends
+        data, cut = got.buffers()[2].to_pybytes() if len(ids) else b"", at.tolist()
+        first = [i + data.startswith(b" ", i, j) for i, j in zip(cut, cut[1:])]
+        return np.array([j - i == len(t) and data.startswith(t, i) for i, j, t in zip(first, cut[1:], map(str.encode, texts))], dtype=bool)
+
 
 @functools.cache
 def pieces(path: str) -> Pieces:
@@ -144,143 +160,225 @@ class Lattices:
     """Lattices of words. Words are ranked by falling length, and a node is a place of a word, numbered by its distance from
     the word's end and then by rank, so that the pieces that begin at a distance lie side by side and lead to earlier nodes."""
 
-    def __init__(self, p: Pieces, words: list[str]) -> None:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    def __init__(self, p: Pieces, words: pa.StringArray) -> None:
+        size = pc.utf8_length(words).to_numpy().astype(np.int64)
         order = np.argsort(-size, kind="stable")
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
         size = size[order]
         many = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), side="right")  # words of at least this length
-        self.base = base = np.concatenate([[0], np.cumsum(many)])
+        base = np.concatenate([[0], np.cumsum(many)])
         n = int(base[-1])
-        self.far = far = np.repeat(np.arange(len(many)), many)  # distance of each node from its word's end
+        far = np.repeat(np.arange(len(many)), many)  # distance of each node from its word's end
         self.first = (base[size] + np.arange(len(words)))[rank]
-        flat = np.frombuffer("".join(words[i] for i in order.tolist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        flat = words.take(pa.array(order)).cast(pa.large_string()).buffers()[2] if len(words) else None
+        flat = np.frombuffer((flat.to_pybytes() if flat else b"").decode().encode("utf-32-le"), dtype=np.uint32)
         self.code = code = np.zeros(n, dtype=np.uint64)
         spot = np.repeat(size, size) - (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))
         code[base[spot] + np.repeat(np.arange(len(words)), size)] = flat
-        live = np.arange(int(many[0]) if len(many) else 0, n)
+        closed = int(many[0]) if len(many) else 0  # nodes at words' ends
+        behind = base[far - 1] + np.arange(n) - base[far]  # each node's next place
+        live = np.arange(closed, n)
         h, place, unknown = np.zeros(len(live), dtype=np.uint64), live, len(p.log_p) - 1
-        ids = np.full((n, p.longest), -1, dtype=np.int32)
+        ways, found = np.zeros(n, dtype=np.int64), []
         for k in range(p.longest):
             h = (h + code[place] + np.uint64(1)) * _BASE
-            got = p.find(h)
-            ok = got >= 0
-            ids[live[ok], k] = got[ok]
-            if k == 0:
-                ids[live[~ok], 0] = unknown
-            go = np.flatnonzero((got != -2) & (far[live] > k + 1))
+            if k:
+                got = ids = p.find(h)
+            else:  # by characters, of which there are few
+                char = np.flatnonzero(np.bincount(flat)) if len(flat) else np.empty(0, dtype=np.int64)
+                known = np.empty(int(char[-1]) + 1 if len(char) else 0, dtype=np.int32)
+                known[char] = p.find((char.astype(np.uint64) + np.uint64(1)) * _BASE)
+                got = known[code[place].astype(np.int64)]
+                ids = np.where(got < 0, unknown, got)
+            place = behind[place]
+            ok = np.flatnonzero(ids >= 0)
+            at = live[ok]
+            found.append((at, ways[at], ids[ok], place[ok]))
+            ways[at] += 1
+            go = np.flatnonzero((got != -2) & (place >= closed))
             live, h, place = live[go], h[go], place[go]
-            place = base[far[place] - 1] + place - base[far[place]]
             if not len(live):
                 break
-        node, length = np.nonzero(ids >= 0)  # by node, then length
-        self.ids = ids[node, length]
-        self.ways = np.bincount(node, minlength=n)
-        self.start = np.cumsum(self.ways) - self.ways  # first way of each node
-        away = far[node]
-        self.to = base[away - length - 1] + node - base[away]
-        log_p, back = p.log_p[self.ids], np.zeros(n)
+        self.ways, self.start = ways, np.cumsum(ways) - ways  # start: first way of each node
+        self.ids, to = np.empty(ways.sum(), dtype=np.int32), np.empty(ways.sum(), dtype=np.int64)
+        last = self.start + ways - 1  # by node, then falling length, so that the likeliest ways mostly come first
+        while found:
+            at, nth, ids, place = found.pop()
+            way = last[at] - nth
+            self.ids[way], to[way] = ids, place
+        node = np.repeat(np.arange(n, dtype=np.int32), ways)
+        self.node = node  # where each way begins
+        self.nth = (np.arange(len(node)) - np.repeat(self.start, ways)).astype(np.int8)  # and its number there
+        self.free = np.repeat(ways > 1, ways)  # the ways beside which there are others
+        self.next = np.where(to >= closed, self.start[to], -1)  # the first way behind each, -1 at a word's end
+        self.log_p = p.log_p  # of all pieces
+        log_q, q, back = p.log_p[self.ids], np.empty(len(node)), np.zeros(n)
         edge = np.append(self.start, len(node))[base]  # first way at each distance
         for r in range(1, len(many)):
             e, f = int(edge[r]), int(edge[r + 1])
-            v = log_p[e:f] + back[self.to[e:f]]
-            cut, ways = self.start[base[r] : base[r + 1]] - e, self.ways[base[r] : base[r + 1]]
+            v = log_q[e:f] + back[to[e:f]]
+            cut, size = self.start[base[r] : base[r + 1]] - e, ways[base[r] : base[r + 1]]
             top = np.maximum.reduceat(v, cut)
-            back[base[r] : base[r + 1]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, ways)), cut))
-        self.log_q = log_p + back[self.to] - back[node]
-        self.cum = np.cumsum(np.exp(self.log_q))
-        self.below = self.cum - np.exp(self.log_q)
-
-    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The way that is drawn at each node; rounding never leads beyond the last."""
-        way = self.start[node]
-        last, goal = way + self.ways[node] - 1, self.below[way] + u
-        left = np.flatnonzero((way < last) & (self.cum[way] <= goal))
+            share = np.exp(v - np.repeat(top, size))
+            total = np.add.reduceat(share, cut)
+            back[base[r] : base[r + 1]] = top = top + np.log(total)
+            log_q[e:f] = v - np.repeat(top, size)
+            q[e:f] = share / np.repeat(total, size)
+        self.log_q, self.log_z = log_q, back
+        self.bar = self._bars(q)
+
+    def _bars(self, q: np.ndarray) -> np.ndarray:
+        """The largest 64 random bits with which each way is drawn, ways before it aside."""
+        bar, at = np.full(len(q), np.iinfo(np.uint64).max), np.flatnonzero(self.ways > 1)
+        left, way, total = self.ways[at], self.start[at], np.zeros(len(at))
+        while len(way):
+            total += q[way]
+            bar[way] = np.minimum(total * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+            go = np.flatnonzero(left > 2)
+            left, way, total = left[go] - 1, way[go] + 1, total[go]
+        return bar
+
+    def choose(self, way: np.ndarray, bits: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        """The ways that are drawn at nodes, whose first ways are given, and their bars; nothing is above a last way's bar."""
+        left = np.flatnonzero(bits > bar)
+        way, bits = way.copy(), bits[left]
+        at = way[left]
         while len(left):
-            way[left] += 1
-            at = way[left]
-            left = left[(at < last[left]) & (self.cum[at] <= goal[left])]
+            at += 1
+            way[left] = at
+            go = np.flatnonzero(bits > self.bar[at])
+            left, bits, at = left[go], bits[go], at[go]
         return way
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its size, one range behind the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of x between ends."""
+    out, have = np.zeros(len(ends) - 1), np.flatnonzero(np.diff(ends))
+    if len(have):
+        out[have] = np.add.reduceat(x, ends[have])
+    return out
+
+
 class Path:
-    """A segmentation of every text of a batch: its steps in order, with the value of "any other way on" at each."""
+    """A segmentation of every text of a batch: its ways in order, and the value of all that leaves it.
 
-    def __init__(self, word: np.ndarray, nth: np.ndarray, node: np.ndarray, way: np.ndarray) -> None:
-        self.word, self.nth, self.node, self.way = word, nth, node, way
-        self.other = np.full(len(word), -np.inf)
-        self.used = np.zeros(len(word), dtype=np.int64)  # bits of the ways that are taken at a step
+    The steps at which a text's may be left are its window; their masses are those below the step from which the path is new.
+    """
+
+    def __init__(self, way: np.ndarray, stop: np.ndarray, begin: np.ndarray) -> None:
+        """stop: the step after each word, 0 before the first; begin: the first word of each text, and the end."""
+        self.way, self.stop = way, stop
+        self.ends = stop[begin]  # first step of each text, and the end
+        self.cut = np.zeros(len(begin), dtype=np.int64)  # first place of each text in its window, and the end
+        self.used, self.mass = np.empty(0, dtype=np.int64), np.empty(0)
 
 
 class Search:
-    """Perturbed A-star search over all texts of a batch at once."""
+    """Perturbed A-star search over all texts of a batch at once.
+
+    All that leaves one path is one node, as only its largest value matters. When that is the best, the step and the way at which
+    it leaves are drawn by their masses; what still leaves elsewhere has a new value below it.
+    """
 
-    #: Noise of 53 bits lies between -3.7 and 36.8, so it cannot bridge this difference of log-masses.
-    _BRIDGE = 60.0
+    #: How far a text's paths fall in a window at first, about; a window is widened when a draw leads behind it.
+    _FALL = 16.0
 
     def __init__(self, lattices: Lattices, words: np.ndarray, text: np.ndarray, texts: int, seed: np.ndarray) -> None:
         """words: the lattice of each word in order; text: whose it is; seed: of each text."""
-        self.l, self.start, self.text, self.seed, self.texts = lattices, lattices.first[words], text, seed, texts
+        self.l, self.text, self.seed, self.texts = lattices, text, seed, texts
+        node = lattices.first[words]
+        self.way = lattices.start[node]  # the first way of each word
         self.begin = np.searchsorted(text, np.arange(texts + 1))
-        self.place = np.arange(len(words)) - self.begin[text]  # of a word in its text
+        self.place = _BASE * (np.arange(len(words)) - self.begin[text] + 1).astype(np.uint64)  # of a word in its text
+        self.bar = lattices.bar[self.way]
+        self.log_z = _sums(lattices.log_z[node], self.begin)
         self.paths: list[Path] = []
         self.value = [-np.log(-np.log(uniform(seed, 0)))]  # of the segmentations found, by text; the root's mass is 1
         self.here = [np.ones(texts, dtype=bool)]
-        self.best: list[tuple[np.ndarray, np.ndarray]] = []
         none = np.empty(0, dtype=np.int64)
-        path = self._walk(np.arange(len(words)), self.start.copy(), np.zeros(len(words), dtype=np.int64), (none, none, none, none), 0)
-        self._add(path, np.full(texts, -1), 0)
-
-    def _walk(self, word: np.ndarray, node: np.ndarray, nth: np.ndarray, given: tuple[np.ndarray, ...], turn: int) -> Path:
-        """From a node of each word to its end; given: the steps that stand already."""
-        got = [given]
-        seed = uniform_bits(self.seed[self.text[word]], 1 + turn, self.place[word])
-        go = np.flatnonzero(self.l.far[node] > 0)
-        word, node, nth, seed = word[go], node[go], nth[go], seed[go]
-        while len(word):
-            way = self.l.choose(node, uniform(seed, nth))
-            got.append((word, nth, node, way))
-            node = self.l.to[way]
-            go = np.flatnonzero(self.l.far[node] > 0)
-            word, node, nth, seed = word[go], node[go], nth[go] + 1, seed[go]
-        word, nth, node, way = (np.concatenate(x) for x in zip(*got, strict=True))
-        count = np.bincount(word, minlength=len(self.start))
-        at = (np.cumsum(count) - count)[word] + nth  # steps of a word are numbered from 0 without gaps
-        out = Path(*(np.empty(len(word), dtype=np.int64) for _ in range(4)))
-        for into, x in ((out.word, word), (out.nth, nth), (out.node, node), (out.way, way)):
-            into[at] = x
-        out.ends = np.append(0, np.cumsum(count))[self.begin]  # first step of each text, and the end
-        return out
-
-    def _add(self, path: Path, branch: np.ndarray, turn: int) -> None:
-        """Draws the values that a new path leaves behind. branch: for each text the step from which the path is new, -1 for all."""
-        q = self.l.log_q[path.way]
-        total = np.append(0, np.cumsum(q))
-        have = np.flatnonzero(np.diff(path.ends))
-        path.total = total[path.ends[1:]] - total[path.ends[:-1]]
-        path.used[:] = 0
-        first, steps = path.ends[have], np.diff(path.ends)[have]
-        before = total[:-1] - np.repeat(total[first], steps)
-        at = np.flatnonzero(branch[have] >= 0)
-        turned = first[at] + np.minimum(branch[have][at], steps[at] - 1)
-        turned = turned[branch[have][at] < steps[at]]
-        path.used[turned] = path.kept if len(turned) else 0
-        path.used |= 1 << path.way - self.l.start[path.node]
-        rest = 1 - np.exp(q)
-        if len(turned):
-            rest[turned] = self._left(path.node[turned], path.used[turned]).sum(axis=1)
-        mass = before + np.log(np.maximum(rest, 1e-15))
-        step = np.arange(len(q)) - np.repeat(first, steps)
-        mass[(step < np.repeat(branch[have], steps)) | (self.l.ways[path.node] <= np.bitwise_count(path.used))] = -np.inf
-        if len(have):
-            top = np.repeat(np.maximum.reduceat(mass, first), steps)
-            near = np.flatnonzero((mass > -np.inf) & (mass >= top - self._BRIDGE))
-            text = self.text[path.word[near]]
-            noise = -np.log(uniform(self.seed[text], 1000 + turn, self.place[path.word[near]], path.nth[near]))
-            path.other[near] = -np.logaddexp(-self.value[turn][text], np.log(noise) - mass[near])
+        path = self._walk(np.ones(len(words), dtype=bool), none, none, none, np.zeros(len(words), dtype=np.int32), 0)
+        self._add(path, path.ends[:-1], np.zeros(texts), 0)
+
+    def _walk(self, fresh: np.ndarray, word: np.ndarray, way: np.ndarray, nth: np.ndarray, count: np.ndarray, turn: int) -> Path:
+        """A path with new ways for all fresh words, and for others from their nth way on, which is given; count: the ways of the rest, to be filled in."""
+        seed, steps, level, following = uniform_bits(self.seed, 1, turn), [], 0, self.l.next
+        count[fresh] = count[word] = 1
+        bits = _mix(np.repeat(seed, np.diff(self.begin)) + self.place)
+        first = self.l.choose(self.way, bits, self.bar)
+        after, more = following[first], np.flatnonzero(following[way] >= 0)
+        go = np.flatnonzero((after >= 0) & fresh)
+        at, after = np.concatenate([go, word[more]]), np.concatenate([after[go], following[way[more]]])
+        bits = np.concatenate([bits[go], _mix(seed[self.text[word[more]]] + self.place[word[more]])])
+        while len(at):
+            level += 1
+            bits = _mix(bits + _BASE)
+            last = self.l.choose(after, bits, self.l.bar[after])
+            steps.append((at, last))
+            count[at] = level + 1
+            after = following[last]
+            go = np.flatnonzero(after >= 0)
+            at, after, bits = at[go], after[go], bits[go]
+        count[word] += nth
+        stop = np.zeros(len(count) + 1, dtype=np.int64)
+        np.cumsum(count, out=stop[1:])
+        begin = stop[:-1].copy()
+        begin[word] += nth
+        out = np.empty(int(stop[-1]), dtype=np.int64)
+        out[begin[fresh]], out[begin[word]] = first[fresh], way
+        for level, (at, last) in enumerate(steps, 1):
+            out[begin[at] + level] = last
+        return Path(out, stop, self.begin)
+
+    def _add(self, path: Path, new: np.ndarray, base: np.ndarray, turn: int) -> None:
+        """Draws the value of what leaves a path. new: the step of each text from which the path is new; base: the log-probability of those before."""
+        path.new, path.base, path.ids = new, base, self.l.ids[path.way]
+        path.total = _sums(self.l.log_p[path.ids], path.ends) - np.where(self.here[turn], self.log_z, 0.0)
+        path.rest = np.full(self.texts, -np.inf)
+        if not turn:
+            self.window = np.clip(self._FALL * np.diff(path.ends) / np.maximum(-path.total, 1e-3), 32, 1 << 20).astype(np.int64)
+        path.size = self.window.copy()
+        self._window(path)
+        self._rest(path, np.arange(self.texts), _sums(path.mass, path.cut) + path.tail, self.value[turn], uniform(self.seed, 2, turn))
         self.paths.append(path)
-        self.best.append(self._top(path))
+
+    def _window(self, path: Path) -> None:
+        """The steps from which a path may be left, with their masses, and the mass of all later ones; keeps what is used."""
+        left = path.ends[1:] - path.new
+        while True:
+            size = np.minimum(left, path.size)
+            at, cut = _ranges(path.new, size), np.append(0, np.cumsum(size))
+            own = path.way[at]
+            q = self.l.log_q[own]
+            fall = np.append(0, np.cumsum(q))
+            end = fall[cut[1:]] - fall[cut[:-1]]  # of the first step behind the window
+            later = path.total - path.base - end
+            close = (size < left) & (later > -1e-6)  # only rounding may be left
+            if not close.any():
+                break
+            path.size[close] = left[close]
+        free, before, used, mass = self.l.free[own], np.diff(path.cut), path.used, path.mass
+        path.at, path.own, path.cut = at, own, cut
+        path.log_b = fall[:-1] - np.repeat(fall[cut[:-1]], size)
+        path.used = np.int64(1) << self.l.nth[own]
+        path.mass = np.where(free, np.exp(path.log_b) * np.maximum(-np.expm1(q), 1e-15), 0.0)
+        stay = _ranges(cut[:-1], before)
+        path.used[stay], path.mass[stay] = used, mass
+        path.tail = np.where(size < left, np.exp(end) * -np.expm1(np.minimum(later, 0.0)), 0.0)
+
+    def _rest(self, path: Path, mine: np.ndarray, mass: np.ndarray, value: np.ndarray, noise: np.ndarray) -> None:
+        """The largest value that is left on a path for texts, below the one that went; mass: of what is left."""
+        with np.errstate(divide="ignore"):
+            mass = path.base[mine] + np.log(mass)
+        some = mass > -np.inf
+        path.rest[mine] = -np.inf
+        path.rest[mine[some]] = -np.logaddexp(-value[some], np.log(-np.log(noise[some])) - mass[some])
 
     def _left(self, node: np.ndarray, used: np.ndarray) -> np.ndarray:
         """The probabilities of the ways of nodes that are not used, [node, way]."""
@@ -288,61 +386,72 @@ class Search:
         at = np.minimum(self.l.start[node][:, None] + k, len(self.l.log_q) - 1)
         return np.where((k < self.l.ways[node][:, None]) & (used[:, None] >> k & 1 == 0), np.exp(self.l.log_q[at]), 0.0)
 
-    def _top(self, path: Path) -> tuple[np.ndarray, np.ndarray]:
-        """The largest value left on a path for each text, and its step (of the whole batch)."""
-        value, at = np.full(self.texts, -np.inf), np.zeros(self.texts, dtype=np.int64)
-        steps = np.diff(path.ends)
-        have = np.flatnonzero(steps)
-        if len(have):
-            value[have] = np.maximum.reduceat(path.other, path.ends[have])
-            hit = np.flatnonzero((path.other == np.repeat(value[have], steps[have])) & (path.other > -np.inf))
-            at[self.text[path.word[hit[::-1]]]] = hit[::-1]
-        return value, at
-
     def front(self) -> tuple[np.ndarray, np.ndarray]:
         """The largest value still to be walked down from, by text, and its path."""
-        v = np.stack([b[0] for b in self.best])
+        v = np.stack([p.rest for p in self.paths])
         return v.max(axis=0), v.argmax(axis=0)
 
+    def _leave(self, path: Path, mine: np.ndarray, value: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where texts leave a path (a place of its windows), and by which way; both are used from then on."""
+        u = uniform(self.seed[mine], 3, turn)
+        while True:
+            size = np.diff(path.cut)[mine]
+            span, ends = _ranges(path.cut[mine], size), np.append(0, np.cumsum(size))
+            inside = _sums(path.mass[span], ends)
+            goal = u * (inside + path.tail[mine])
+            far = mine[(goal >= inside) & (path.tail[mine] > 0)]
+            if not len(far):
+                break
+            path.size[far] *= 8
+            self._window(path)
+        total = np.append(0, np.cumsum(path.mass[span] / np.repeat(inside, size)))
+        at = np.searchsorted(total[1:], total[ends[:-1]] + goal / inside, side="right")
+        some = np.flatnonzero(path.mass[span] > 0)  # rounding never leads to a step that cannot be left, or to another text
+        at = span[some[np.minimum(np.searchsorted(some, at), np.searchsorted(some, ends[1:]) - 1)]]
+        node = self.l.node[path.own[at]]
+        p = self._left(node, path.used[at])
+        cum = np.cumsum(p, axis=1)
+        u = uniform(self.seed[mine], 4, turn) * cum[:, -1]
+        nth = np.minimum((cum <= u[:, None]).sum(axis=1), p.shape[1] - 1 - np.argmax(p[:, ::-1] > 0, axis=1))
+        path.used[at] |= np.int64(1) << nth
+        path.mass[at] = np.exp(path.log_b[at]) * self._left(node, path.used[at]).sum(axis=1)
+        self._rest(path, mine, _sums(path.mass[span], ends) + path.tail[mine], value[mine], uniform(self.seed[mine], 5, turn))
+        return at, self.l.start[node] + nth
+
     def more(self) -> None:
         """The next segmentation of every text that has one."""
         value, whose = self.front()
         turn, here = len(self.paths), np.isfinite(value)
-        empty = np.empty(0, dtype=np.int64)
-        keep, texts, words, nodes, nths, kept = [(empty,) * 4], [empty], [empty], [empty], [empty], [empty]
-        branch = np.full(self.texts, -1)
+        count = np.zeros(len(self.way), dtype=np.int32)
+        cut = np.full(self.texts, np.iinfo(np.int64).max)  # the word in which a text leaves
+        base, steps = np.zeros(self.texts), np.zeros(self.texts, dtype=np.int64)
+        words, ways, nths = ([np.empty(0, dtype=np.int64)] for _ in range(3))
+        copies = []
         for r, path in enumerate(self.paths):
             mine = np.flatnonzero(here & (whose == r))
             if not len(mine):
                 continue
-            at = self.best[r][1][mine]
-            w, n, k, old = path.word[at], path.node[at], path.nth[at], path.used[at]
-            p = self._left(n, old)
-            cum = np.cumsum(p, axis=1)
-            u = uniform(self.seed[mine], 2000 + turn) * cum[:, -1]
-            way = self.l.start[n] + np.minimum((cum <= u[:, None]).sum(axis=1), p.shape[1] - 1 - np.argmax(p[:, ::-1] > 0, axis=1))
-            path.other[at] = -np.inf
-            self.best[r] = self._top(path)
-            limit = path.ends[:-1].copy()
-            limit[mine] = at
-            stay = np.flatnonzero(np.arange(len(path.word)) < np.repeat(limit, np.diff(path.ends)))
-            keep += [(path.word[stay], path.nth[stay], path.node[stay], path.way[stay]), (w, k, n, way)]
-            branch[mine] = at - path.ends[mine]
-            for into, x in ((texts, mine), (words, w), (nodes, self.l.to[way]), (nths, k + 1), (kept, old)):
+            at, way = self._leave(path, mine, value, turn)
+            step = path.at[at]
+            w = np.searchsorted(path.stop[1:], step, side="right")
+            base[mine] = path.base[mine] + path.log_b[at] + self.l.log_q[way]
+            before = _ranges(self.begin[mine], w - self.begin[mine])
+            count[before] = path.stop[before + 1] - path.stop[before]
+            cut[mine], steps[mine] = w, step - path.ends[mine] + 1
+            copies.append((mine, path.way[_ranges(path.ends[mine], steps[mine] - 1)]))
+            for into, x in ((words, w), (ways, way), (nths, step - path.stop[w])):
                 into.append(x)
-        given = tuple(np.concatenate(x) for x in zip(*keep, strict=True))
-        mine, word, node, nth, old = (np.concatenate(x) for x in (texts, words, nodes, nths, kept))
-        cut = np.full(self.texts, np.iinfo(np.int64).max)
-        cut[mine] = word
-        later = np.flatnonzero(np.arange(len(self.start)) > cut[self.text])
-        path = self._walk(np.concatenate([word, later]), np.concatenate([node, self.start[later]]), np.concatenate([nth, np.zeros(len(later), dtype=np.int64)]), given, turn)
-        path.kept = old[np.argsort(mine)]
+        word, way, nth = (np.concatenate(x) for x in (words, ways, nths))
+        fresh = np.arange(len(self.way)) > np.repeat(cut, np.diff(self.begin))
+        path = self._walk(fresh, word, way, nth, count, turn)
+        for mine, kept in copies:
+            path.way[_ranges(path.ends[mine], steps[mine] - 1)] = kept
         self.value.append(np.where(here, value, -np.inf))
         self.here.append(here)
-        self._add(path, branch, turn)
+        self._add(path, path.ends[:-1] + steps, base, turn)
 
 
-def split_words(p: Pieces, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(p: Pieces, texts: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """Distinct words, the word at each place, and whose place it is. Every space begins a word; so do line ends, and marks after a letter."""
     s = pa.array([SPACE + t.replace(" ", " " + SPACE) if t else "" for t in texts], pa.string())
     if p.lines:
@@ -351,37 +460,63 @@ def split_words(p: Pieces, texts: list[str]) -> tuple[list[str], np.ndarray, np.
         s = pc.replace_substring_regex(s, rf"(\pL)([{''.join('\\' + m for m in p.marks)}])", r"\1 \2")
     split = pc.split_pattern(s, " ")
     coded = split.flatten().dictionary_encode()
-    code = coded.indices.to_numpy()
+    code, words = coded.indices.to_numpy(), coded.dictionary
     text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    words = coded.dictionary.to_pylist()
-    full = np.array([bool(w) for w in words], dtype=bool)
-    ok = full[code] if len(code) else np.empty(0, dtype=bool)
-    new = np.cumsum(full) - 1
-    return [w for w in words if w], new[code[ok]], text[ok]
-
-
-def encode(p: Pieces, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[tuple[int, int, float, float, float, np.ndarray]]:
-    """(text, rank from 1, log-probability, perturbed value, inclusion score, piece ids) of k segmentations of each text.
+    full = pc.binary_length(words).to_numpy() > 0
+    ok = np.flatnonzero(full[code]) if len(code) else code
+    return words.filter(pa.array(full)), (np.cumsum(full) - 1)[code[ok]], text[ok]
+
+
+def searches(p: Pieces, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[tuple[int, Search]]:
+    """Searches for k segmentations of each text, done, each with the number of its first text. Several share lattices."""
+    ends = np.cumsum([0, *map(len, texts)])
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + _SHARED, side="right")) - 1)
+        distinct, words, text = split_words(p, texts[start:stop])
+        lattices = Lattices(p, distinct)
+        while start < stop:
+            last = min(stop, max(start + 1, int(np.searchsorted(ends, ends[start] + _CHARS))))
+            end = int(np.searchsorted(text, last - start))
+            out = Search(lattices, words[:end], text[:end], last - start, seeds[start:last])
+            for _ in range(k - 1):
+                out.more()
+            yield start, out
+            del out  # before the next is made
+            words, text, start = words[end:], text[end:] - (last - start), last
+        del lattices
+
+
+def segmentations(p: Pieces, found: Search) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each rank the texts that have such a segmentation, its log-probabilities, perturbed values, inclusion scores, piece ids and
+    the first of these of each text, and the end.
 
     The inclusion score is the probability that the segmentation's value exceeds the (k + 1)th largest one, 1 if there is none.
     """
-    distinct, words, text = split_words(p, texts)
-    lattices = Lattices(p, distinct)
-    search = Search(lattices, words, text, len(texts), seeds)
-    for _ in range(k - 1):
-        search.more()
-    bar, _ = search.front()
-    for turn, path in enumerate(search.paths):
-        ids, ends = lattices.ids[path.way], path.ends
-        odd = np.add.reduceat(np.append(ids == len(p.log_p) - 1, False), np.minimum(ends[:-1], len(ids))) * (np.diff(ends) > 0) if len(ids) else np.zeros(len(texts))
-        for i in np.flatnonzero(search.here[turn]).tolist():
-            own = ids[ends[i] : ends[i + 1]]
-            if odd[i]:
-                code = lattices.code[path.node[ends[i] : ends[i + 1]]]
-                own = np.concatenate([[x] if x < len(p.log_p) - 1 else [p.byte.get(b, p.unknown) for b in chr(int(c)).encode("utf-8", "surrogatepass")] for x, c in zip(own.tolist(), code.tolist(), strict=True)]).astype(np.int32)
-            total = float(path.total[i])
-            score = 1.0 if not np.isfinite(bar[i]) else float(-np.expm1(-np.exp(min(50.0, total - bar[i]))))
-            yield i, turn + 1, total, float(search.value[turn][i]), score, own
+    bar, _ = found.front()
+    for turn, path in enumerate(found.paths):
+        ids, ends = path.ids, path.ends
+        odd = np.flatnonzero(ids == len(p.log_p) - 1)
+        if len(odd):  # unknown characters are bytes
+            code, which = np.unique(found.l.code[found.l.node[path.way[odd]]], return_inverse=True)
+            as_bytes = [[p.byte.get(b, p.unknown) for b in chr(int(c)).encode("utf-8", "surrogatepass")] for c in code]
+            size = np.ones(len(ids), dtype=np.int64)
+            size[odd] = np.array([len(x) for x in as_bytes])[which]
+            place = np.cumsum(size) - size
+            ids, ends = np.repeat(ids, size), np.append(place, size.sum())[ends]
+            ids[_ranges(place[odd], size[odd])] = np.concatenate([as_bytes[i] for i in which.tolist()])
+        here = np.flatnonzero(found.here[turn])
+        with np.errstate(over="ignore"):
+            score = np.where(np.isfinite(bar), -np.expm1(-np.exp(np.minimum(50.0, path.total - bar))), 1.0)
+        yield here, path.total[here], found.value[turn][here], score[here], ids, np.append(ends[here], ends[-1])
+
+
+def encode(p: Pieces, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[tuple[int, int, float, float, float, np.ndarray]]:
+    """(text, rank from 1, log-probability, perturbed value, inclusion score, piece ids) of k segmentations of each text."""
+    for start, found in searches(p, texts, seeds, k):
+        for turn, (here, total, value, score, ids, ends) in enumerate(segmentations(p, found), 1):
+            for j, i in enumerate((here + start).tolist()):
+                yield i, turn, float(total[j]), float(value[j]), float(score[j]), ids[ends[j] : ends[j + 1]]
 
 
 def sample(docs: DataFrame, k: int = SAMPLES, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -398,22 +533,19 @@ def sample(docs: DataFrame, k: int = SAMPLES, path: str | None = None, key: str
         p = pieces(path)
         for b in batches:
             texts, seeds = b.column(1).to_pylist(), b.column(2).to_numpy().view(np.uint64)
-            start = held = 0
-            for stop, t in enumerate(texts, 1):
-                held += len(t)
-                if held < _CHARS and stop < len(texts):
-                    continue
-                rows = list(encode(p, texts[start:stop], _mix(seeds[start:stop]), k))
-                whose = pa.array([r[0] + start for r in rows], pa.int64())
-                cols = [b.column(0).take(whose), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[5]) for r in rows], pa.int64())]
-                cols += [pa.array([r[i] for r in rows], pa.float64()) for i in (2, 3, 4)]
-                if with_ids:
-                    cols.append(pa.array([r[5] for r in rows], pa.list_(pa.int32())))
-                else:
-                    cols.append(pa.array([zlib.crc32(r[5].astype("<u4").tobytes()) for r in rows], pa.int64()))
-                    cols.append(pa.array([p.decode(r[5]) == texts[start + r[0]].replace(SPACE, " ") for r in rows], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(cols, names)
-                start, held = stop, 0
+            for start, found in searches(p, texts, _mix(seeds), k):
+                plain = [] if with_ids else [x.replace(SPACE, " ") for x in texts[start : start + found.texts]]
+                for turn, (here, total, value, score, ids, ends) in enumerate(segmentations(p, found), 1):
+                    cols = [b.column(0).take(pa.array(here + start)), pa.array(np.full(len(here), turn, dtype=np.int32)), pa.array(np.diff(ends))]
+                    cols += [pa.array(x) for x in (total, value, score)]
+                    if with_ids:
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+                    else:
+                        code, cut = ids.astype("<u4"), ends.tolist()
+                        cols.append(pa.array([zlib.crc32(code[i:j]) for i, j in zip(cut, cut[1:])], pa.int64()))
+                        cols.append(pa.array(p.decoded(ids, ends, [plain[i] for i in here.tolist()])))
+                    yield pa.RecordBatch.from_arrays(cols, names)
+                del found
         trim_memory()
 
     names = [key, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", *(["ids"] if with_ids else ["ids_crc32", "decoded"])]

@@ -90,3 +90,47 @@ def test_query_walks_down_from_several_paths(documents):
     assert chosen.mean() > 0.9
     rows = Counter(r["doc_id"] for r in segment.segments_query(documents).select("doc_id").collect())
     assert max(rows.values()) == segment.SAMPLES and sum(n == segment.SAMPLES for n in rows.values()) > 0.9 * len(rows)
+
+
+def test_third_samples_follow_the_distribution():
+    n, text = 6000, "the cat"
+    p, got = {k: math.exp(v) for k, v in listed(text).items()}, Counter()
+    for _, rank, _, _, _, ids in segment.encode(P, [text] * n, seeds(n), 3):
+        got[tuple(ids.tolist())] += rank == 3
+    for k in sorted(p, key=p.get)[-4:]:
+        rest = [a for a in p if a != k]
+        expected = sum(p[a] * p[b] / (1 - p[a]) * p[k] / (1 - p[a] - p[b]) for a in rest for b in rest if a != b)
+        assert abs(got[k] / n - expected) < 0.03
+
+
+def test_random_numbers_are_drawn_once_a_piece(monkeypatch):
+    """Two a piece, one of them for the value of what leaves there, with logarithms and tables of steps, took most of the time."""
+    text, mixed, mix = " ".join(f"word{i} of the cat" for i in range(500)), [0], segment._mix
+
+    def counted(x):
+        mixed[0] += x.size
+        return mix(x)
+
+    monkeypatch.setattr(segment, "_mix", counted)
+    made = [g[5] for g in segment.encode(P, [text], mix(np.arange(1, dtype=np.uint64)), segment.SAMPLES)]
+    assert len(made) == segment.SAMPLES and {P.decode(ids) for ids in made} == {text}
+    assert mixed[0] < 1.1 * sum(map(len, made))
+
+
+def test_all_segmentations_come_out_behind_steps_without_another_way():
+    full = listed("the ca")
+    got = list(segment.encode(P, ["\n" * 3000 + " the ca"], seeds(1), len(full) + 3))
+    assert len({tuple(g[5].tolist()) for g in got}) == len(got) == len(full) and got[-1][4] == 1.0
+
+
+def test_samples_do_not_depend_on_windows(monkeypatch):
+    """What lies behind a window is one mass, worked out from the whole path; a draw that leads there widens the window."""
+    texts, rows, widened, window = ["the cat sat on the mat " * 4, "\n" * 200 + "hello, a b c", "x " * 90 + "information"] * 100, [], [0], segment.Search._window
+    monkeypatch.setattr(segment.Search, "_window", lambda self, path: (widened.__setitem__(0, widened[0] + 1), window(self, path))[1])
+    for fall in (0.0, 1e9):
+        monkeypatch.setattr(segment.Search, "_FALL", fall)
+        rows.append(list(segment.encode(P, texts, seeds(len(texts)), segment.SAMPLES)))
+        if fall == 0:
+            assert widened[0] > segment.SAMPLES
+    for a, b in zip(*rows, strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2:5], b[2:5], atol=1e-6) and np.array_equal(a[5], b[5])
