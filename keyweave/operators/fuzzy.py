@@ -1,21 +1,33 @@
 """Fuzzy joins whose distance threshold follows from how many partners a row may have.
 
 Values are compared through their tokens: a pair that shares none is at distance 1, and no threshold reaches 1, so the join on
-tokens loses nothing that comparing all pairs would find. Joins that need the nearest values only meet on the rarest tokens first:
-a value whose best partner so far is closer than any could be that shares none of those is done, the others go on to as many
-more tokens as their best distance asks for (prefix filter). Distinct values stand for all their rows, numbers for values.
+tokens loses nothing that comparing all pairs would find. Distinct values stand for all their rows, numbers for values.
+
+A threshold lies below the least distance at which some row has a partner too many, so that nothing beyond that distance has to be
+found. A few values compared with everything bound it from above, pairs nearer than the bound are found exactly, and the least of
+their violating distances is the one sought. To be that near, two values must share so many tokens that those of either's rarest
+tokens in common are one, two or three at least (prefix filter); they meet on all sets of so many.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyweave.functions.tokens import JOIN_TOKENISERS, RECOVERY_TOKENISERS, tokenise
 
-#: Target values that the rarest tokens of a value lead to in the first pass, about.
-FIRST_PASS = 64
+#: Values that are compared with all others for a first bound, and values that better it.
+PROBES, MORE_PROBES = 32, 4096
+#: Pairs of values up to which all are compared.
+FEW_PAIRS = 1_000_000
+#: Distances up to which nearest values are looked for in turn.
+LEVELS = (0.25, 0.5, 0.75, 1.0)
+#: Most tokens in a set on which values meet, most sets of a value on average, and how much more than a set a pair costs.
+MOST_SHARED, MOST_SETS, PAIR_COST = 3, 1000, 8
 
 
 def distinct_values(rows: DataFrame) -> DataFrame:
@@ -46,6 +58,18 @@ def nearest(distances: DataFrame, k: int = 1) -> DataFrame:
     return distances.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
 
 
+def _overlap(x: int, y: int, limit: float, strict: bool) -> int:
+    """Tokens that sets of x and y must share for a distance of at most ``limit``, or below it if ``strict``."""
+    v = (1 - limit) * (x + y) / (2 - limit)
+    return max(1, math.floor(v + 1e-9) + 1 if strict else math.ceil(v - 1e-9))
+
+
+def _needs(own: Iterable[int], others: Iterable[int], limit: float, strict: bool) -> dict[int, int]:
+    """The least overlap that a set of each size needs with a set of any size there is; sizes that nothing can match are left out."""
+    out = {x: [o for y in others if (o := _overlap(x, y, limit, strict)) <= min(x, y)] for x in own}
+    return {x: min(os) for x, os in out.items() if os}
+
+
 class Tokens:
     """Distinct values of two tables under a tokeniser, ready to be joined by the rarest of their tokens."""
 
@@ -55,47 +79,134 @@ class Tokens:
         blank = ~F.col("value").rlike(r"[^\s]")
         side = lambda df: df.withColumn("tokens", F.when(blank, F.array(F.lit(""))).otherwise(tokenise(F.col("value"), tokeniser)))
         s, t = side(source), side(target)
-        spread = t.select(F.col("first").alias("t_first"), F.explode("tokens").alias("token"))
-        held = spread.groupBy("token").agg(F.count("*").alias("n"))
-        own = s.select(F.col("first").alias("s_first"), F.explode("tokens").alias("token")).join(held, "token")
-        ranked = own.groupBy("s_first").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
-        self.source = s.select(F.col("value").alias("s"), F.col("first").alias("s_first"), F.col("tokens").alias("s_tokens"), F.size("tokens").alias("na"))
-        self.ranked = self.source.select("s_first", "na").join(ranked, "s_first")
-        self.spread, self.target = spread, t.select(F.col("value").alias("t"), F.col("first").alias("t_first"), F.col("rows").alias("t_rows"), F.col("tokens").alias("t_tokens"))
-
-    def pairs(self, wanted: DataFrame) -> DataFrame:
-        """s, t, s_first, t_first, t_rows, d below 1 of the source values in wanted (s_first, token) with all target values that hold the token."""
-        met = wanted.join(self.spread, "token").select("s_first", "t_first").distinct()
-        both = met.join(self.source, "s_first").join(self.target, "t_first")
+        spread = lambda df: df.select(F.col("first").alias("id"), F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        held = lambda df: spread(df).groupBy("token").agg(F.count("*").alias("n"))
+        common = held(t).join(held(s).select("token"), "token")
+        met = lambda df: spread(df).join(common, "token").groupBy("id", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: F.xxhash64(x["token"])).alias("met"))
+        self.source = s.select(F.col("value").alias("s"), F.col("first").alias("s_first"), F.col("tokens").alias("s_tokens"), F.size("tokens").alias("na")).persist()
+        self.target = t.select(F.col("value").alias("t"), F.col("first").alias("t_first"), F.col("rows").alias("t_rows"), F.col("tokens").alias("t_tokens")).persist()
+        # id, size and hashes of the tokens that the other side has too, the rarest first
+        self.left, self.right = met(s).persist(), met(t).persist()
+        self._right_shapes: dict[tuple[int, int], int] = {}
+
+    def release(self) -> None:
+        for df in (self.source, self.target, self.left, self.right):
+            df.unpersist()
+
+    @staticmethod
+    def _shapes(side: DataFrame) -> dict[tuple[int, int], int]:
+        """How many values have so many tokens, of which so many are in common."""
+        return {(r["size"], r["m"]): r["n"] for r in side.groupBy("size", F.size("met").alias("m")).agg(F.count("*").alias("n")).collect()}
+
+    @staticmethod
+    def _sets(side: DataFrame, needs: dict[int, int], l: int) -> DataFrame:
+        """id and sig of every set of ``l`` tokens among the rarest ones that two values with the overlap needed must share ``l`` of."""
+        least = F.broadcast(side.sparkSession.createDataFrame([(k, max(v, l)) for k, v in needs.items()], "size int, need int"))
+        x = side.join(least, "size").where(F.size("met") >= F.col("need")).select("id", F.slice("met", F.lit(1), F.greatest(F.size("met") - F.col("need") + l, F.lit(0))).alias("p"))
+        x = x.select("id", "p", F.posexplode("p").alias("i", "x0"))
+        for k in range(1, l):
+            x = x.where(F.size("p") > F.col("i") + 1).select("id", "p", *[f"x{j}" for j in range(k)], F.expr("posexplode(slice(p, i + 2, size(p)))").alias("j", f"x{k}"), "i")
+            x = x.withColumn("i", F.col("i") + 1 + F.col("j")).drop("j")
+        return x.select("id", F.xxhash64(*[f"x{j}" for j in range(l)]).alias("sig"))
+
+    def _few(self) -> bool:
+        return self.source.count() * self.target.count() <= FEW_PAIRS
+
+    def verify(self, met: DataFrame) -> DataFrame:
+        """s, t, s_first, t_first, t_rows, d below 1 of distinct pairs (s_first, t_first)."""
+        return self._distances(met.join(self.source, "s_first").join(self.target, "t_first"))
+
+    @staticmethod
+    def _distances(both: DataFrame) -> DataFrame:
         i = F.size(F.array_intersect("s_tokens", "t_tokens"))
         d = F.when(F.col("s") == F.col("t"), 0.0).otherwise(1 - i / (F.col("na") + F.size("t_tokens") - i))
         return both.select("s", "t", "s_first", "t_first", "t_rows", d.alias("d")).where(F.col("d") < 1)
 
-    def prefix(self, rows: DataFrame, size: Column) -> DataFrame:
-        """s_first and token of the ``size`` rarest tokens that the target has too."""
-        return rows.select("s_first", F.explode(F.slice("met", F.lit(1), size)).alias("_t")).select("s_first", F.col("_t.token").alias("token"))
-
-    def nearest(self, k: int = 1) -> DataFrame:
-        """The k nearest target values of each source value, exactly, the first seen among equals."""
-        # the first tokens that lead to FIRST_PASS target values together, one at least
-        led = F.aggregate("met", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("take")), lambda a, x: F.when((a["sum"] == 0) | (a["sum"] + x["n"] <= FIRST_PASS), F.struct((a["sum"] + x["n"]).alias("sum"), (a["take"] + 1).alias("take"))).otherwise(F.struct(F.lit(2**62).alias("sum"), a["take"].alias("take"))))
-        rows = self.ranked.select("s_first", "na", "met", led["take"].alias("take")).persist()
-        first = self.pairs(self.prefix(rows, F.col("take")))
-        first = nearest(first, k).persist()
-        kth = first.groupBy("s_first").agg(F.max("d").alias("kth"), F.count("*").alias("found"))
-        # a pair that shares none of the first p of m tokens has at most m - p in common, so is at distance 1 - (m - p) / na or more
-        m = F.size("met")
-        needed = F.when(F.coalesce("found", F.lit(0)) < k, m).otherwise(F.least(m, m - F.ceil((1 - F.col("kth")) * F.col("na") - F.lit(1e-9)) + 1)).cast("int")
-        rest = rows.join(kth, "s_first", "left").withColumn("needed", needed).where(F.col("needed") > F.col("take"))
-        more = self.pairs(self.prefix(rest, F.col("needed")))
-        out = nearest(first.unionByName(more).distinct(), k)
-        return out
-
-    def within(self, threshold: float) -> DataFrame:
-        """All pairs with a distance of at most ``threshold``, which is below 1."""
-        m = F.size("met")
-        needed = F.least(m, m - F.ceil(F.lit(1 - threshold) * F.col("na") - F.lit(1e-9)) + 1).cast("int")
-        return self.pairs(self.prefix(self.ranked.where(needed > 0), needed)).where(F.col("d") <= threshold)
+    def probe(self, only: DataFrame) -> DataFrame:
+        """The same for all pairs of few source values, only (s_first), with all target values."""
+        return self._distances(self.target.crossJoin(F.broadcast(self.source.join(F.broadcast(only), "s_first", "left_semi"))))
+
+    def within(self, limit: float, strict: bool = False, only: DataFrame | None = None) -> DataFrame:
+        """All pairs with a distance of at most ``limit``, or below it if ``strict``, as verify() gives them; only: the source values (s_first) asked for."""
+        left = self.left if only is None else self.left.join(only.select(F.col("s_first").alias("id")), "id", "left_semi")
+        strict = strict or limit >= 1
+        self._right_shapes = self._right_shapes or self._shapes(self.right)
+        a, b = self._shapes(left), self._right_shapes
+        needs = [_needs({x for x, _ in own}, {y for y, _ in other}, limit, strict) for own, other in ((a, b), (b, a))]
+        if not all(needs):
+            return self.verify(left.select(F.col("id").alias("s_first"), F.col("id").alias("t_first")).limit(0))
+        best = None
+        for l in range(1, MOST_SHARED + 1):
+            sets = sum(n * math.comb(m - max(need[x], l) + l, l) for shapes, need in zip((a, b), needs, strict=True) for (x, m), n in shapes.items() if x in need and m >= max(need[x], l))
+            if l > 1 and sets > MOST_SETS * (sum(a.values()) + sum(b.values())):
+                break
+            pairs = self._met(left, needs, l)
+            count = lambda side, need, n, l=l: self._sets(side, need, l).groupBy("sig").agg(F.count("*").alias(n))
+            met = count(left, needs[0], "x").join(count(self.right, needs[1], "y"), "sig").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+            if best is None or sets + PAIR_COST * met < best[0]:
+                best = sets + PAIR_COST * met, pairs
+            if met <= 2 * (sum(a.values()) + sum(b.values())):
+                break
+        found = self.verify(best[1])
+        return found.where(F.col("d") < limit) if strict else found.where(F.col("d") <= limit)
+
+    def _met(self, left: DataFrame, needs: list[dict[int, int]], l: int) -> DataFrame:
+        """Pairs (s_first, t_first) that share ``l`` of their rarest tokens; sets that may do with fewer meet on one."""
+        join = lambda a, b, n: self._sets(left, a, n).withColumnRenamed("id", "s_first").join(self._sets(self.right, b, n).withColumnRenamed("id", "t_first"), "sig").select("s_first", "t_first")
+        pairs = join(*needs, l)
+        small = [{k: v for k, v in x.items() if v < l} for x in needs]
+        return (pairs.unionByName(join(*small, 1)) if all(small) else pairs).distinct()
+
+    def nearest(self) -> tuple[DataFrame, float | None]:
+        """(best, violating): the nearest target value of each source value, the first seen among equals, if it is nearer than
+        ``violating``: the least distance at which a target value is the nearest of a second source value, None if there is none."""
+        if self._few():
+            best = nearest(self.probe(self.source.select("s_first"))).persist()
+            return best, _second(best)
+        open_, done, bound = self.source.select("s_first").persist(), None, None
+        joined = lambda more: more if done is None else done.unionByName(more)
+        for limit in LEVELS:
+            if done is not None:
+                if open_.isEmpty():
+                    break
+                bound = _second(joined(nearest(self.probe(_some(open_, PROBES)))))
+            if bound is not None and bound <= limit:
+                for few in (_some(open_, MORE_PROBES), open_):
+                    found = nearest(self.within(bound, True, few)).persist()
+                    bound = min(x for x in (bound, _second(joined(found))) if x is not None)
+                return joined(found), bound
+            done = joined(nearest(self.within(limit, limit >= 1, open_)).persist())
+            bound = _second(done)
+            if bound is not None:
+                return done, bound
+            open_ = open_.join(done.select("s_first"), "s_first", "left_anti").persist()
+        return done, None
+
+    def crowded(self) -> float | None:
+        """The least distance at which some source value has a second target row; None if none has one."""
+        every = self.source.select("s_first")
+        least = lambda pairs: _crowded(pairs).agg(F.min("d")).first()[0]
+        if self._few():
+            return least(self.probe(every))
+        bound = least(self.probe(_some(every, PROBES)))
+        for few in (_some(every, MORE_PROBES), every):
+            bound = min((x for x in (bound, least(self.within(1.0 if bound is None else bound, True, few))) if x is not None), default=None)
+        return bound
+
+
+def _some(ids: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` of the ids, by their hashes; only bounds depend on which."""
+    return ids.orderBy(F.xxhash64("s_first"), "s_first").limit(most)
+
+
+def _second(best: DataFrame) -> float | None:
+    order = Window.partitionBy("t").orderBy("d", "s_first")
+    return best.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 2).agg(F.min("d")).first()[0]
+
+
+def closed(violating: float | None) -> float:
+    """closed_threshold() of a number."""
+    return 1023 / 1024 if violating is None else max(0, min(1023, math.ceil(violating * 1024) - 1)) / 1024
 
 
 def top1_threshold(best: DataFrame) -> DataFrame:
@@ -105,11 +216,15 @@ def top1_threshold(best: DataFrame) -> DataFrame:
     return second.agg(closed_threshold(F.min("d")).alias("threshold"))
 
 
+def _crowded(distances: DataFrame) -> DataFrame:
+    """The pairs with which a source value has two target rows or more."""
+    order = Window.partitionBy("s").orderBy("d", "t_first").rowsBetween(Window.unboundedPreceding, 0)
+    return distances.withColumn("_rows", F.sum("t_rows").over(order)).where(F.col("_rows") >= 2)
+
+
 def recovery_threshold(distances: DataFrame) -> DataFrame:
     """threshold: the loosest at which every source value has at most one target row."""
-    order = Window.partitionBy("s").orderBy("d", "t_first").rowsBetween(Window.unboundedPreceding, 0)
-    crowded = distances.withColumn("_rows", F.sum("t_rows").over(order)).where(F.col("_rows") >= 2)
-    return crowded.agg(closed_threshold(F.min("d")).alias("threshold"))
+    return _crowded(distances).agg(closed_threshold(F.min("d")).alias("threshold"))
 
 
 def top1_join(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...] = JOIN_TOKENISERS) -> DataFrame:
@@ -118,8 +233,8 @@ def top1_join(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...]
     s, t = distinct_values(source).persist(), distinct_values(target).persist()
     tried = []
     for name in tokenisers:
-        best = Tokens(s, t, name).nearest().persist()  # asked for the threshold, the coverage and the result
-        kept = best.crossJoin(F.broadcast(top1_threshold(best))).where(F.col("d") <= F.col("threshold")).select("s", F.col("t_first").alias("tgt_rid"), "d")
+        best, violating = Tokens(s, t, name).nearest()
+        kept = best.where(F.col("d") <= closed(violating)).select("s", F.col("t_first").alias("tgt_rid"), "d")
         tried.append((kept.select("tgt_rid").distinct().count() if len(tokenisers) > 1 else 0, kept))
     _, kept = max(tried, key=lambda x: x[0])
     rows = source.select(F.col("_rid").alias("src_rid"), F.col("value").alias("s"))
@@ -140,15 +255,16 @@ def recover(source: DataFrame, target: DataFrame, matched_source: DataFrame, mat
     if free_s.isEmpty() or free_t.isEmpty():
         return nothing, 0.0, True
     s, t = distinct_values(source).persist(), distinct_values(target).persist()
-    wanted = s.join(free_s.select(F.col("s").alias("value")).distinct(), "value", "left_semi")
+    wanted, left = (x.join(free.select(F.col(c).alias("value")).distinct(), "value", "left_semi").persist() for x, free, c in ((s, free_s, "s"), (t, free_t, "t")))
     best = (0, nothing, 0.0)
     for name in tokenisers:
-        # with two target rows a value is crowded: its two nearest values tell from which distance on
-        threshold = recovery_threshold(Tokens(s, t, name).nearest(2)).first()["threshold"]
+        full = Tokens(s, t, name)
+        threshold = closed(full.crowded())
+        full.release()
         if threshold <= 0:
             continue
         order = Window.partitionBy("s").orderBy("d", "tgt_rid")
-        near = Tokens(wanted, t, name).within(threshold).join(free_t, "t").withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1)
+        near = Tokens(wanted, left, name).within(threshold).join(free_t, "t").withColumn("_k", F.row_number().over(order)).where(F.col("_k") == 1)
         pairs = free_s.join(near.select("s", "tgt_rid", F.col("d").alias("distance")), "s").select("src_rid", "tgt_rid", "distance").persist()
         n = pairs.count()
         if n > best[0]:

@@ -379,7 +379,8 @@ def threshold_top1(spark, sf):
 
 @query(f"WITH {_sql_fuzzy(_CODES, _NOISY, 'q2')} SELECT CAST(threshold AS DOUBLE) AS threshold FROM rec")
 def threshold_recovery(spark, sf):
-    return fuzzy.recovery_threshold(_distances(spark, sf, _codes, "q2"))
+    s, t = (fuzzy.distinct_values(x).persist() for x in _codes(spark, sf))
+    return spark.createDataFrame([(fuzzy.closed(fuzzy.Tokens(s, t, "q2").crowded()),)], "threshold double")
 
 
 @query(f"WITH {_sql_fuzzy(_PARTS, _LOUD, 'word')}, k AS (SELECT s, t_first, d FROM best, top1 WHERE d <= threshold) SELECT _rid AS src_rid, t_first AS tgt_rid, round(d, 6) AS distance FROM ({_PARTS}) r JOIN k ON s = value")

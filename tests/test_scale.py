@@ -7,7 +7,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from keyweave.operators import discovery, sampling
+from keyweave.operators import discovery, fuzzy, sampling
+from keyweave.plans import derived
+from keyweave.sources.table import JoinTable
 
 
 def test_interleaved_sample_takes_every_nth_row(spark, tmp_path):
@@ -55,3 +57,60 @@ def test_grams_that_many_rows_hold_and_parts_of_few(spark, monkeypatch):
     monkeypatch.setattr(discovery, "PART_GRAMS", 300)
     for df in (before, discovery.optimal_grams(s, t)):
         assert {r["v"]: (r["gram"], r["n"], r["m"], r["tgt_rid"]) for r in df.collect()} == _rarest(source, target)
+
+
+def test_keys_are_split_whatever_the_size(spark):
+    """Only the names before the brackets can be derived from each other; tables of more than 1000 rows were not split."""
+    word = lambda i: F.initcap(F.translate(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(i))), 1, 7), "0123456789", "ghijklmnop"))
+    first, last = word("a"), word("b")
+    rows = spark.range(1100).select("id", F.concat(first, F.lit(" "), last, F.lit(" ("), F.col("id") % 5, F.lit(")")).alias("a"), F.concat(last, F.lit(", "), first, F.lit(" (1"), F.col("id") % 7, F.lit("-)")).alias("b"))
+    s, t = (JoinTable.from_df(rows.select("id", c), [c], "id") for c in "ab")
+    assert {tuple(r) for r in derived.derived_join(s, t, fuzzy=False).pairs.collect()} == {(i, i) for i in range(1100)}
+
+
+def _jaccard(a: str, b: str, q: int) -> float:
+    x, y = ({v[i : i + q] for i in range(len(v) - q + 1)} if len(v) >= q else {v} for v in (a, b))
+    return 0.0 if a == b else 1 - len(x & y) / (len(x) + len(y) - len(x & y))
+
+
+def test_thresholds_and_nearest_values_without_all_pairs(spark, monkeypatch):
+    """Few pairs are compared, and the results are those of all pairs."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(1, 12)))
+    source = [(i, word()) for i in range(300)]
+    target = [(i, v + rng.choice(["", "", " x"])) for i, v in source if i % 7] + [(1000 + i, word()) for i in range(50)]
+    s, t = (fuzzy.distinct_values(spark.createDataFrame(rows, "_rid long, value string")).persist() for rows in (source, target))
+    first = lambda rows: {v: min(i for i, x in rows if x == v) for _, v in rows}
+    ss, ts, rows = first(source), first(target), Counter(v for _, v in target)
+    monkeypatch.setattr(fuzzy, "FEW_PAIRS", 0)
+    monkeypatch.setattr(fuzzy, "MORE_PROBES", 64)
+    asked: list[int] = []
+    verify = fuzzy.Tokens.verify
+    monkeypatch.setattr(fuzzy.Tokens, "verify", lambda self, met: (asked.append(met.count()), verify(self, met))[1])
+    for q in (2, 3):
+        ds = {a: sorted((d, ts[b], b) for b in ts if (d := _jaccard(a, b, q)) < 1) for a in ss}
+        seconds = []
+        for near in ds.values():
+            held = 0
+            for d, _, b in near:
+                held += rows[b]
+                if held >= 2:
+                    seconds.append(d)
+                    break
+        best = {a: near[0] for a, near in ds.items() if near}
+        held = Counter()
+        violating = None
+        for d, _, a in sorted((best[a][0], ss[a], a) for a in best):
+            held[best[a][2]] += 1
+            if held[best[a][2]] == 2:
+                violating = d
+                break
+        tokens = fuzzy.Tokens(s, t, f"q{q}")
+        assert tokens.crowded() == min(seconds)
+        got, found = tokens.nearest()
+        assert found == violating
+        assert {(r["s"], r["t"]) for r in got.collect() if r["d"] < found} == {(a, near[2]) for a, near in best.items() if near[0] < found}
+        for limit in (0.3, 0.6, 0.9):
+            want = {(a, b) for a, near in ds.items() for d, _, b in near if d <= limit}
+            assert {(r["s"], r["t"]) for r in tokens.within(limit).collect()} == want
+    assert asked and min(asked) < 1000
