@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from keyweave.operators.composite import split_keys
@@ -16,8 +16,6 @@ from keyweave.operators.sampling import draw, sample_size
 from keyweave.plans.learn import Learned, learn, ranked_groups
 from keyweave.sources.table import JoinTable
 
-#: Tables with more rows are not joined again with their keys split, unless the caller asks for more.
-SPLIT_ROWS = 1000
 #: What the trace shows of demo matches, matched and unmatched rows.
 DEMO, MATCHED, UNMATCHED = 3, 5, 3
 
@@ -45,8 +43,35 @@ def _cell_values(t: JoinTable, column: int) -> DataFrame:
     return t.df.select("_rid", t.cell(column).alias("value"))
 
 
-def one_direction(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
-    """Samples, finds pairs and learns on the samples, then joins and recovers on the full tables."""
+@dataclass
+class _Search:
+    """What the samples of a direction say: the best column pair, if any, and what was learned."""
+
+    source: JoinTable
+    target: JoinTable
+    forward: bool
+    rows: int = 0
+    group: Row | None = None
+    learned: Learned | None = None
+    trace: dict = field(default_factory=dict)
+
+    def rank(self) -> tuple[int, int]:
+        """Score and key columns of the result that finish() gives."""
+        if self.learned:
+            return self.learned.score, len(self.learned.program.columns)
+        return (-self.rows, 1) if self.group else (0, 0)
+
+    def finish(self, fuzzy: bool) -> JoinResult:
+        """Joins and recovers on the full tables."""
+        if self.learned:
+            return _apply(self.source, self.target, self.learned, fuzzy, self.trace)
+        if self.group and fuzzy:
+            return _fuzzy_only(self.source, self.target, self.group, self.rows, self.trace)
+        return JoinResult(_empty(self.source), trace=self.trace)
+
+
+def _search(source: JoinTable, target: JoinTable, forward: bool = True) -> _Search:
+    """Samples, finds pairs and learns on the samples."""
     trace: dict = {}
     began = time.perf_counter()
     n, m = source.count(), target.count()
@@ -58,15 +83,18 @@ def one_direction(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> J
         trace["discovery"] = [g.asDict() | {"top": [r.asDict() for r in pairs.where((F.col("scol") == g["scol"]) & (F.col("tcol") == g["tcol"]) & (F.col("place") <= 5)).orderBy("place").collect()]} for g in ranked[:5]]
         trace["discovery_ms"] = 1000 * (time.perf_counter() - began)
         if not ranked:
-            return JoinResult(_empty(source), trace=trace)
+            return _Search(source, target, forward, n, trace=trace)
         began = time.perf_counter()
         learned = learn(pairs, s, t)
     finally:
         pairs.unpersist()
     trace["learning_ms"] = 1000 * (time.perf_counter() - began)
-    if learned is None:
-        return _fuzzy_only(source, target, ranked[0], n, trace) if fuzzy else JoinResult(_empty(source), trace=trace)
-    return _apply(source, target, learned, fuzzy, trace)
+    return _Search(source, target, forward, n, ranked[0], learned, trace)
+
+
+def one_direction(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
+    """Samples, finds pairs and learns on the samples, then joins and recovers on the full tables."""
+    return _search(source, target).finish(fuzzy)
 
 
 def _apply(source: JoinTable, target: JoinTable, learned: Learned, fuzzy: bool, trace: dict) -> JoinResult:
@@ -127,19 +155,23 @@ def swapped(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("tgt_rid").alias("src_rid"), F.col("src_rid").alias("tgt_rid"))
 
 
-def derived_join(source: JoinTable, target: JoinTable, fuzzy: bool = True, split_rows: int = SPLIT_ROWS) -> JoinResult:
-    """Both directions; once more with split keys if neither derives a key, on tables of up to ``split_rows`` rows. The best by score,
-    key columns and size wins."""
-    tried = [(one_direction(source, target, fuzzy), True), (one_direction(target, source, fuzzy), False)]
-    if max(r.score for r, _ in tried) < 1 and max(source.count(), target.count()) <= split_rows:
+def derived_join(source: JoinTable, target: JoinTable, fuzzy: bool = True) -> JoinResult:
+    """Both directions; once more with split keys if neither derives a key. The best by score, key columns and size wins.
+
+    Score and key columns are known before the full tables are joined, so only the directions that are best by them are.
+    """
+    tried = [_search(source, target), _search(target, source, False)]
+    if all(x.learned is None or x.learned.score < 1 for x in tried):
         s, t = split_keys(source), split_keys(target)
         if s is not source or t is not target:
-            again = [(one_direction(s, t, fuzzy), True), (one_direction(t, s, fuzzy), False)]
-            tried += [(r, f) for r, f in again if r.score >= 1]
-    full = [x for x in tried if x[0].count()]
-    if not full:
-        return JoinResult(_empty(source), trace=tried[0][0].trace | {"inputs": _inputs(source, target), "pairs": 0})
-    result, forward = max(full, key=lambda x: (x[0].score, x[0].key_columns, x[0].count()))
+            tried += [x for x in (_search(s, t), _search(t, s, False)) if x.learned and x.learned.score >= 1]
+    for rank in sorted({x.rank() for x in tried}, reverse=True):
+        results = [(x.finish(fuzzy), x.forward) for x in tried if x.rank() == rank]
+        result, forward = max(results, key=lambda x: x[0].count())
+        if result.count():
+            break
+    else:
+        return JoinResult(_empty(source), trace=tried[0].trace | {"inputs": _inputs(source, target), "pairs": 0})
     result.forward_won = forward
     result.pairs = result.pairs if forward else swapped(result.pairs)
     result.trace["inputs"] = _inputs(source, target)
