@@ -10,11 +10,11 @@ from keyweave.functions.tokens import GRID_DISTANCES, GRID_TOKENISERS, distance,
 THRESHOLDS = tuple(i / 10 for i in range(1, 11))
 
 
-def nearest_rows(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...] = GRID_TOKENISERS, distances: tuple[str, ...] = GRID_DISTANCES) -> DataFrame:
-    """tok, dist, src_rid, tgt_rid, d: the nearest target row under each setting, the first among equals.
+def nearest_values(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...] = GRID_TOKENISERS, distances: tuple[str, ...] = GRID_DISTANCES) -> DataFrame:
+    """value, tok, dist, tgt_rid, d: the nearest target row of each distinct source value under each setting, the first among equals.
 
-    A source row that shares no token with any is at distance 1 from the first target row. source and target: (_rid, value). Distinct
-    values are compared, each with the first row that has it; rows get what their value got.
+    A source value that shares no token with any is at distance 1 from the first target row. source and target: (_rid, value).
+    Distinct values are compared, each with the first row that has it.
     """
     toks = F.array(*[F.struct(F.lit(k).alias("tok"), tokenise(F.col("value"), k).alias("set")) for k in tokenisers])
     once = lambda df: df.where(F.col("value").isNotNull()).groupBy("value").agg(F.min("_rid").alias("_rid"))
@@ -33,7 +33,12 @@ def nearest_rows(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ..
     asked = firsts.select("value", "first", settings.alias("_e")).select("value", "first", "_e.*").join(best, ["tok", "dist", "first"], "left").crossJoin(F.broadcast(far))
     # at distance 1 the first target row of all comes before the others
     beyond = F.coalesce(F.col("d") >= 1, F.lit(True))
-    asked = asked.select("value", "tok", "dist", F.when(beyond, F.col("far")).otherwise(F.col("tgt_rid")).alias("tgt_rid"), F.when(beyond, 1.0).otherwise(F.col("d")).alias("d"))
+    return asked.select("value", "tok", "dist", F.when(beyond, F.col("far")).otherwise(F.col("tgt_rid")).alias("tgt_rid"), F.when(beyond, 1.0).otherwise(F.col("d")).alias("d"))
+
+
+def nearest_rows(source: DataFrame, target: DataFrame, tokenisers: tuple[str, ...] = GRID_TOKENISERS, distances: tuple[str, ...] = GRID_DISTANCES) -> DataFrame:
+    """tok, dist, src_rid, tgt_rid, d: the same for source rows, which get what their value got."""
+    asked = nearest_values(source, target, tokenisers, distances)
     return source.select(F.col("_rid").alias("src_rid"), "value").join(asked, "value").select("tok", "dist", "src_rid", "tgt_rid", "d")
 
 
@@ -47,11 +52,18 @@ def pairs_at(nearest: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) ->
     return each.where(F.col("d") <= cutoff(F.col("dist"), F.col("threshold"))).drop("d")
 
 
-def best_setting(pairs: DataFrame, truth: DataFrame, tokenisers: tuple[str, ...] = GRID_TOKENISERS, distances: tuple[str, ...] = GRID_DISTANCES) -> DataFrame:
-    """tok, dist, threshold and f of the setting with the largest F-score against truth (src_rid, tgt_rid); the first of the grid among equals."""
-    total = truth.distinct().count()
-    ok = pairs.join(F.broadcast(truth.distinct().withColumn("_ok", F.lit(1))) if total <= 1_000_000 else truth.distinct().withColumn("_ok", F.lit(1)), ["src_rid", "tgt_rid"], "left")
-    by = ok.groupBy("tok", "dist", "threshold").agg(F.count("*").alias("_n"), F.count("_ok").alias("_tp"))
+def best_setting(source: DataFrame, target: DataFrame, truth: DataFrame, tokenisers: tuple[str, ...] = GRID_TOKENISERS, distances: tuple[str, ...] = GRID_DISTANCES) -> DataFrame:
+    """tok, dist, threshold and f of the setting with the largest F-score against truth (src_rid, tgt_rid); the first of the grid among equals.
+
+    Rows and true pairs are counted by value first, so that no row is taken through all settings.
+    """
+    true = truth.distinct()
+    total = true.count()
+    rows = source.where(F.col("value").isNotNull())
+    held = rows.groupBy("value").agg(F.count("*").alias("_n"))
+    right = true.join(rows.select(F.col("_rid").alias("src_rid"), "value"), "src_rid").groupBy("value", "tgt_rid").agg(F.count("*").alias("_tp"))
+    near = nearest_values(source, target, tokenisers, distances).join(held, "value").join(right, ["value", "tgt_rid"], "left")
+    by = pairs_at(near.groupBy("tok", "dist", "d").agg(F.sum("_n").alias("_n"), F.sum(F.coalesce("_tp", F.lit(0))).alias("_tp"))).groupBy("tok", "dist", "threshold").agg(F.sum("_n").alias("_n"), F.sum("_tp").alias("_tp"))
     f = F.when(F.col("_n") + total > 0, 2 * F.col("_tp") / (F.col("_n") + total)).otherwise(0.0)
     place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
     return by.withColumn("f", f).orderBy(F.desc("f"), place(tokenisers, "tok"), place(distances, "dist"), "threshold").limit(1).select("tok", "dist", "threshold", "f")

@@ -478,7 +478,7 @@ _PLACES = f"list_position({list(T.GRID_TOKENISERS)!r}, tok), list_position({list
 def fjo_grid_best(spark, sf):
     s, t = _branded(spark, sf)
     truth = s.select(F.col("_rid").alias("src_rid"), F.col("_rid").alias("tgt_rid"))
-    return oracle.best_setting(oracle.pairs_at(oracle.nearest_rows(s, t)), truth)
+    return oracle.best_setting(s, t, truth)
 
 
 @query(
