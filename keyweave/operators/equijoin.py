@@ -9,6 +9,8 @@ from keyweave.plans.program import Program
 
 #: A derived key counts for a program's score from this length on.
 MIN_KEY = 3
+#: Joined rows that a task makes, about.
+TASK_ROWS = 500_000
 
 
 def value_frequency(values: DataFrame, value: str = "value") -> DataFrame:
@@ -48,3 +50,15 @@ def first_match_join(source: DataFrame, key: Column, target: DataFrame) -> DataF
     derived = source.select(F.col("_rid").alias("src_rid"), key.alias("value")).where(F.col("value").isNotNull())
     firsts = target.groupBy("value").agg(F.min("_rid").alias("tgt_rid"))
     return derived.join(firsts, "value").select("src_rid", "tgt_rid")
+
+
+def many_to_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The join of two tables on a key that many rows of both have, in tasks sized by what they make and not by what they read:
+    the rows of a key on the left are dealt to several tasks, those on the right go to each."""
+    n, m = left.groupBy(key).agg(F.count("*").alias("_n")), right.groupBy(key).agg(F.count("*").alias("_m"))
+    made = n.join(m, key).agg(F.sum(F.col("_n") * F.col("_m")).alias("all"), F.max(F.col("_n") * F.col("_m")).alias("most")).first()
+    parts = (made["all"] or 0) // TASK_ROWS + 1
+    salts = 4 * (made["most"] or 0) // TASK_ROWS + 1
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).repartition(parts, key, "_salt")
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(parts, key, "_salt")
+    return a.join(b.hint("merge"), [key, "_salt"]).drop("_salt")

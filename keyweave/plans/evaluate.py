@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyweave.functions.strings import join_cells
+from keyweave.operators.equijoin import TASK_ROWS
 from keyweave.sources.table import JoinTable
 
 SOURCE_SEPARATOR, TARGET_SEPARATOR = "|", " | "
@@ -21,8 +22,9 @@ def fingerprints(pairs: DataFrame, source: JoinTable, target: JoinTable, source_
 
 def judged(produced: DataFrame, truth: DataFrame) -> DataFrame:
     """src_fp, tgt_fp, expected and ok of every distinct produced pair; truth: (src_fp, tgt_fp) with one target per source."""
-    right = truth.select("src_fp", F.col("tgt_fp").alias("expected"))
-    return produced.distinct().join(right, "src_fp", "left").withColumn("ok", F.coalesce(F.col("tgt_fp") == F.col("expected"), F.lit(False)))
+    parts = produced.count() // TASK_ROWS + 1  # pairs may be many more than the rows they were made of
+    right = truth.select("src_fp", F.col("tgt_fp").alias("expected")).repartition(parts, "src_fp")
+    return produced.repartition(parts, "src_fp").distinct().join(right.hint("merge"), "src_fp", "left").withColumn("ok", F.coalesce(F.col("tgt_fp") == F.col("expected"), F.lit(False)))
 
 
 def scores(produced: DataFrame, truth: DataFrame) -> DataFrame:

@@ -629,7 +629,7 @@ def _produced(spark, sf) -> tuple[DataFrame, DataFrame]:
     s, t = _codes(spark, sf)
     text = lambda c, n: F.col(c).cast("string").alias(n)
     a, b = s.select(text("_rid", "src_fp"), F.substring("value", 1, 2).alias("k")), t.select(text("_rid", "tgt_fp"), F.substring("value", 1, 2).alias("k"))
-    return a.join(b, "k").select("src_fp", "tgt_fp"), s.where("_rid % 3 > 0").select(text("_rid", "src_fp"), text("_rid", "tgt_fp"))
+    return equijoin.many_to_many(a, b, "k").select("src_fp", "tgt_fp"), s.where("_rid % 3 > 0").select(text("_rid", "src_fp"), text("_rid", "tgt_fp"))
 
 
 @query(f"WITH p AS (SELECT DISTINCT * FROM ({_PRODUCED})), t AS ({_TRUTH}), c AS (SELECT (SELECT count(*) FROM p) AS produced, (SELECT count(*) FROM t) AS truths, (SELECT count(*) FROM p JOIN t USING (src_fp, tgt_fp)) AS tp), s AS (SELECT *, tp / produced AS p, tp / truths AS r FROM c) SELECT produced, truths, tp AS true_positives, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f FROM s")

@@ -7,8 +7,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from keyweave.operators import discovery, fuzzy, sampling
-from keyweave.plans import derived
+from keyweave.operators import discovery, equijoin, fuzzy, oracle, sampling
+from keyweave.plans import derived, evaluate
 from keyweave.sources.table import JoinTable
 
 
@@ -114,3 +114,35 @@ def test_thresholds_and_nearest_values_without_all_pairs(spark, monkeypatch):
             want = {(a, b) for a, near in ds.items() for d, _, b in near if d <= limit}
             assert {(r["s"], r["t"]) for r in tokens.within(limit).collect()} == want
     assert asked and min(asked) < 1000
+
+
+def test_best_setting_counts_by_value(spark):
+    """Rows with equal values are counted, not taken through every setting, and the score is that of the pairs."""
+    source = spark.createDataFrame([(i, f"name {i % 5}") for i in range(40)] + [(99, None)], "_rid long, value string")
+    target = spark.createDataFrame([(i, f"NAME {i} x") for i in range(5)], "_rid long, value string")
+    truth = source.select(F.col("_rid").alias("src_rid"), (F.col("_rid") % 5).alias("tgt_rid")).where("src_rid % 3 > 0")
+    pairs = oracle.pairs_at(oracle.nearest_rows(source, target)).collect()
+    true, n, tp = {tuple(r) for r in truth.collect()}, Counter(), Counter()
+    for r in pairs:
+        key = r["tok"], r["dist"], r["threshold"]
+        n[key] += 1
+        tp[key] += (r["src_rid"], r["tgt_rid"]) in true
+    place = lambda k: (oracle.GRID_TOKENISERS.index(k[0]), oracle.GRID_DISTANCES.index(k[1]), k[2])
+    best = min(n, key=lambda k: (-2 * tp[k] / (n[k] + len(true)), place(k)))
+    got = oracle.best_setting(source, target, truth).collect()
+    assert [tuple(r) for r in got] == [(*best, 2 * tp[best] / (n[best] + len(true)))]
+
+
+def test_pairs_of_common_keys_are_dealt_to_tasks(spark, monkeypatch):
+    """One key joins 300 rows with 200: no task may make them all, whatever Spark thinks of the small tables."""
+    for module in (equijoin, evaluate):
+        monkeypatch.setattr(module, "TASK_ROWS", 5000)
+    a = spark.range(300).select(F.col("id").cast("string").alias("src_fp"), F.substring(F.concat(F.lit("k"), F.col("id").cast("string")), 1, 1).alias("k"))
+    b = spark.range(200).select(F.col("id").cast("string").alias("tgt_fp"), F.substring(F.concat(F.lit("k"), F.col("id").cast("string")), 1, 1).alias("k"))
+    joined = equijoin.many_to_many(a, b, "k").select("src_fp", "tgt_fp")
+    sizes = [r["count"] for r in joined.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    assert sum(sizes) == joined.distinct().count() == 60_000 and max(sizes) <= 20_000
+    truth = a.select("src_fp", F.col("src_fp").alias("tgt_fp"))
+    judged = evaluate.judged(joined.unionByName(joined), truth)
+    sizes = [r["count"] for r in judged.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) <= 20_000 and judged.where("ok").count() == 200
