@@ -61,7 +61,8 @@ def best_setting(source: DataFrame, target: DataFrame, truth: DataFrame, tokenis
     total = true.count()
     rows = source.where(F.col("value").isNotNull())
     held = rows.groupBy("value").agg(F.count("*").alias("_n"))
-    right = true.join(rows.select(F.col("_rid").alias("src_rid"), "value"), "src_rid").groupBy("value", "tgt_rid").agg(F.count("*").alias("_tp"))
+    # by merging: ids compress so well that Spark would send these rows through the driver
+    right = true.join(rows.select(F.col("_rid").alias("src_rid"), "value").hint("merge"), "src_rid").groupBy("value", "tgt_rid").agg(F.count("*").alias("_tp"))
     near = nearest_values(source, target, tokenisers, distances).join(held, "value").join(right, ["value", "tgt_rid"], "left")
     by = pairs_at(near.groupBy("tok", "dist", "d").agg(F.sum("_n").alias("_n"), F.sum(F.coalesce("_tp", F.lit(0))).alias("_tp"))).groupBy("tok", "dist", "threshold").agg(F.sum("_n").alias("_n"), F.sum("_tp").alias("_tp"))
     f = F.when(F.col("_n") + total > 0, 2 * F.col("_tp") / (F.col("_n") + total)).otherwise(0.0)
